@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sharding
+from . import bpe, line_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.SQL,
 }
