@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, sharding, toxicity
+from . import bpe, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_quality": quality.op4_quality,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
