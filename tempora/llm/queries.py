@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality, sharding, toxicity
+from . import bpe, html_text, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality.op4_quality,
     "op5_line_dedup": line_dedup.op5_line_dedup,
