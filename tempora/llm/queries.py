@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, mixing, quality, sharding, toxicity
+from . import ann, bpe, exact_search, html_text, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": html_text.op2_html_extraction,
@@ -14,11 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_exact_topk": exact_search.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.SQL,
+    "op7_exact_topk": exact_search.SQL,
 }
