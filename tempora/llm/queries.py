@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_search, html_text, line_dedup, mixing, quality, sharding, toxicity
+from . import ann, bpe, exact_search, html_text, jaccard_join, line_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality.op4_quality,
