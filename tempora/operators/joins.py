@@ -80,11 +80,8 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[str,
     place = 1 if (backward != strict) else 0  # left rows sort after (1) or before right rows of the same time
     a = left.select(F.struct("*").alias("_l"), *keys, F.col(t).alias("_t"), F.lit(place).alias("_o"), F.lit(None).cast(right.select(F.struct(F.col(t).alias("t"), *values)).schema[0].dataType).alias("_r"))
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *keys, F.col(t).alias("_t"), F.lit(1 - place).alias("_o"), F.struct(F.col(t).alias("t"), *values).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_o")
-    if backward:
-        got = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        got = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    order = ["_t", "_o"] if backward else [F.desc("_t"), F.desc("_o")]  # a frame that grows from the start is linear, one up to the end isn't
+    got = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return a.unionByName(b).withColumn("_asof", got).filter("_l IS NOT NULL").select("_l.*", "_asof")
 
 
