@@ -44,13 +44,24 @@ def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str
         on = on & (F.col(c) == F.col(f"_k{i}"))
     if how == "inner":
         return points.withColumn("_p", F.explode(every)).join(s, on).drop("_p", "_level", "_bucket", *[f"_k{i}" for i in range(len(keys))])
-    # an outer or semi join must see a point once: matches are found first, then attached to the points by number
-    numbered = points.withColumn("_id", F.monotonically_increasing_id())
-    ids = [F.col("_id")]
-    found = numbered.select(*keys, x, *ids).withColumn("_p", F.explode(every)).join(s, on).drop("_p", "_level", "_bucket", x, *keys, *[f"_k{i}" for i in range(len(keys))])
-    if how == "left":
-        return numbered.join(found, "_id", "left").drop("_id")
-    return numbered.join(found.select("_id").distinct(), "_id", how).drop("_id")
+    # the others go level by level: what no level matches, and what one of them does
+    def at(rows: DataFrame, k: int, kind: str) -> DataFrame:
+        bucket = _bucket(F.col(x), width, F.lit(float(k))) if k < levels else F.floor(F.col(x) * 0)
+        cond = (bucket == F.col("_bucket")) & inside
+        for i, c in enumerate(keys):
+            cond = cond & (F.col(c) == F.col(f"_k{i}"))
+        return rows.join(s.filter(F.col("_level") == k), cond, kind)
+
+    none, some = points, None
+    for k in range(levels + 1):
+        hit = at(none, k, "left_semi")
+        some = hit if some is None else some.unionByName(hit)
+        none = at(none, k, "left_anti")
+    if how == "left_semi":
+        return some
+    if how == "left_anti":
+        return none
+    return range_join(points, segs, width, keys, x, closed, "inner", levels).unionByName(none, allowMissingColumns=True)
 
 
 def interval_join(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...] = (), closed: bool = False) -> DataFrame:

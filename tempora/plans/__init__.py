@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import events, segments
+from . import circular, events, segments, signals
 
-MODULES = (segments, events)
+MODULES = (segments, events, circular, signals)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
