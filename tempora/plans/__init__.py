@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import circular, events, segments, signals
+from . import circular, decoding, events, segments, signals
 
-MODULES = (segments, events, circular, signals)
+MODULES = (segments, events, circular, signals, decoding)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
