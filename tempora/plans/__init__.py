@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import circular, decoding, events, geometry, segments, signals
+from . import circular, decoding, events, geometry, loops, segments, signals
 
-MODULES = (segments, events, circular, signals, decoding, geometry)
+MODULES = (segments, events, circular, signals, decoding, geometry, loops)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
