@@ -1,7 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are ordered by estimated frequency, rare ones first. Documents that share none of the shortest
-prefixes cannot link, so these prefixes deal documents out to clusters (a star a shingle, no pairs).
+Shingles are ordered by estimated frequency, those surely seen once first, then rare ones. Documents that
+share nothing in their shortest prefixes cannot link, so these prefixes deal documents out to clusters (a
+star a shingle, no pairs; shingles surely seen once match nothing and aren't sent).
 Inside a cluster each document lengthens its prefix as far as the estimated candidate cost falls; a pair
 is verified only if it shares as many prefix shingles as the shorter of its two lengthenings asks for.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .shingles import shingle_sets
 
 #: Cells of the frequency sketch (4 bytes each while counting, 1 when broadcast) and those of one merged chunk.
 SKETCH_BITS, CHUNK_BITS = 20, 16
+#: Bits of the seen-once and seen-twice filters: so many a document, at least and at most. Beyond the most, fewer shingles are known to be seen once; nothing else changes.
+BITS_PER_DOC, LEAST_BITS, MOST_BITS, FILTER_CHUNK = 1024, 1 << 20, 1 << 29, 1 << 20
 #: Shingles of a cluster that one task verifies; larger clusters go in pairs of blocks of half as many.
 UNIT_SHINGLES = 2_000_000
 #: Members of clusters that are broadcast (about 60 bytes each) to fetch their texts; more are joined.
@@ -44,113 +48,154 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def measure(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, a, b) of each row: size and 128-bit digest of its set; frequency class of each sketch cell).
+@dataclass
+class Order:
+    """The global order of shingles: once-seen ones, then by class of the sketch's cell, then by hash."""
 
-    One pass over the texts; each task sends its sketch in compressed chunks, which are added up chunk by
-    chunk. The sum is 4 << SKETCH_BITS bytes whatever the input.
+    classes: np.ndarray
+    twice: np.ndarray
+
+    def repeated(self, s: np.ndarray) -> np.ndarray:
+        """False for shingles that surely only one text has."""
+        bits = len(self.twice) << 3
+        at = (s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+        return ((self.twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
+        """Those of the first n shingles of a sorted set that another text may have."""
+        again = self.repeated(s)
+        n -= len(s) - int(again.sum())
+        if n <= 0:
+            return s[:0]
+        s = s[again]
+        return s[np.argsort(self.classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:n]]
+
+
+def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
+    """((doc_id, n, a, b) of each row: size and 128-bit digest of its set; the order of shingles).
+
+    One pass over the texts. Each task counts its shingles in a sketch and marks them in a pair of
+    filters, and sends both in compressed chunks, which are added up chunk by chunk (a bit is seen twice if
+    a task or two tasks have it so). The sums are 4 << SKETCH_BITS and MOST_BITS / 8 bytes at most,
+    whatever the input.
     """
     cells, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_DOC * texts.count()).bit_length()))
+    width = min(bits, FILTER_CHUNK) >> 3
+    sketches = cells // chunk
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "a", "b", "chunk", "counts"]
-        seen = np.zeros(cells, np.uint32)
+        names = ["doc_id", "n", "a", "b", "part", "x", "y"]
+        seen, once, twice = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             for lo, hi, raw, off in text_slices(batch, 1):
                 sets = shingle_sets(raw, off)
                 keys = [digest(s) for s in sets]
-                seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+                flat = np.sort(np.concatenate(sets))
+                seen += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+                at = (flat >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+                first = np.append(True, at[1:] != at[:-1])[: len(at)]
+                again = np.append(at[~first], at[first][((once[at[first] >> 3] >> (at[first] & 7).astype(np.uint8)) & 1).astype(bool)])
+                for filter_, bit in ((twice, again), (once, at[first])):
+                    np.bitwise_or.at(filter_, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
         codec = pa.Codec("zstd", 1)
-        full = [c for c in range(cells // chunk) if seen[c * chunk : (c + 1) * chunk].any()]
-        blobs = [codec.compress(seen[c * chunk : (c + 1) * chunk].tobytes(), asbytes=True) for c in full]
-        m = len(full)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        for c in range(sketches + len(once) // width):
+            k = c - sketches
+            pair = (seen[c * chunk : (c + 1) * chunk], np.zeros(0, np.uint8)) if k < 0 else (once[k * width : (k + 1) * width], twice[k * width : (k + 1) * width])
+            if pair[0].any():
+                x, y = (codec.compress(v.tobytes(), asbytes=True) for v in pair)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, at, total = pa.Codec("zstd", 1), None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+        codec, at, total, twice = pa.Codec("zstd", 1), None, None, None
+
+        def done() -> pa.RecordBatch:
+            out = total if at < sketches else twice
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([codec.compress(out.tobytes(), asbytes=True)], pa.binary())], names=["part", "x"])
+
         for batch in batches:
-            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for c, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if c != at:
                     if at is not None:
                         yield done()
-                    at, total = c, np.zeros(chunk, np.uint32)
-                total += np.frombuffer(codec.decompress(blob, 4 * chunk, asbytes=True), np.uint32)
+                    at, total, twice = c, np.zeros(chunk, np.uint32) if c < sketches else np.zeros(width, np.uint8), np.zeros(width, np.uint8)
+                if c < sketches:
+                    total += np.frombuffer(codec.decompress(x, 4 * chunk, asbytes=True), np.uint32)
+                else:
+                    x, y = (np.frombuffer(codec.decompress(v, width, asbytes=True), np.uint8) for v in (x, y))
+                    twice |= y | (total & x)
+                    total |= x
         if at is not None:
             yield done()
 
-    rows = cut(texts.mapInArrow(read, "doc_id long, n long, a long, b long, chunk int, counts binary"))
-    sketch = rows.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, counts binary")
-    counts = np.zeros(cells, np.uint32)
-    for r in sketch.collect():
-        counts[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(bytes(r["counts"]), np.uint32)
+    rows = cut(texts.mapInArrow(read, "doc_id long, n long, a long, b long, part int, x binary, y binary"))
+    parts = rows.filter("part IS NOT NULL").select("part", "x", "y").repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(add, "part int, x binary")
+    counts, twice, codec = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
+    for r in parts.toLocalIterator():
+        k = r["part"] - sketches
+        if k < 0:
+            counts[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(codec.decompress(bytes(r["x"]), 4 * chunk, asbytes=True), np.uint32)
+        else:
+            twice[k * width : (k + 1) * width] = np.frombuffer(codec.decompress(bytes(r["x"]), width, asbytes=True), np.uint8)
     classes = np.minimum(255, np.log2(counts.astype(float) + 1) * 7).astype(np.uint8)
-    return rows.filter("chunk IS NULL").select("doc_id", "n", "a", "b"), classes
+    return rows.filter("part IS NULL").select("doc_id", "n", "a", "b"), Order(classes, twice)
 
 
-def star_edges(texts: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """(a, b) struct edges from each shingle of shortest prefixes' first set to its others, sets named by their digests.
+def star_edges(texts: DataFrame, order: Order, percent: int) -> DataFrame:
+    """(a, b) edges from each shingle of shortest prefixes' least set to its others, sets named by the first 64 bits of their digests.
 
-    A batch already joins what its documents share and sends a single posting a shingle on, and none for
-    copies; so a shingle or set that very many documents have takes a few rows a task.
+    Sets that share these bits by chance only make a cluster larger. A batch already joins what its
+    documents share and sends a single posting a shingle on, and none for copies; so a shingle or set
+    that very many documents have takes a few rows a task.
     """
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(classes)
-    names, schema = ["tok", "a", "b", "la", "lb"], "tok long, a long, b long, la long, lb long"
-
-    def edges_of(tok: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows that begin a run of equal tok, the run's first row of each row)."""
-        first = np.append(True, tok[1:] != tok[:-1]) if len(tok) else np.zeros(0, bool)
-        return first, np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))
+    known = spark.sparkContext.broadcast(order)
+    names = ["tok", "a", "b"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks, at, ids = [], [], {}
+            prefixes: dict[int, np.ndarray] = {}
             for _, _, raw, off in text_slices(batch, 0):
                 for s in shingle_sets(raw, off):
-                    if not len(s) or (key := digest(s)) in ids:
-                        continue
-                    ids[key] = len(ids)
-                    prefix = s[np.argsort(known.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: len(s) - needed(len(s), percent) + 1]]
-                    toks.append(prefix)
-                    at.append(np.full(len(prefix), len(ids) - 1))
-            if not ids:
+                    if len(s) and (key := digest(s)[0]) not in prefixes:
+                        prefixes[key] = known.value.prefix(s, len(s) - needed(len(s), percent) + 1)
+            if not prefixes:
                 continue
-            key = np.array(list(ids), np.int64)
-            tok, doc = np.concatenate(toks), np.concatenate(at)
-            order = np.argsort(tok, kind="stable")
-            tok, doc = tok[order].view(np.int64), doc[order]
-            first, lead = edges_of(tok, doc, doc)
-            pair = np.unique(doc[~first] * len(key) + doc[lead[~first]])
-            x, y = pair // len(key), pair % len(key)
-            zero = np.zeros(first.sum(), np.int64)
-            cols = [np.append(tok[first], key[x, 1]), np.append(key[doc[first], 0], key[x, 0]), np.append(key[doc[first], 1], key[x, 1]), np.append(zero, key[y, 0]), np.append(zero, key[y, 1])]
+            key = np.array(sorted(prefixes), np.int64)
+            tok = np.concatenate([prefixes[k] for k in key.tolist()]).view(np.int64)
+            doc = np.repeat(np.arange(len(key)), [len(prefixes[k]) for k in key.tolist()])
+            by = np.argsort(tok, kind="stable")  # in a run of one shingle the least set comes first
+            tok, doc = tok[by], doc[by]
+            first = np.append(True, tok[1:] != tok[:-1])
+            lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))]
+            pair = np.unique(doc[~first] * len(key) + lead[~first])
+            x, y = key[pair // len(key)], key[pair % len(key)]
+            cols = [np.append(tok[first], x), np.append(key[doc[first]], x), np.append(np.zeros(first.sum(), np.int64), y)]
             for lo in range(0, len(cols[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], names=names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the open run: its shingle and first set
+        open_tok, open_a = None, None  # the last run, which the next batch may go on with
         for batch in batches:
-            tok, a, b, la, lb = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            done = (la != 0) | (lb != 0)
-            out = [np.stack([a[done], b[done], la[done], lb[done]])]
-            tok, a, b = tok[~done], a[~done], b[~done]
+            tok, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            done = b != 0
+            out = [np.stack([a[done], b[done]])]
+            tok, a = tok[~done], a[~done]
             if len(tok):
-                first, lead = edges_of(tok, a, b)
-                fa, fb = a[lead], b[lead]
-                if last and last[0] == tok[0]:
-                    run = lead == 0
-                    fa[run], fb[run], first[0] = last[1], last[2], False
-                out.append(np.stack([a, b, fa, fb])[:, ~first])
-                last = (tok[-1], fa[-1], fb[-1])
-            got = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names[1:])
+                first = np.append(True, tok[1:] != tok[:-1])
+                lead = a[np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))]
+                if tok[0] == open_tok:
+                    n = int(np.argmin(np.append(tok == open_tok, False)))
+                    lead[:n], first[0] = open_a, False
+                out.append(np.stack([a, lead])[:, ~first])
+                open_tok, open_a = tok[-1], lead[-1]
+            got = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(got[:, got[0] != got[1]], axis=1)], names=names[1:])
 
-    dealt = texts.mapInArrow(emit, schema).repartition(partitions(spark), "tok").sortWithinPartitions("tok")
-    stars = dealt.mapInArrow(join, "a long, b long, la long, lb long")
-    return stars.select(F.struct("a", "b").alias("a"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("b"))
+    dealt = texts.mapInArrow(emit, "tok long, a long, b long").repartition(partitions(spark), "tok").sortWithinPartitions("tok", "a")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def lengthen(df: np.ndarray, spare: int) -> int:
@@ -290,11 +335,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, classes = measure(texts)
+    rows, order = measure(texts)
     sets = cut(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    near = components(star_edges(texts.select("text"), classes, percent))
+    near = components(star_edges(texts.select("text"), order, percent))  # nodes are the first halves of digests
     # clusters of sets that may link, with the number of blocks that each is dealt out in
-    at = cut(near.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root").unionByName(near.select(F.col("root.a").alias("a"), F.col("root.b").alias("b"), "root").distinct()).join(sets, ["a", "b"]))
+    nodes = near.select(F.col("node").alias("a"), "root").unionByName(near.select(F.col("root").alias("a"), "root").distinct())
+    at = cut(nodes.join(sets, "a"))
     blocks = at.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.when(F.col("total") <= unit_shingles, 1).otherwise(F.ceil(F.col("total") * 2 / unit_shingles)).cast("int").alias("blocks"))
     own = F.pmod(F.col("b"), F.col("blocks")).cast("int")
     members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), "a", "b", F.xxhash64("root").alias("unit"), "blocks", own.alias("side")))
@@ -304,7 +350,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
     dealt = texts_of.select("text", "a", "b", "unit", "side", other).withColumn("unit", F.xxhash64("unit", F.least("side", "j"), F.greatest("side", "j")))
     joined = cut(verify(dealt, percent))
-    found = components(joined)
+    whole = blocks.filter("blocks > 1").isEmpty()  # each cluster in one unit: its edges lead to roots already
+    found = joined.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole else components(joined)
     roots = found.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root.a").alias("ra"), F.col("root.b").alias("rb"))
     named = sets.join(roots, ["a", "b"], "left").select("a", "b", "doc_id", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     least = named.groupBy("ra", "rb").agg(F.min("doc_id").alias("component_id"))
