@@ -161,7 +161,7 @@ def star_edges(texts: DataFrame, order: Order, percent: int) -> DataFrame:
                 for s in shingle_sets(raw, off):
                     if len(s) and (key := digest(s)[0]) not in prefixes:
                         prefixes[key] = known.value.prefix(s, len(s) - needed(len(s), percent) + 1)
-            if not prefixes:
+            if not any(map(len, prefixes.values())):
                 continue
             key = np.array(sorted(prefixes), np.int64)
             tok = np.concatenate([prefixes[k] for k in key.tolist()]).view(np.int64)
