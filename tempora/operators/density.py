@@ -150,3 +150,56 @@ def kullback_leibler(m1: Column, v1: Column, m2: Column, v2: Column, dims: list[
     """Divergence of the second diagonal gaussian from the first."""
     parts = [F.ln(v1[d] / v2[d]) + v2[d] / v1[d] + (m1[d] - m2[d]) * (m1[d] - m2[d]) / v1[d] - 1 for d in dims]
     return reduce(lambda a, b: a + b, parts) / 2
+
+
+def compress_source(weight: np.ndarray, mean: np.ndarray, var: np.ndarray, threshold: float, rounds: int = 100) -> list[np.ndarray]:
+    """Groups of components such that each group's moment match is within threshold, in Hellinger distance, of all its components; the worst group is split in two until that holds."""
+
+    def match(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = weight[g] / weight[g].sum()
+        m = w @ mean[g]
+        return m, w @ (var[g] + mean[g] ** 2) - m * m
+
+    def far(g: np.ndarray) -> float:
+        m, v = match(g)
+        s = var[g] + v
+        parts = np.sqrt(2 * np.sqrt(var[g] * v) / s) * np.exp(-np.square(mean[g] - m) / (4 * s))
+        return float(np.sqrt(np.maximum(0, 1 - parts.prod(axis=1))).max())
+
+    groups = [np.arange(len(weight))]
+    score = [far(groups[0])]
+    while max(score) > threshold:
+        k = int(np.argmax(score))
+        g = groups[k]
+        if len(g) == 1:
+            break
+        m, v = match(g)
+        axis = int(np.argmax(v))
+        side = mean[g, axis] > m[axis]
+        if side.all() or not side.any():
+            side = np.arange(len(g)) >= len(g) // 2
+        for _ in range(rounds):  # hard assignment by divergence to the two halves' matches
+            (m0, v0), (m1, v1) = match(g[~side]), match(g[side])
+            d0, d1 = ((np.log(b / var[g]) + (var[g] + np.square(mean[g] - a)) / b).sum(axis=1) for a, b in ((m0, v0), (m1, v1)))
+            new = d1 < d0
+            if new.all() or not new.any() or (new == side).all():
+                break
+            side = new
+        groups[k : k + 1] = [g[~side], g[side]]
+        score[k : k + 1] = [far(g[~side]), far(g[side])]
+    return groups
+
+
+def compress(components: DataFrame, threshold: float) -> DataFrame:
+    """Components of each source replaced by moment matches of groups that are near enough; a source is one task's work."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("comp_id")
+        w, m, v = pdf["weight"].to_numpy(float), np.stack(pdf["mean"].to_numpy()).astype(float), np.stack(pdf["var"].to_numpy()).astype(float)
+        groups = compress_source(w, m, v, threshold)
+        share = [w[g] / w[g].sum() for g in groups]
+        means = [s @ m[g] for s, g in zip(share, groups, strict=True)]
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "comp_id": range(len(groups)), "weight": [w[g].sum() for g in groups], "mean": means, "var": [s @ (v[g] + m[g] ** 2) - x * x for s, g, x in zip(share, groups, means, strict=True)]})
+
+    kind = components.schema["source"].dataType.simpleString()
+    return components.select("source", "comp_id", "weight", "mean", "var").groupBy("source").applyInPandas(run, f"source {kind}, comp_id long, weight double, mean array<double>, var array<double>")

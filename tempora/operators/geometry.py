@@ -75,6 +75,57 @@ def ellipse_length(a: float, b: float) -> float:
     return 2 * math.pi * total / x
 
 
+def ellipse_table(a: float, b: float, n: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(angle parameters, arc lengths from 0) around an ellipse, by the midpoint rule."""
+    t = np.linspace(0, 2 * math.pi, n + 1)
+    mid = (t[1:] + t[:-1]) / 2
+    s = np.append(0, np.cumsum(np.hypot(a * np.sin(mid), b * np.cos(mid)) * (t[1] - t[0])))
+    return t, s * ellipse_length(a, b) / s[-1]
+
+
+def to_ellipse(points: DataFrame, center: tuple[float, float], size: tuple[float, float], angle: float = 0.0) -> DataFrame:
+    """points with along and d: distance along an ellipse to its nearest point, and from it (negative inside). Exact for a circle, whose plan has no Python; else Newton steps in batches."""
+    c, s = math.cos(angle), math.sin(angle)
+    a, b = size
+    if a == b:
+        u, v = (F.col("x") - center[0]) * c + (F.col("y") - center[1]) * s, (F.col("y") - center[1]) * c - (F.col("x") - center[0]) * s
+        return points.withColumns({"along": F.pmod(F.atan2(v, u), F.lit(2 * math.pi)) * a, "d": F.hypot(u, v) - a})
+
+    def run(frames):
+        t0, s0 = ellipse_table(a, b)
+        grid = t0[:-1:64]
+        for f in frames:
+            x, y = f["x"].to_numpy(float) - center[0], f["y"].to_numpy(float) - center[1]
+            u, v = x * c + y * s, y * c - x * s
+            t = grid[np.argmin(np.square(a * np.cos(grid) - u[:, None]) + np.square(b * np.sin(grid) - v[:, None]), axis=1)]
+            for _ in range(20):
+                cos, sin = np.cos(t), np.sin(t)
+                g = (b * b - a * a) * sin * cos + a * u * sin - b * v * cos
+                h = (b * b - a * a) * (cos * cos - sin * sin) + a * u * cos + b * v * sin
+                t = t - np.where(np.abs(h) > 1e-12, g / np.where(np.abs(h) > 1e-12, h, 1), 0)
+            far = np.hypot(a * np.cos(t) - u, b * np.sin(t) - v)
+            inside = np.square(u / a) + np.square(v / b) < 1
+            yield f.assign(along=np.interp(np.mod(t, 2 * math.pi), t0, s0), d=np.where(inside, -far, far))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInPandas(run, f"{kinds}, along double, d double")
+
+
+def from_ellipse(rows: DataFrame, center: tuple[float, float], size: tuple[float, float], angle: float = 0.0, along: str = "along") -> DataFrame:
+    """rows with x and y at a distance along an ellipse, by its table of arc lengths."""
+    c, s = math.cos(angle), math.sin(angle)
+
+    def run(frames):
+        t0, s0 = ellipse_table(*size)
+        for f in frames:
+            t = np.interp(np.mod(f[along].to_numpy(float), s0[-1]), s0, t0)
+            u, v = size[0] * np.cos(t), size[1] * np.sin(t)
+            yield f.assign(x=center[0] + u * c - v * s, y=center[1] + u * s + v * c)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, x double, y double")
+
+
 def rectangle(center: tuple[float, float], width: float, height: float, angle: float = 0.0) -> Nodes:
     c, s = math.cos(angle), math.sin(angle)
     corners = [(-width / 2, -height / 2), (width / 2, -height / 2), (width / 2, height / 2), (-width / 2, height / 2)]

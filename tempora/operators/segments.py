@@ -128,6 +128,15 @@ def has_overlap(segs: DataFrame) -> DataFrame:
     return segs.select(KEY, (F.lead("start").over(w) < F.col("stop")).alias("o")).groupBy(KEY).agg(F.coalesce(F.bool_or("o"), F.lit(False)).alias("overlaps"))
 
 
+def positions(points: DataFrame, x: str, chunk: float) -> DataFrame:
+    """points with _n: their position by x, from 0. Rows are numbered inside stretches of length chunk, whose counts give the offsets; only one row a stretch meets in one task."""
+    b = points.withColumn("_b", F.floor(F.col(x) / chunk))
+    n = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = n.select(F.col("_b").alias("_k"), F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(x)) - 1
+    return b.withColumn("_n", own).join(before, F.col("_b").eqNullSafe(F.col("_k"))).withColumn("_n", (F.col("_n") + F.col("_o")).cast("long")).drop("_b", "_k", "_o")
+
+
 def contains(points: DataFrame, segs: DataFrame, width: float, x: str = "t") -> DataFrame:
     """points inside any segment [start, stop)."""
     return range_join(points, segs.select("start", "stop"), width, x=x, how="left_semi")
@@ -135,7 +144,7 @@ def contains(points: DataFrame, segs: DataFrame, width: float, x: str = "t") ->
 
 def contains_counts(points: DataFrame, segs: DataFrame, width: float, x: str = "t") -> DataFrame:
     """segs with n points in [start, stop) and the first and last of their positions by x (-1 if none)."""
-    numbered = points.select(x, (F.row_number().over(Window.orderBy(x)) - 1).cast("long").alias("_n"))
+    numbered = positions(points.select(x), x, 1024 * width)
     found = range_join(numbered, segs.select("seg_id", "start", "stop"), width, x=x).groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"), F.min("_n").alias("first"), F.max("_n").alias("last"))
     return segs.join(found, "seg_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "first": F.coalesce("first", F.lit(-1)), "last": F.coalesce("last", F.lit(-1))})
 
@@ -208,7 +217,7 @@ def from_duration(anchors: DataFrame, duration: float | Column, reference: float
 
 def as_index(points: DataFrame, segs: DataFrame, width: float, x: str = "t") -> DataFrame:
     """Runs [first, last] of positions (by x) of the points that lie in any segment."""
-    n = points.select(x, (F.row_number().over(Window.orderBy(x)) - 1).cast("long").alias("i"))
+    n = positions(points.select(x), x, 1024 * width).withColumnRenamed("_n", "i")
     return from_indices(contains(n, segs, width, x).withColumn(KEY, F.lit("index")))
 
 

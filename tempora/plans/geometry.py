@@ -42,6 +42,8 @@ QUERIES = {
     "geo_transform": lambda s, d: rounded(points(s, d).select("l_orderkey", "l_linenumber", STACK.apply(F.col("x"), F.col("y"))[0].alias("u"), STACK.apply(F.col("x"), F.col("y"))[1].alias("v")), "u", "v", places=5),
     "geo_transform_inverse": lambda s, d: rounded(points(s, d).select("l_orderkey", "l_linenumber", STACK.inverse().apply(*STACK.apply(F.col("x"), F.col("y")))[0].alias("u")), "u", places=5),
     "geo_loop_distance": lambda s, d: rounded(along(s, d).select("event_id", G.loop_distance(F.col("along"), F.lit(33.0), 120.0).alias("distance")), "distance"),
+    "geo_circle_project": lambda s, d: rounded(G.to_ellipse(points(s, d), (25.0, 40.0), (20.0, 20.0)), "along", "d").select("l_orderkey", "l_linenumber", "along", "d"),
+    "geo_ellipse_project": lambda s, d: rounded(G.to_ellipse(points(s, d), (25.0, 40.0), (20.0, 30.0), 0.4), "along", "d").select("l_orderkey", "l_linenumber", "along", "d"),
     "geo_graph_distance": lambda s, d: rounded(graph_pairs(s, d), "distance").select("event_id", "distance"),
 }
 
@@ -62,5 +64,6 @@ ORACLE_SQL = {
     "geo_transform": f"WITH {PT} SELECT l_orderkey, l_linenumber, round({M[0][0]!r}::DOUBLE * x + {M[0][1]!r}::DOUBLE * y + {M[0][2]!r}::DOUBLE, 5) AS u, round({M[1][0]!r}::DOUBLE * x + {M[1][1]!r}::DOUBLE * y + {M[1][2]!r}::DOUBLE, 5) AS v FROM p",
     "geo_transform_inverse": f"WITH {PT} SELECT l_orderkey, l_linenumber, round(x, 5) AS u FROM p",
     "geo_loop_distance": "WITH v AS (SELECT event_id, 33.0 - value + 60.0 AS a FROM events) SELECT event_id, round(a - floor(a / 120.0) * 120.0 - 60.0, 6) AS distance FROM v",
+    "geo_circle_project": f"WITH {PT}, a AS (SELECT *, atan2(y - 40.0, x - 25.0) AS a, sqrt((x - 25.0) * (x - 25.0) + (y - 40.0) * (y - 40.0)) AS r FROM p) SELECT l_orderkey, l_linenumber, round((CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END) * 20.0, 6) AS along, round(r - 20.0, 6) AS d FROM a",
     "geo_graph_distance": f"WITH {ND}, v AS (SELECT event_id, event_id % 5 AS a, value - floor(value / 10.0) * 10.0 AS sa, user_id % 5 AS b, value * 3 - floor(value * 3 / 9.0) * 9.0 AS sb FROM events) SELECT event_id, round(least(sa + w00 + sb, sa + w01 + lb - sb, la - sa + w10 + sb, la - sa + w11 + lb - sb, CASE WHEN v.a = v.b THEN abs(sb - sa) END), 6) AS distance FROM v JOIN nd USING (a, b)",
 }

@@ -70,6 +70,19 @@ def test_merging_keeps_moments():
     assert len(D.merge_source(x, np.array([0.1, 0.1]), 0.0)[0]) == 200
 
 
+def test_compression_keeps_moments_and_ellipses_turn_round(spark):
+    r = np.random.default_rng(2)
+    m = np.vstack([r.normal(0, 0.1, (40, 2)), r.normal(5, 0.1, (40, 2))])
+    groups = D.compress_source(np.full(80, 1 / 80), m, np.full((80, 2), 0.05), 0.4)
+    assert 2 <= len(groups) < 20 and sorted(np.concatenate(groups).tolist()) == list(range(80))
+    assert all(len({k < 40 for k in g.tolist()}) == 1 for g in groups)
+    rows = spark.createDataFrame([(float(k),) for k in range(0, 150, 7)], "along double")
+    on = G.from_ellipse(rows, (1.0, 2.0), (30.0, 12.0), 0.3).withColumnRenamed("along", "want")
+    for x in G.to_ellipse(on, (1.0, 2.0), (30.0, 12.0), 0.3).collect():
+        gap = abs(x["along"] - x["want"] % G.ellipse_length(30, 12))
+        assert min(gap, G.ellipse_length(30, 12) - gap) < 0.01 and abs(x["d"]) < 1e-3
+
+
 def test_cases_of_events(spark):
     ev = spark.createDataFrame([("x", k, t, 0.0) for k, t in enumerate((0.0, 0.005, 0.010, 0.1, 0.104, 0.3))], "train string, event_id long, t double, mark double")
     got = [r["interval"] for r in E.intervals(ev, "pre").orderBy("t").collect()]
