@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_slices, without
+from .common import table, text_slices, thrifty, without
 
 NONE = 1 << 60
 #: Encoded chunks (and words) that a Python worker remembers before it starts anew, and the longest remembered.
@@ -282,7 +282,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, outputs: tuple[str,
                         out.append(len(ids) // 4 if o == "n_tokens" else memoryview(ids).cast("i").tolist() if o == "ids" else sha(ids) if o == "ids_sha256" else text if o == "decoded" else sha(text.encode()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), *(pa.array(v, OUTPUTS[o][1]) for o, v in got.items())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds the temporary arrays of a Python worker.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Size of a text is its number of these; the class is ASCII white space without U+001C..1F.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +52,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def thrifty(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """function for mapInArrow, whose worker gives freed memory back when a task is over: Spark keeps workers for later stages."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [lo, hi) of a string column as UTF-8 bytes and offsets from 0 on (hi - lo + 1 of them).
 

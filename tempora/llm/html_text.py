@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, text_slices, without
+from .common import cut, fresh, table, text_slices, thrifty, without
 
 #: A path wins on a host if it has this share of its pages' votes; the first one wins in any case.
 WINNING_SHARE = 0.2
@@ -178,7 +178,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
                         count[hosts[lo + i], path] += 1
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in count], pa.string()), pa.array([p for _, p in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["h", "path", "votes"])
 
-    counted = cut(pages.select(host, "html").mapInArrow(votes, "h string, path string, votes long").groupBy("h", "path").agg(F.sum("votes").alias("votes")))
+    counted = cut(pages.select(host, "html").mapInArrow(thrifty(votes), "h string, path string, votes long").groupBy("h", "path").agg(F.sum("votes").alias("votes")))
     total = counted.groupBy("h").agg(F.sum("votes").alias("total"), F.max(F.struct("votes", "path")).alias("first"))
     winners = cut(
         counted.join(total, "h").filter((F.col("votes") >= WINNING_SHARE * F.col("total")) | (F.col("path") == F.col("first.path")))
@@ -203,7 +203,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
                     texts.append(page.text(path) if path else "")
             yield pa.RecordBatch.from_arrays([*b.columns[:at_won], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return ready.mapInArrow(again, schema)
+    return ready.mapInArrow(thrifty(again), schema)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

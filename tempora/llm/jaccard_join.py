@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, text_slices, without
+from .common import cut, partitions, table, text_slices, thrifty, without
 from .components import components
 from .shingles import shingle_sets
 
@@ -130,8 +130,8 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
         if at is not None:
             yield done()
 
-    rows = cut(texts.mapInArrow(read, "doc_id long, n long, a long, b long, part int, x binary, y binary"))
-    parts = rows.filter("part IS NOT NULL").select("part", "x", "y").repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(add, "part int, x binary")
+    rows = cut(texts.mapInArrow(thrifty(read), "doc_id long, n long, a long, b long, part int, x binary, y binary"))
+    parts = rows.filter("part IS NOT NULL").select("part", "x", "y").repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(thrifty(add), "part int, x binary")
     counts, twice, codec = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
     for r in parts.toLocalIterator():
         k = r["part"] - sketches
@@ -194,8 +194,8 @@ def star_edges(texts: DataFrame, order: Order, percent: int) -> DataFrame:
             got = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(got[:, got[0] != got[1]], axis=1)], names=names[1:])
 
-    dealt = texts.mapInArrow(emit, "tok long, a long, b long").repartition(partitions(spark), "tok").sortWithinPartitions("tok", "a")
-    return dealt.mapInArrow(join, "a long, b long")
+    dealt = texts.mapInArrow(thrifty(emit), "tok long, a long, b long").repartition(partitions(spark), "tok").sortWithinPartitions("tok", "a")
+    return dealt.mapInArrow(thrifty(join), "a long, b long")
 
 
 def lengthen(df: np.ndarray, spare: int) -> int:
@@ -320,7 +320,7 @@ def verify(members: DataFrame, percent: int) -> DataFrame:
         yield from solve(held)
 
     dealt = members.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
-    pairs = dealt.select("unit", "side", "a", "b", "text").mapInArrow(units, "a long, b long, la long, lb long")
+    pairs = dealt.select("unit", "side", "a", "b", "text").mapInArrow(thrifty(units), "a long, b long, la long, lb long")
     return pairs.select(F.struct("a", "b").alias("a"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("b"))
 
 

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, table, text_slices, without
+from .common import cut, fresh, partitions, table, text_slices, thrifty, without
 
 #: White space that is stripped at both ends of a line.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -98,8 +98,8 @@ def twice_filter(texts: DataFrame, bits: int, least: int) -> bytes:
         if at is not None:
             yield done()
 
-    parts = texts.mapInArrow(fill, "chunk int, once binary, twice binary")
-    merged = parts.repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, twice binary")
+    parts = texts.mapInArrow(thrifty(fill), "chunk int, once binary, twice binary")
+    merged = parts.repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(thrifty(merge), "chunk int, twice binary")
     whole, codec = bytearray(bits >> 3), pa.Codec("zstd", 1)
     for r in merged.collect():  # MOST_BITS / 8 bytes at most
         n = min(CHUNK, bits) >> 3
@@ -127,7 +127,7 @@ def suspects(texts: DataFrame, filter_: Broadcast, bits: int, least: int) -> Dat
             if count:
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(k, digest_size=16).digest() for k in count], pa.binary()), pa.array([x[0] for x in count.values()], pa.int64()), pa.array([x[1] for x in count.values()], pa.int64())], names=["key", "n", "last"])
 
-    return texts.mapInArrow(find, "key binary, n long, last long")
+    return texts.mapInArrow(thrifty(find), "key binary, n long, last long")
 
 
 def line_dedup(docs: DataFrame, least: int = 20, min_docs: int = 3, broadcast_keys: int = BROADCAST_KEYS, most_bits: int = MOST_BITS) -> DataFrame:
@@ -180,7 +180,7 @@ def line_dedup(docs: DataFrame, least: int = 20, min_docs: int = 3, broadcast_ke
                         dropped.append(len(g) if g else 0)
                 yield rebuilt(b, new, lines, dropped)
 
-        return docs.mapInArrow(drop_known, schema)
+        return docs.mapInArrow(thrifty(drop_known), schema)
 
     # more repeats than may be broadcast: each document gets its own list by a join
     def with_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def line_dedup(docs: DataFrame, least: int = 20, min_docs: int = 3, broadcast_ke
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(k, digest_size=16).digest() for k, _ in hit], pa.binary()), pa.array([ids[lo + i] for _, i in hit], pa.int64())], names=["key", "doc"])
 
     (gone_col, doc_col) = fresh(docs, "_gone", "_doc")
-    held = texts.mapInArrow(with_docs, "key binary, doc long").join(repeats, "key").filter(~F.col("doc").eqNullSafe(F.col("last")))
+    held = texts.mapInArrow(thrifty(with_docs), "key binary, doc long").join(repeats, "key").filter(~F.col("doc").eqNullSafe(F.col("last")))
     gone_by_doc = held.groupBy(F.col("doc").alias(doc_col)).agg(F.collect_set("key").alias(gone_col))
     joined = docs.join(gone_by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(doc_col)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone_col)
 
@@ -212,7 +212,7 @@ def line_dedup(docs: DataFrame, least: int = 20, min_docs: int = 3, broadcast_ke
                     dropped.append(len(x) - len(kept))
             yield rebuilt(b, new, lines, dropped)
 
-    return joined.mapInArrow(drop_listed, schema)
+    return joined.mapInArrow(thrifty(drop_listed), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

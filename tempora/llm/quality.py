@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_slices, without
+from .common import cut, table, text_slices, thrifty, without
 from .toxicity import learnable
 
 #: Shrinkage of each class covariance: towards the pooled one, then towards a multiple of the identity.
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 stats = [statistics(data[off[i] : off[i + 1]].decode()) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for i, c in enumerate(b.columns) if i != at), pa.array(stats, pa.list_(pa.float64()))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 @dataclass
@@ -109,7 +109,7 @@ def moments(rows: DataFrame, d: int, center: np.ndarray, scale: np.ndarray) -> d
         out = [(y, i, float(v)) for y, (n, s, p) in acc.items() for i, v in enumerate([n, *s, *p.ravel()]) if n]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], names=["y", "i", "v"])
 
-    got = rows.mapInArrow(part, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) rows at most
+    got = rows.mapInArrow(thrifty(part), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) rows at most
     flat = {y: np.zeros(1 + d + d * d) for y in (0, 1)}
     for r in got:
         flat[r["y"]][r["i"]] = r["v"]
@@ -162,7 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             s = np.full(len(x), mean) if model is None else 1 / (1 + np.exp(-np.clip(model.log_odds(x), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(thrifty(run), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

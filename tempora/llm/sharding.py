@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, table, without
+from .common import cut, fresh, partitions, table, thrifty, without
 
 #: Keys are 63-bit longs: 32 bits of the group's hash, then 31 bits that spread the rows of a group.
 KEY_END = 1 << 63
@@ -28,7 +28,7 @@ def below(keyed: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         full = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(size[full]), pa.array(rows[full])], names=["at", "size", "rows"])
 
-    parts = keyed.mapInArrow(count, "at long, size long, rows long")
+    parts = keyed.mapInArrow(thrifty(count), "at long, size long, rows long")
     size = np.zeros(len(probes) + 1, np.int64)
     rows = np.zeros(len(probes) + 1, np.int64)
     for r in parts.groupBy("at").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect():  # one row a probe at most
@@ -95,7 +95,7 @@ def shard_by_bytes(df: DataFrame, shards: int, key: Column, size: Column, tie: l
 
     whole = df.withColumn(k, F.coalesce(key, F.lit(0)).cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema) + f", `{part}` int, `{n}` long"
-    placed = whole.mapInArrow(place, kinds)
+    placed = whole.mapInArrow(thrifty(place), kinds)
     w = Window.partitionBy(part).orderBy(k, *tie)
     return placed.select(
         *[F.col(f"`{c}`") for c in df.columns],

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_slices, without
+from .common import cut, table, text_slices, thrifty, without
 
 #: Labelled documents that the model is fitted on, taken by hash of doc_id; and features that it keeps.
 SAMPLE, FEATURES = 16_000, 2_048
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     det = pos * n0 - neg * n1
     chi2: Column = n * det * det / (F.lit(float(n1)) * n0 * (pos + neg) * F.greatest(n - pos - neg, F.lit(1.0)))
     kept = (
-        seen.mapInArrow(presence, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        seen.mapInArrow(thrifty(presence), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .filter((pos >= LEAST_DOCS) & (det > 0)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
         .orderBy(F.desc("chi2"), "f").limit(FEATURES).collect()
     )
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 empty.append(len(sents) - len(full[-1]))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(empty, pa.int64()), pa.array(full, pa.list_(pa.list_(pa.int32())))], names=["y", "empty", "full"])
 
-    got = seen.mapInArrow(instances, "y int, empty long, full array<array<int>>").collect()
+    got = seen.mapInArrow(thrifty(instances), "y int, empty long, full array<array<int>>").collect()
     rows = sorted((r["y"], r["empty"], [list(s) for s in r["full"]]) for r in got)
     w, bias = fit_weights(rows, len(at))
     return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-3}, bias)
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, spans: bool = T
                 cols = [*(c.slice(lo, hi - lo) for c in b.columns), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(where, kind)] * spans, names=every)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def learnable(labels: DataFrame, mod: int, out: int) -> DataFrame:

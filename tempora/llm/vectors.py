@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: Bytes of query vectors that are broadcast at once; more queries take more passes over the candidates.
 GROUP_BYTES = 16 << 20
 
@@ -90,7 +92,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, work: Callable[[np
             work(ids, matrix, blocks(batches, matrix.shape[1], rows), best)
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
-        part = candidates.mapInArrow(run, "query_id long, vec_id long, score double")
+        part = candidates.mapInArrow(thrifty(run), "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")
