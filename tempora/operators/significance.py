@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 TIME_REACH = 3
 
 
-def distance_correlation(p: np.ndarray, states: np.ndarray) -> float:
-    """Correlation of time and position distances of consecutive bins p (bin, g), each taken as its two likeliest grid points.
+def distance_correlations(p: np.ndarray, states: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Correlation of time and position distances of consecutive bins p (bin, g), each taken as its two likeliest grid points, for each order of the bins.
 
     Distances in time grow to the largest position distance over TIME_REACH bins. Both matrices are
-    double-centred; 0 where the covariance isn't positive.
+    double-centred; 0 where the covariance isn't positive. Centring and variance don't depend on the
+    order, so an order costs one product of matrices, all of them at once.
     """
     n, far = len(p), float(states.max())
     top = np.argsort(-p, axis=1, kind="stable")[:, :2]
@@ -29,8 +30,21 @@ def distance_correlation(p: np.ndarray, states: np.ndarray) -> float:
     i = np.arange(n)
     time = np.minimum(np.abs(i[:, None] - i), TIME_REACH) / TIME_REACH * far
     a, b = (m - m.mean(axis=0) - m.mean(axis=1, keepdims=True) + m.mean() for m in (time, place))
-    cov, va, vb = (a * b).mean(), (a * a).mean(), (b * b).mean()
-    return math.sqrt(cov / math.sqrt(va * vb)) if cov > 0 and va * vb > 0 else 0.0
+    cov = np.einsum("ij,kij->k", a, b[orders[:, :, None], orders[:, None, :]]) / (n * n)
+    scale = math.sqrt((a * a).mean() * (b * b).mean())
+    return np.round(np.sqrt(np.maximum(cov, 0) / scale), 12) if scale > 0 else np.zeros(len(orders))
+
+
+def distance_correlation(p: np.ndarray, states: np.ndarray) -> float:
+    """That of the bins as they stand."""
+    return float(distance_correlations(p, states, np.arange(len(p))[None])[0])
+
+
+def shuffled(n: int, shuffles: int, seed: list[int]) -> np.ndarray:
+    """Orders of n bins: first as they stand, then seeded permutations."""
+    orders = np.tile(np.arange(n), (shuffles, 1))
+    np.random.default_rng(seed).permuted(orders[1:], axis=1, out=orders[1:])
+    return orders
 
 
 def p_value(correlations: np.ndarray) -> float:
@@ -44,8 +58,8 @@ def shuffle_test(posterior: DataFrame, keys: list[str], states: np.ndarray, shuf
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="bin", columns="g", values="p", fill_value=0.0).reindex(columns=range(len(states)), fill_value=0.0).sort_index().to_numpy()
-        rng = np.random.default_rng([seed, *(int.from_bytes(str(pdf[k].iloc[0]).encode(), "little") % (1 << 63) for k in keys)])
-        r = np.array([distance_correlation(wide if k == 0 else wide[rng.permutation(len(wide))], states) for k in range(shuffles)])
+        own = [seed, *(int.from_bytes(str(pdf[k].iloc[0]).encode(), "little") % (1 << 63) for k in keys)]
+        r = distance_correlations(wide, states, shuffled(len(wide), shuffles, own))
         return pd.DataFrame({**{k: pdf[k].iloc[:1].to_list() for k in keys}, "rwd": [r[0]], "p": [p_value(r)]})
 
     kinds = ", ".join(f"{k} {posterior.schema[k].dataType.simpleString()}" for k in keys)

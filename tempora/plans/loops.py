@@ -41,7 +41,7 @@ def online(spark: SparkSession, d: str) -> DataFrame:
 
 def shuffle(spark: SparkSession, d: str) -> DataFrame:
     post = posterior(spark, d).withColumn("event", F.floor(F.col("bin") / 5))
-    return rounded(P.shuffle_test(post, ["event"], STATES, 101), "rwd", "p")
+    return rounded(P.shuffle_test(post, ["event"], STATES), "rwd", "p")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.significance import distance_correlation, p_value
+from ..operators.significance import distance_correlations, p_value, shuffled
 
 OUT = "session string, bin long, mua double, detected boolean, p double, score double"
 STATE = "last long, run int, armed boolean, detected boolean, skips int, score double, recent array<array<double>>"
@@ -28,7 +28,7 @@ class Rules:
     skips: int = 3
     windows: tuple[int, ...] = (5, 6, 7, 8, 9, 10)
     level: float = 0.05
-    shuffles: int = 101
+    shuffles: int = 1001
     seed: int = 0
 
 
@@ -51,9 +51,7 @@ def step(state: tuple, row: tuple[int, float, list[float]], rules: Rules, states
     if detected:
         for n in rules.windows:
             if len(recent) >= n:
-                x = np.array(recent[-n:])
-                rng = np.random.default_rng([rules.seed, at, n])
-                value = min(value, p_value(np.array([distance_correlation(x if k == 0 else x[rng.permutation(n)], states) for k in range(rules.shuffles)])))
+                value = min(value, p_value(distance_correlations(np.array(recent[-n:]), states, shuffled(n, rules.shuffles, [rules.seed, at, n]))))
     if value < rules.level:
         score -= math.log(value)
     return (at, run, armed, detected, 0, score, recent), (at, mua, detected, value, score)

@@ -39,6 +39,8 @@ def test_correlation_of_a_run_beats_shuffles():
     run = np.eye(10)[[0, 0, 3, 6, 9, 9]] + 0.001
     r = np.array([P.distance_correlation(run if k == 0 else run[np.random.default_rng(k).permutation(6)], states) for k in range(200)])
     assert r[0] > np.median(r) and 0 < P.p_value(r) < 0.5
+    orders = P.shuffled(6, 50, [3])
+    assert np.allclose(P.distance_correlations(run, states, orders), [P.distance_correlation(run[o], states) for o in orders]) and (orders[0] == np.arange(6)).all()
 
 
 def test_spectra():
