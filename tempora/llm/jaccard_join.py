@@ -72,7 +72,7 @@ class Order:
 
 
 def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
-    """((doc_id, n, a, b) of each row: size and 128-bit digest of its set; the order of shingles).
+    """((doc_id, h, n, a, b) of each row: hash of its text, size and 128-bit digest of its set; the order of shingles). texts (doc_id, text, h).
 
     One pass over the texts. Each task counts its shingles in a sketch and marks them in a pair of
     filters, and sends both in compressed chunks, which are added up chunk by chunk (a bit is seen twice if
@@ -85,7 +85,7 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
     sketches = cells // chunk
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "a", "b", "part", "x", "y"]
+        names = ["doc_id", "h", "n", "a", "b", "part", "x", "y"]
         seen, once, twice = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             for lo, hi, raw, off in text_slices(batch, 1):
@@ -99,14 +99,14 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
                 for filter_, bit in ((twice, again), (once, at[first])):
                     np.bitwise_or.at(filter_, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
         codec = pa.Codec("zstd", 1)
         for c in range(sketches + len(once) // width):
             k = c - sketches
             pair = (seen[c * chunk : (c + 1) * chunk], np.zeros(0, np.uint8)) if k < 0 else (once[k * width : (k + 1) * width], twice[k * width : (k + 1) * width])
             if pair[0].any():
                 x, y = (codec.compress(v.tobytes(), asbytes=True) for v in pair)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([c], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, at, total, twice = pa.Codec("zstd", 1), None, None, None
@@ -130,7 +130,7 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
         if at is not None:
             yield done()
 
-    rows = cut(texts.mapInArrow(thrifty(read), "doc_id long, n long, a long, b long, part int, x binary, y binary"))
+    rows = cut(texts.mapInArrow(thrifty(read), "doc_id long, h long, n long, a long, b long, part int, x binary, y binary"))
     parts = rows.filter("part IS NOT NULL").select("part", "x", "y").repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(thrifty(add), "part int, x binary")
     counts, twice, codec = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
     for r in parts.toLocalIterator():
@@ -140,7 +140,7 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
         else:
             twice[k * width : (k + 1) * width] = np.frombuffer(codec.decompress(bytes(r["x"]), width, asbytes=True), np.uint8)
     classes = np.minimum(255, np.log2(counts.astype(float) + 1) * 7).astype(np.uint8)
-    return rows.filter("part IS NULL").select("doc_id", "n", "a", "b"), Order(classes, twice)
+    return rows.filter("part IS NULL").select("doc_id", "h", "n", "a", "b"), Order(classes, twice)
 
 
 def star_edges(texts: DataFrame, order: Order, percent: int) -> DataFrame:
@@ -285,13 +285,13 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple
 
 
 def verify(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) struct edges that join linked sets; members (unit, side, a, b, text): each unit's texts, which one task takes together."""
+    """(a, b) struct edges that join linked sets; members (unit, side, a, b, text): each unit's texts, which one task takes together.
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        texts: dict[tuple[int, int], tuple] = {}
-        for side, a, b, text in rows:
-            texts.setdefault((a, b), (side, text))
-        data = [t.encode() for _, t in texts.values()]
+    A member may come with several texts; the one that its digest is of counts.
+    """
+
+    def solve(rows: dict[tuple, None]) -> Iterator[pa.RecordBatch]:
+        data = [t.encode() for *_, t in rows]
         off = np.append(0, np.cumsum([len(x) for x in data]))
         raw = np.frombuffer(b"".join(data), np.uint8)
         sets, lo = [], 0
@@ -299,24 +299,26 @@ def verify(members: DataFrame, percent: int) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 21), side="right")) - 1)
             sets += shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             lo = hi
-        keys = list(texts)
-        fine = [i for i, s in enumerate(sets) if digest(s) == keys[i]]  # another row of the same doc_id isn't meant
-        if len(fine) < 2:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, (side, a, b, _) in enumerate(rows):
+            if (a, b) not in found and digest(sets[i]) == (a, b):  # another row of the same doc_id isn't meant
+                found[a, b] = (i, side)
+        if len(found) < 2:
             return
-        sides = np.array([texts[keys[i]][0] for i in fine])
+        fine, sides = (np.array(x) for x in zip(*found.values(), strict=True))
         root, _, _ = link([sets[i] for i in fine], sides if len(set(sides.tolist())) > 1 else None, percent)
-        key = np.array([keys[i] for i in fine], np.int64)
+        key = np.array(list(found), np.int64)
         moved = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*key[moved].T, *key[root[moved]].T)], names=["a", "b", "la", "lb"])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held = None, {}  # rows without repeats, in order
         for batch in batches:
             for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if unit != at:
                     yield from solve(held)
-                    at, held = unit, []
-                held.append(row)
+                    at, held = unit, {}
+                held[tuple(row)] = None
         yield from solve(held)
 
     dealt = members.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
@@ -334,18 +336,20 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     their own. A null doc_id never names a component unless all of it are null. An empty table gives no
     rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows, order = measure(texts)
-    sets = cut(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    # each set by one of its rows: that of the smallest doc_id (null last), then of the smallest hash of its text
+    named_by = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("row")
+    sets = cut(rows.filter("n > 0").groupBy("a", "b").agg(named_by, F.first("n").alias("n")).select("a", "b", "row.doc_id", "row.h", "n"))
     near = components(star_edges(texts.select("text"), order, percent))  # nodes are the first halves of digests
     # clusters of sets that may link, with the number of blocks that each is dealt out in
     nodes = near.select(F.col("node").alias("a"), "root").unionByName(near.select(F.col("root").alias("a"), "root").distinct())
     at = cut(nodes.join(sets, "a"))
     blocks = at.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.when(F.col("total") <= unit_shingles, 1).otherwise(F.ceil(F.col("total") * 2 / unit_shingles)).cast("int").alias("blocks"))
     own = F.pmod(F.col("b"), F.col("blocks")).cast("int")
-    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), "a", "b", F.xxhash64("root").alias("unit"), "blocks", own.alias("side")))
+    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), F.col("h").alias("of"), "a", "b", F.xxhash64("root").alias("unit"), "blocks", own.alias("side")))
     few = members.count() <= broadcast_members
-    texts_of = texts.join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("id")))
+    texts_of = texts.filter("text IS NOT NULL").join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")))
     # block i meets every block j: the unit of (i, j) is that of (j, i)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
     dealt = texts_of.select("text", "a", "b", "unit", "side", other).withColumn("unit", F.xxhash64("unit", F.least("side", "j"), F.greatest("side", "j")))

@@ -95,6 +95,28 @@ def test_jaccard_empty_table_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_components(rows).collect()) == [("3", 3), ("3", 3), ("None", 3)]
 
 
+@pytest.mark.parametrize("more", [{}, {"unit_shingles": 150, "broadcast_members": 0}])
+def test_jaccard_repeated_and_null_ids(spark, more):
+    r = random.Random(5)
+    rows = [(None, None), (7, None), (None, ""), (7, " ")]
+    for k in range(12):  # texts of all groups share words, so that they cluster
+        base = [f"c{j}" for j in range(12)] + [f"g{k}_{j}" for j in range(60)]
+        for _ in range(4):
+            own = list(base)
+            own[r.randrange(12, 72)] = "x"
+            rows += [(r.choice([None, 7, 7, 8, 100 + len(rows)]), " ".join(own))] * r.choice([1, 1, 2])
+    for _ in range(2):
+        r.shuffle(rows)
+        root = {k: c for k, (_, c) in brute_components([(k, t) for k, (_, t) in enumerate(rows)]).items()}
+        want = []
+        for k, (i, t) in enumerate(rows):
+            ids = [j for m, (j, _) in enumerate(rows) if root[m] == root[k] and j is not None]
+            n = len(shingles(t))
+            want.append((i, n, min(ids, default=None) if n else i))
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **more).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 99), (5, 5), (100, 98)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
