@@ -167,7 +167,9 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict | None = N
     plan_df = cut(planned.join(limits, "pattern", "left").withColumn("limit", F.coalesce("limit", F.lit(-1))))
     taken = sized.join(F.broadcast(plan_df), "pattern")
     out = taken.withColumn("copies", (F.col("whole") + F.when(F.col(h) <= F.col("limit"), 1).otherwise(0)).cast("int"))
-    quota = spark.createDataFrame([(json.dumps([s]), sizes[s], float(goal[s])) for s in names], "source_json string, source_size long, target double")
+    quota = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in names], "source string, source_size long, target double")
+    # as Spark writes patterns: Python would escape other characters
+    quota = quota.select(F.to_json(F.array("source")).alias("source_json"), "source_size", "target")
     return out.drop(h, "whole", "limit", "flow", "pattern_size"), quota
 
 

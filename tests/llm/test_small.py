@@ -313,6 +313,19 @@ def test_mix_documents(spark):
     assert mixing.mix(df.limit(0), F.array("source"), mixing.words(F.col("text")))[0].count() == 0
 
 
+def test_op6_keeps_every_source(spark, tmp_path):
+    sources = ["é", "漢字🎉", 'a "b" \\ c/d', "tab\tnew\nline\x0b\x1b\x7f", "\u2028", "", "null", None, "s0"]
+    rows = [(k, "w " * (1 + k % 9), sources[k % len(sources)]) for k in range(180)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op6_mixing(spark, str(tmp_path)).collect()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    names = mixing.source_order(list(size))
+    goal = mixing.targets(size, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    assert sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == [(k, len(t.split()), size[s], round(goal[s], 6)) for k, t, s in rows]
+
+
 def test_flow_serves_overlapping_sources():
     flow = mixing.route({"a": 10, "ab": 10, "b": 0}, {"a": ["a"], "ab": ["a", "b"], "b": ["b"]}, {"a": 12, "b": 6}, 2)
     assert sum(f["a"] for f in flow.values() if "a" in f) == 12 and sum(f["b"] for f in flow.values() if "b" in f) == 6
