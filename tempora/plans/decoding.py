@@ -1,4 +1,4 @@
-"""Queries of densities and decoding: vectors are spikes of their label's source; even ones train, odd ones test; the third element is the position."""
+"""Queries of densities and decoding: vectors are spikes of their label's source; even ones train, odd ones test, but mixtures are made of all; the third element is the position."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def samples_of_sources(spark: SparkSession, d: str) -> DataFrame:
-    return training(spark, d).select("source", "id", "x")
+    return vectors(spark, d).select("source", "id", "x")
 
 
 QUERIES = {
@@ -60,7 +60,7 @@ QUERIES = {
     "dec_posterior": lambda s, d: rounded(posterior(s, d), "logp", "p").select("bin", "g", "x", "logp", "p"),
     "dec_error": lambda s, d: rounded(C.errors(posterior(s, d), truth(s, d)), "error", "decoded"),
     "dec_attach": lambda s, d: rounded(C.attach(T.train(s, d, "purchase").select("event_id", "t"), T.train(s, d, "view").select("t", F.col("mark").alias("linear_position"))), "linear_position").select("event_id", "linear_position"),
-    "mix_compress": lambda s, d: D.compress(components(s, d), 0.5).select("source", "comp_id", F.round("weight", 9).alias("weight")),
+    "mix_compress": lambda s, d: D.compress(D.samples_to_components(samples_of_sources(s, d), VAR, [0, 1, 2]), 0.5).select("source", "comp_id", F.round("weight", 9).alias("weight")),
     "mix_merge": lambda s, d: D.merge_samples(samples_of_sources(s, d), VAR, [0, 1, 2], 1.0).select("source", "comp_id", F.round("weight", 9).alias("weight")),
 }
 

@@ -13,7 +13,9 @@ from tempora.operators import events as E
 from tempora.operators import geometry as G
 from tempora.operators import significance as P
 from tempora.operators import spectral as Q
+from tempora.plans import decoding as V
 from tempora.sources import records as R
+from tempora.sources import tables as T
 from tempora.streaming import online as O
 
 
@@ -72,6 +74,20 @@ def test_merging_keeps_moments():
     assert len(D.merge_source(x, np.array([0.1, 0.1]), 0.0)[0]) == 200
 
 
+def test_mixtures_are_made_of_all_vectors(spark):
+    d, of = "/root/testdata/sf0.001", {}
+    for r in T.table(spark, d, "embeddings").select("vec_id", "label", "embedding").orderBy("vec_id").collect():
+        of.setdefault(r["label"], []).append([float(r["embedding"][0]), float(r["embedding"][1]), float(r["embedding"][2]) * 100])
+    merged, compressed = [], []
+    for source, x in of.items():
+        x, var, w = np.array(x), np.array(V.VAR), np.full(len(x), 1 / len(x))
+        n = D.merge_source(x, var, 1.0)[0]
+        merged += [(source, k, round(float(c), 7)) for k, c in enumerate(n / n.sum())]
+        compressed += [(source, k, round(float(w[g].sum()), 7)) for k, g in enumerate(D.compress_source(w, x, np.tile(var, (len(x), 1)), 0.5))]
+    for name, want in (("mix_merge", merged), ("mix_compress", compressed)):
+        assert sorted((r["source"], r["comp_id"], round(r["weight"], 7)) for r in V.QUERIES[name](spark, d).collect()) == sorted(want), name
+
+
 def test_compression_keeps_moments_and_ellipses_turn_round(spark):
     r = np.random.default_rng(2)
     m = np.vstack([r.normal(0, 0.1, (40, 2)), r.normal(5, 0.1, (40, 2))])
