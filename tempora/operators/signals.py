@@ -13,6 +13,8 @@ from . import segments as S
 from .joins import range_join
 
 KEY = "channel"
+#: Lines whose |sin theta| is at most this are vertical.
+VERTICAL = 1e-9
 
 
 def by_time() -> Window:
@@ -168,32 +170,36 @@ def cross_correlation(x: DataFrame, y: DataFrame, lags: int, scale: str = "none"
 
 
 def radon_lines(image: DataFrame, thetas: list[float], rhos: list[float], nx: int, ny: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(theta, rho, value): sum of nearest pixels along lines x cos + y sin = rho about the image's middle, one pixel a column, as a line crosses them.
+    """(theta, rho, value): sum of nearest pixels along lines x cos + y sin = rho about the image's middle, one pixel a column, as a line crosses them; of vertical lines, which cross no columns, one pixel a row.
 
-    image (x, y, v). Each pixel works out the one rho of each theta that its column's sample may belong
+    image (x, y, v). Each pixel works out the one rho of each theta that its column's (or row's) sample may belong
     to, and sums are formed before the shuffle: no pixel meets all lines.
     """
     step, n = rhos[1] - rhos[0], len(rhos)
-    lines = [(k, math.cos(t), math.sin(t)) for k, t in enumerate(thetas) if abs(math.sin(t)) > 1e-9]
+    turns = [(k, math.cos(t), math.sin(t)) for k, t in enumerate(thetas)]
+    lines = [(k, s, c, True) if abs(s) <= VERTICAL else (k, c, s, False) for k, c, s in turns]  # a vertical line is one of the transposed image
     x0, y0 = (nx - 1) / 2, (ny - 1) / 2
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s")) for k, c, s in lines])).alias("l")
-    base = (F.col("x") - x0) * F.col("l.c") + (F.col("y") - y0) * F.col("l.s")
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s"), F.lit(up).alias("up")) for k, c, s, up in lines])).alias("l")
+    along = F.when(F.col("l.up"), F.col("y") - y0).otherwise(F.col("x") - x0)
+    across, middle = F.when(F.col("l.up"), F.col("x")).otherwise(F.col("y")), F.when(F.col("l.up"), x0).otherwise(y0)
+    base = along * F.col("l.c") + (across - middle) * F.col("l.s")
     # rho whose line passes within half a pixel of y in this column: |rho - base| <= |s| / 2
     reach = F.abs(F.col("l.s")) / 2
     lo, hi = F.ceil((base - reach - rhos[0]) / step), F.floor((base + reach - rhos[0]) / step)
     a, b = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(n - 1))
     hit = image.select(*keys, "x", "y", "v", grid).filter(a <= b).withColumn("rho", F.explode(F.sequence(a, b)))
-    at = y0 + (rhos[0] + F.col("rho") * step - (F.col("x") - x0) * F.col("l.c")) / F.col("l.s")
-    return hit.filter(F.floor(at + 0.5) == F.col("y")).groupBy(*keys, F.col("l.theta").alias("theta"), F.col("rho").cast("int").alias("rho")).agg(F.sum("v").alias("value"))
+    at = middle + (rhos[0] + F.col("rho") * step - along * F.col("l.c")) / F.col("l.s")
+    return hit.filter(F.floor(at + 0.5) == across).groupBy(*keys, F.col("l.theta").alias("theta"), F.col("rho").cast("int").alias("rho")).agg(F.sum("v").alias("value"))
 
 
 def fit_line(lines: DataFrame, thetas: list[float], rhos: list[float], nx: int, ny: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Slope and intercept of the line of the largest value; the first by theta, then rho, among equals."""
+    """Slope and intercept of the line of the largest value; the first by theta, then rho, among equals. A vertical line has neither: both are null."""
     best = lines.groupBy(*keys).agg(F.max_by(F.struct("theta", "rho"), F.struct("value", -F.col("theta"), -F.col("rho"))).alias("b"), F.max("value").alias("score"))
     th = F.lit(thetas[0]) + F.col("b.theta") * (thetas[1] - thetas[0])
     rho = F.lit(rhos[0]) + F.col("b.rho") * (rhos[1] - rhos[0])
-    slope = -1 / F.tan(th)
-    return best.select(*keys, slope.alias("slope"), (rho / F.sin(th) - slope * ((nx - 1) / 2) + (ny - 1) / 2).alias("intercept"), "score")
+    sin, tan = (F.when(F.abs(F.sin(th)) > VERTICAL, f(th)) for f in (F.sin, F.tan))
+    slope = -1 / tan
+    return best.select(*keys, slope.alias("slope"), (rho / sin - slope * ((nx - 1) / 2) + (ny - 1) / 2).alias("intercept"), "score")
 
 
 def window_function(signal: DataFrame, name: str, u: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from tempora.operators import circular as C
 from tempora.operators import density as D
 from tempora.operators import events as E
 from tempora.operators import geometry as G
+from tempora.operators import signals as S
 from tempora.operators import significance as P
 from tempora.operators import spectral as Q
 from tempora.plans import decoding as V
@@ -101,6 +102,19 @@ def test_compression_keeps_moments_and_ellipses_turn_round(spark):
         assert min(gap, G.ellipse_length(30, 12) - gap) < 0.01 and abs(x["d"]) < 1e-3
 
 
+def test_vertical_radon_lines(spark):
+    v = np.arange(20.0).reshape(4, 5) ** 2  # (y, x)
+    v[:, 3] += 1000
+    image = spark.createDataFrame([(x, y, float(v[y, x])) for y in range(4) for x in range(5)], "x int, y int, v double")
+    thetas, rhos = [0.0, math.pi / 2, math.pi], [-3.0 + k for k in range(7)]
+    lines = S.radon_lines(image, thetas, rhos, 5, 4)
+    got = {(r["theta"], r["rho"]): r["value"] for r in lines.collect()}
+    assert all(abs(got[0, k] - v[:, k - 1].sum()) < 1e-9 and abs(got[2, k] - v[:, 5 - k].sum()) < 1e-9 for k in range(1, 6))
+    assert {k for k in got if k[0] != 1} == {(t, k) for t in (0, 2) for k in range(1, 6)}
+    best = S.fit_line(lines, thetas, rhos, 5, 4).first()
+    assert (best["slope"], best["intercept"], best["score"]) == (None, None, v[:, 3].sum())
+
+
 def test_cases_of_events(spark):
     ev = spark.createDataFrame([("x", k, t, 0.0) for k, t in enumerate((0.0, 0.005, 0.010, 0.1, 0.104, 0.3))], "train string, event_id long, t double, mark double")
     got = [r["interval"] for r in E.intervals(ev, "pre").orderBy("t").collect()]
