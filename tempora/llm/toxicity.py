@@ -171,5 +171,5 @@ def learnable(labels: DataFrame, mod: int, out: int) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, learnable(table(spark, sf_dir, "labels"), 3, 1))
-    out = score(docs, model, spans=False)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+    out = score(docs, model)
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))

@@ -251,6 +251,19 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_op8_locates(spark):
+    d, cache = "/root/testdata/sf0.001", {}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.train(docs, toxicity.learnable(spark.read.parquet(f"{d}/labels.parquet"), 3, 1))
+    want = []
+    for r in docs.collect():
+        zs = [z for _, _, z in model.sentences(r["text"] or "", cache)]
+        bad = toxicity.noisy_or(zs) >= 0.7
+        want.append((r["doc_id"], int(bad), max(1, sum(1 / (1 + math.exp(-z)) >= 0.7 for z in zs)) if bad else 0))
+    got = [(r["doc_id"], r["predicted"], r["n_offending"]) for r in toxicity.op8_toxicity(spark, d).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_noisy_or():
     zs = [-1.0, 0.5, -30.0]
     assert abs(toxicity.noisy_or(zs) - (1 - math.prod(1 - 1 / (1 + math.exp(-z)) for z in zs))) < 1e-12 and toxicity.noisy_or([]) == 0
