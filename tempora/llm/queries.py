@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.SQL,
     "op7_exact_topk": exact_search.SQL,
 }
