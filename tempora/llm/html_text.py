@@ -22,34 +22,71 @@ BROADCAST_BYTES = 16 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body article main section div td".split())
 BLOCKS = CONTAINERS | frozenset("address blockquote br caption center dd details dir dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li ol p pre summary table tbody tfoot th thead tr ul html".split())
-#: Elements without article text, and words that name such an element in its class, id or role.
+#: Elements without article text, and words that name such an element in its class or id.
 DROPPED = frozenset("head nav header footer aside form button select option dialog menu svg math object audio video canvas map datalist".split())
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget header masthead topbar footer foot copyright "
-    "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager".split()
-)
+READERS_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ADVERT_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe share sharing social related recommended".split())
+LAYOUT_WORDS = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget header masthead topbar footer foot copyright cookie cookies consent gdpr notice notices popup modal overlay signup login pagination pager".split())
+DROPPED_WORDS = READERS_WORDS | ADVERT_WORDS | LAYOUT_WORDS
+DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Names that begin so say what a page is like, not what the element is: has-sidebar, no-comments.
+LIKENESS = frozenset("has is no not with without".split())
+#: Names of an article's own element; a composite name beside one of them (layout-sidebar) doesn't drop it.
+MAIN_NAMES = frozenset("article article-body article-content articlebody entry-content main main-content post-body post-content story-body".split())
 MAIN_WORDS = frozenset("article content entry main post story text body".split())
 BONUS = {"article": 4.0, "main": 2.0}
-#: What opens a new paragraph ends an open one.
+CODE = frozenset("pre code".split())
+INLINE = frozenset("a abbr b bdi bdo cite em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+#: Elements that end an open one of their own kind, in which they cannot lie.
+SIBLINGS = frozenset("p li dt dd td th tr option".split())
+#: Attributes up to the end of a tag. Only what follows = is quoted; a quote that never closes is a character like others. No part of it is read twice.
+REST = r"""(?>[^>"'=]++|=\s*+(?>"[^"]*+"|'[^']*+'|)|["'])*+"""
+#: Tags, comments and elements whose text isn't markup; what never ends goes on to the end of the page, so that no place is read once for each tag before it.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}'|[\"'])*?)>|<[!?/][^>]*>",
+    r"<!--(?>-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)(?=[\s/>])" + REST + r">.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)(" + REST + r")(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![^\s])hidden(?![^\s/])""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|"[^"]*+"|'[^']*+'""")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SPLIT = re.compile(r"[^a-z0-9]+")
 DIGITS = re.compile(r"\d+")
 
 
 @dataclass
 class Page:
-    """Containers by number (path, parent) and blocks of text (container, text, characters outside links) in page order; dropped elements have none."""
+    """Containers by number (parent, path) and blocks of text (container, text, characters outside links) in page order; dropped elements have none.
+
+    Paths are numbered, too, by the path above and their last step, so that deep pages take no more room than long ones.
+    """
 
-    paths: list[str] = field(default_factory=list)
-    parents: list[int] = field(default_factory=list)
-    weights: list[float] = field(default_factory=list)
+    steps: dict[tuple[int, str], int] = field(default_factory=lambda: {(-1, "body"): 0})
+    paths: list[int] = field(default_factory=lambda: [0])
+    parents: list[int] = field(default_factory=lambda: [0])
+    weights: list[float] = field(default_factory=lambda: [1.0])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
+    def add(self, parent: int, step: str, weight: float) -> int:
+        self.paths.append(self.steps.setdefault((self.paths[parent], step), len(self.steps)))
+        self.parents.append(parent)
+        self.weights.append(weight)
+        return len(self.paths) - 1
+
+    def name(self, path: int) -> str:
+        above, out = {n: key for key, n in self.steps.items()}, []
+        while path >= 0:
+            path, step = above[path]
+            out.append(step)
+        return ">".join(reversed(out))
+
+    def find(self, name: str) -> int | None:
+        at: int | None = -1
+        for step in name.split(">"):
+            at = self.steps.get((at, step))
+            if at is None:
+                return None
+        return at
+
     def scores(self) -> list[float]:
         """Text outside links of each container and, less so, of those inside it; more for what is marked as an article."""
         own = [0.0] * len(self.paths)
@@ -60,52 +97,110 @@ class Page:
         return [s * w for s, w in zip(own, self.weights, strict=True)]
 
     def best(self) -> str | None:
+        """The path of the container of the best score, the first of equals."""
         scores = self.scores()
-        return self.paths[max(range(len(scores)), key=scores.__getitem__)] if self.blocks else None
+        return self.name(self.paths[max(range(len(scores)), key=scores.__getitem__)]) if self.blocks else None
 
     def text(self, path: str) -> str:
         """Blocks of all containers of the path and of what they hold."""
-        inside = [False] * len(self.paths)
+        at, inside = self.find(path), [False] * len(self.paths)
         for c, p in enumerate(self.paths):
-            inside[c] = p == path or c > 0 and inside[self.parents[c]]
+            inside[c] = p == at or c > 0 and inside[self.parents[c]]
         return " ".join(t for c, t, _ in self.blocks if inside[c])
 
+    def chosen(self, winners: list[str]) -> str:
+        """The text of the first of the winning paths that holds any; else of the page's own best path."""
+        if not self.blocks:
+            return ""
+        full = [False] * len(self.paths)
+        for c, _, _ in self.blocks:
+            full[c] = True
+        for c in range(len(full) - 1, 0, -1):
+            full[self.parents[c]] |= full[c]
+        have = {p for p, f in zip(self.paths, full, strict=True) if f}
+        return self.text(next((w for w in winners if self.find(w) in have), None) or self.best())
+
+
+@dataclass
+class Marks:
+    """What an element's attributes say: generalised classes, names (class and id), their words, hidden or of a role without article text."""
+
+    classes: str = ""
+    names: list[str] = field(default_factory=list)
+    words: set[str] = field(default_factory=set)
+    gone: bool = False
 
-def marks(attributes: str) -> tuple[str, set[str], bool]:
-    """(generalised classes, words of class, id and role, hidden)."""
-    classes, words, hidden = "", set(), False
+    def drops(self, tag: str, inline: bool) -> bool:
+        """Whether a name says that this is no article text. Inline elements go as adverts only; article, main and what is named as the article itself only by a whole name, or a part that speaks of readers or adverts."""
+        if self.gone or not self.words & DROPPED_WORDS:
+            return self.gone
+        own = tag in ("article", "main") or not MAIN_NAMES.isdisjoint(self.names)
+        for name in self.names:
+            words = [w for w in SPLIT.split(name) if w]
+            if not words or words[0] in LIKENESS:
+                continue
+            bad = DROPPED_WORDS.intersection(words)
+            if inline:
+                bad &= ADVERT_WORDS
+            elif own and len(words) > 1:
+                bad -= LAYOUT_WORDS
+            if bad:
+                return True
+        return False
+
+
+def marks(attributes: str) -> Marks:
+    out = Marks()
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = (m[1] or "hidden").lower(), m[2] or m[3] or m[4] or ""
-        if name == "class":
-            classes = "".join("." + c for c in sorted({DIGITS.sub("#", x) for x in value.lower().split()}))
-        if name in ("class", "id", "role"):
-            words.update(x for x in SPLIT.split(value.lower()) if x)
-        hidden |= name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower()
-    return classes, words, hidden
+        if not m[1]:
+            continue
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "class" and not out.classes:
+            out.classes = "".join("." + c for c in sorted({DIGITS.sub("#", x).replace(">", "_") for x in value.lower().split()}))
+        if name in ("class", "id"):
+            names = [HUMP.sub("-", x).lower() for x in value.split()]
+            out.names += names
+            out.words.update(w for x in names for w in SPLIT.split(x) if w)
+        out.gone |= name == "hidden" and value.lower() != "until-found" or name == "style" and "display:none" in "".join(value.lower().split()) or name == "role" and value.strip().lower() in DROPPED_ROLES
+    return out
+
+
+NO_MARKS = Marks()
 
 
 def parse(source: str) -> Page:
-    page = Page(["body"], [0], [1.0])
+    page = Page()
     stack: list[tuple[str, int]] = [("body", 0)]  # open (tag, container); a negative container is inside a dropped element
+    depth: Counter = Counter()  # open elements of each tag
     parts: list[str] = []
-    links = linked = at = 0
+    links = linked = at = here = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and stack[-1][1] >= 0:
-                page.blocks.append((stack[-1][1], text, max(0, len(text) - linked)))
+            if text:
+                page.blocks.append((here, text, max(0, len(text) - linked)))
             parts.clear()
         linked = 0
 
     def say(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, here
         if stack[-1][1] >= 0 and piece:
             piece = entities.unescape(piece) if "&" in piece else piece
+            here = stack[-1][1]
             parts.append(piece)
             linked += len(piece) if links else 0
 
+    def push(tag: str, container: int) -> None:
+        stack.append((tag, container))
+        depth[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        depth[tag] -= 1
+        return tag
+
     for m in TOKEN.finditer(source):
         say(source[at : m.start()])
         at = m.end()
@@ -114,36 +209,31 @@ def parse(source: str) -> Page:
         tag = m[3].lower()
         if tag == "a":
             links = 0 if m[2] else 1
-        if tag in BLOCKS or tag in DROPPED:
+        block = tag in BLOCKS
+        if block or tag in DROPPED:
             flush()
         if m[2]:
-            if tag != "body" and any(t == tag for t, _ in stack[1:]):
-                while stack.pop()[0] != tag:
+            if depth[tag]:
+                while pop() != tag:
                     pass
             continue
         if tag in VOID or tag in ("html", "body"):
             continue
-        block = tag in BLOCKS
-        classes, words, hidden = marks(m[4]) if m[4].strip() else ("", frozenset(), False)
+        if tag in SIBLINGS and stack[-1][0] == tag or block and tag != "p" and stack[-1][0] == "p":
+            pop()
         above = stack[-1][1]
-        if tag in DROPPED or hidden or block and words & DROPPED_WORDS and not (tag in ("article", "main") or words & {"content", "article"}):
-            if above >= 0:
-                flush()
+        said = marks(m[4]) if m[4] and not m[4].isspace() else NO_MARKS
+        inline = not block
+        if above < 0:
+            if (block or depth[tag] or tag not in INLINE) and not m[4].endswith("/"):
+                push(tag, -1)
+        elif tag in DROPPED or said.gone or said.words and not (inline and any(depth[x] for x in CODE)) and said.drops(tag, inline):
             if not m[4].endswith("/"):
-                stack.append((tag, -1))
-        elif block or above < 0 and tag not in ("a", "b", "i", "em", "strong", "span", "u", "font"):
-            if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack[-1][0] == tag:
-                stack.pop()
-                above = stack[-1][1]
-            elif block and tag not in ("p", "br") and stack[-1][0] == "p":
-                stack.pop()
-                above = stack[-1][1]
-            if tag in CONTAINERS and above >= 0:
-                page.paths.append(f"{page.paths[above]}>{tag}{classes}")
-                page.parents.append(above)
-                page.weights.append(BONUS.get(tag, 1.5 if words & MAIN_WORDS else 1.0))
-                above = len(page.paths) - 1
-            stack.append((tag, above))
+                push(tag, -1)
+        elif block or tag in CODE:
+            if tag in CONTAINERS:
+                above = page.add(above, tag + said.classes, BONUS.get(tag, 1.5 if said.words & MAIN_WORDS else 1.0))
+            push(tag, above)
     say(source[at:])
     flush()
     return page
@@ -160,8 +250,11 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     WINNING_SHARE of its votes, and the first. A page's text is that of its containers of the winning
     path with most votes that it has; without one, that of its own best container. Pages of no host
     (null or odd url) vote among themselves. Null and empty html give ''. Blocks are trimmed, their
-    white space (Unicode's) is one space, and one space joins them in page order. Columns called text
-    are replaced.
+    white space (Unicode's) is one space, and one space joins them in page order. Tags are read as
+    HTML5 reads them, but that a quote which never closes doesn't take the rest of the page; an
+    unfinished last tag is no text. Time and memory are in proportion to a page, however deep or broken
+    it is. Equal scores go to the first container, equal votes to the greater path. Repeated rows vote
+    and stay, each. Columns called text are replaced, others stay; an empty table gives no rows.
     """
     (host, won) = fresh(pages, "_host", "_won")
     pages = without(pages, "text").withColumn(host, host_of(F.col("url")))
@@ -197,15 +290,13 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
             for lo, hi, raw, off in text_slices(b, at):
                 data = raw.tobytes()
                 for i in range(hi - lo):
-                    page = parse(data[off[i] : off[i + 1]].decode())
-                    have = set(page.paths[c] for c, _, _ in page.blocks)
-                    path = next((p for p in paths[lo + i] or () if any(h == p or h.startswith(p + ">") for h in have)), None) or page.best()
-                    texts.append(page.text(path) if path else "")
+                    texts.append(parse(data[off[i] : off[i + 1]].decode()).chosen(paths[lo + i] or []))
             yield pa.RecordBatch.from_arrays([*b.columns[:at_won], pa.array(texts, pa.string())], names=[*names, "text"])
 
     return ready.mapInArrow(thrifty(again), schema)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page, in the manner of extract; n_chars is a text's code points."""
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
