@@ -13,6 +13,8 @@ from .common import thrifty
 
 #: Bytes of query vectors that are broadcast at once; more queries take more passes over the candidates.
 GROUP_BYTES = 16 << 20
+#: Queries of a group whose scores with each other give the first thresholds; how far rounding may take a score.
+WARM, SLACK = 4096, 1e-9
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -40,12 +42,12 @@ def query_groups(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Best:
-    """The k best of each query so far: higher scores first, ties to smaller ids."""
+    """The k best of each query so far: higher scores first, ties to smaller ids. least: a score that k candidates of the query are known to reach, less what rounding may do."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None, kind: type = np.float64) -> None:
         self.k = k
-        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.least = np.full(queries, -np.inf)  # the k-th score; no lower one can enter
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
+        self.least = np.full(queries, -np.inf) if least is None else least.copy()
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(query):
@@ -58,7 +60,26 @@ class Best:
         keep = rank < self.k
         self.query, self.score, self.id = q[keep], s[keep], i[keep]
         last = rank == self.k - 1
-        self.least[q[last]] = s[last]
+        self.least[q[last]] = np.maximum(self.least[q[last]], lowered(s[last].astype(float)))
+
+
+def lowered(x: np.ndarray) -> np.ndarray:
+    return x - SLACK * (1 + np.abs(x))
+
+
+Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def first_least(matrix: np.ndarray, k: int, measure: Measure) -> np.ndarray:
+    """Of each query the k-th best score among at most WARM other queries, which are candidates, too; -inf if there are fewer."""
+    out, warm = np.full(len(matrix), -np.inf), matrix[:WARM]
+    if len(warm) > k:
+        for lo in range(0, len(matrix), 1024):
+            m = measure(matrix[lo : lo + 1024], warm).astype(float)
+            own = np.arange(lo, min(lo + len(m), len(warm)))
+            m[own - lo, own] = -np.inf
+            out[lo : lo + len(m)] = lowered(np.partition(m, len(warm) - k, axis=1)[:, len(warm) - k])
+    return out
 
 
 Blocks = Iterator[tuple[np.ndarray, np.ndarray]]
@@ -76,25 +97,26 @@ def blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Blocks:
             yield ids[at : at + rows], x[at : at + rows]
 
 
-def search(candidates: DataFrame, queries: DataFrame, k: int, work: Callable[[np.ndarray, np.ndarray, Blocks, Best], None], rows: int) -> DataFrame:
-    """(query_id, rank, vec_id, score double): each task keeps the k best of its candidates for each query by work(); the k best of these are the result.
+def search(candidates: DataFrame, queries: DataFrame, k: int, work: Callable[[np.ndarray, np.ndarray, Blocks, Best], object], rows: int, measure: Measure, kind: str = "double") -> DataFrame:
+    """(query_id, rank, vec_id, score): each task keeps the k best of its candidates for each query by work(); the k best of these are the result.
 
-    The query set is taken in groups of bounded size, each against all candidates; what is shuffled is k
-    rows a query and task.
+    queries are some of the candidates. They are taken in groups of bounded size, each against all
+    candidates; what is shuffled is k rows a query and task. measure: scores of two matrices, for the
+    first thresholds, so that bounds and stopping tests act from a task's first block on.
     """
-    spark, out = candidates.sparkSession, None
+    spark, out, dtype = candidates.sparkSession, None, np.int64 if kind == "long" else np.float64
     for ids, matrix in query_groups(queries):
-        group = spark.sparkContext.broadcast((ids, matrix))
+        group = spark.sparkContext.broadcast((ids, matrix, first_least(matrix, k, measure)))
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
-            ids, matrix = group.value
-            best = Best(len(ids), k)
+            ids, matrix, least = group.value
+            best = Best(len(ids), k, least, dtype)
             work(ids, matrix, blocks(batches, matrix.shape[1], rows), best)
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
-        part = candidates.mapInArrow(thrifty(run), "query_id long, vec_id long, score double")
+        part = candidates.mapInArrow(thrifty(run), f"query_id long, vec_id long, score {kind}")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+        out = spark.createDataFrame([], f"query_id long, vec_id long, score {kind}")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
