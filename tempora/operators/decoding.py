@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import density as D
@@ -30,55 +30,65 @@ def grid_of(low: float, high: float, step: float) -> list[float]:
     return [low + step / 2 + k * step for k in range(max(n, 0))]
 
 
+def _occupied(behavior: DataFrame, grid: list[float], bandwidth: float) -> DataFrame:
+    """One row: pix, the array of occupancies over the grid."""
+    one = behavior.select(F.array(F.col("x").cast("double")).alias("mean"), F.array(F.lit(bandwidth * bandwidth)).alias("var"))
+    p = D.grid_sums(one, [], grid, D.marginal_at(0, F.lit(1.0)), F.count(F.lit(1)).alias("n")).select(F.transform("sums", lambda v: F.coalesce(v / F.col("n"), F.lit(0.0))).alias("p"))
+    mean = F.aggregate("p", F.lit(0.0), lambda a, v: a + v) / (12 * len(grid))
+    return p.select(F.transform("p", lambda v: v + mean).alias("pix"))
+
+
+def _sources(components: DataFrame, pix: DataFrame, grid: list[float], position: int, duration: float, offset: float) -> DataFrame:
+    """(source, mu, pix, lx): a row a source with arrays over the grid; pix is one row."""
+    own = D.grid_sums(components, ["source"], grid, D.marginal_at(position), (F.count(F.lit(1)) / F.lit(duration)).alias("mu"))
+    full = own.join(F.broadcast(pix))  # one row
+    return full.select("source", "mu", "pix", F.zip_with("sums", "pix", lambda s, p: F.col("mu") * s / p + offset).alias("lx"))
+
+
 def occupancy(behavior: DataFrame, grid: list[float], bandwidth: float) -> DataFrame:
     """(g, x, pix): kernel density of positions (x) on the grid, plus a twelfth of its mean."""
-    one = behavior.select(F.lit("b").alias("source"), F.monotonically_increasing_id().alias("id"), F.array(F.col("x").cast("double")).alias("x"))
-    pi = D.on_grid(D.samples_to_components(one, [bandwidth * bandwidth], [0]), grid)
-    every = behavior.sparkSession.createDataFrame([(g, float(x)) for g, x in enumerate(grid)], "g int, x double")
-    full = every.join(F.broadcast(pi), "g", "left").select("g", "x", F.coalesce("density", F.lit(0.0)).alias("_p"))
-    total = full.agg((F.avg("_p") / 12).alias("_m"))
-    return full.join(F.broadcast(total)).select("g", "x", (F.col("_p") + F.col("_m")).alias("pix"))
+    rows = _occupied(behavior, grid, bandwidth).select(F.posexplode("pix").alias("g", "pix"))
+    return rows.select("g", F.array(*[F.lit(float(x)) for x in grid])[F.col("g")].alias("x"), "pix")
 
 
-def rates(components: DataFrame, pix: DataFrame, grid: list[float], position: int, duration: float, offset: float) -> DataFrame:
-    """(source, g, mu, lx): mean rate of each source and its rate at each grid point."""
-    mu = components.groupBy("source").agg((F.count(F.lit(1)) / F.lit(duration)).alias("mu"))
-    px = D.on_grid(D.marginalize(components, [position]), grid)
-    every = mu.withColumn("_g", F.explode(F.array(*[F.lit(g) for g in range(len(grid))]))).join(F.broadcast(pix), F.col("_g") == F.col("g"))
-    full = every.join(px, ["source", "g"], "left")
-    return full.select("source", "g", "mu", "pix", (F.col("mu") * F.coalesce("density", F.lit(0.0)) / F.col("pix") + offset).alias("lx"))
+def rates(components: DataFrame, behavior: DataFrame, grid: list[float], bandwidth: float, position: int, duration: float, offset: float) -> DataFrame:
+    """(source, g, mu, pix, lx): mean rate of each source and its rate at each grid point."""
+    src = _sources(components, _occupied(behavior, grid, bandwidth), grid, position, duration, offset)
+    return src.select("source", "mu", F.posexplode(F.arrays_zip("pix", "lx")).alias("g", "_z")).select("source", "g", "mu", "_z.pix", "_z.lx")
 
 
 def spike_grid(spikes: DataFrame, components: DataFrame, grid: list[float], features: list[int], position: int, width: float | None = None) -> DataFrame:
-    """(source, bin, id, g, pax) of each spike (source, bin, id, x) at every grid point, 0 where no component is near.
+    """(source, bin, id, pax array over the grid) of each spike (source, bin, id, x), zeros where no component is near.
 
-    Pairs of spike and component come by a range join on the first feature within the cutoff; only these
-    are spread over the grid, whose points are constants.
+    Pairs of spike and component come by a range join on the first feature within the cutoff; the grid's
+    points are constants, at which each pair is summed before the shuffle.
     """
     pairs = D.near_pairs(spikes, components, features, width=width)
     dims = [*features, position]
-    at = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(float(x)).alias("x")) for g, x in enumerate(grid)])).alias("_g")
-    spread = pairs.select("source", "bin", "id", "weight", "var", "mean", "q", at)
-    q = F.col("q") + (F.col("_g.x") - F.col("mean")[position]) * (F.col("_g.x") - F.col("mean")[position]) / F.col("var")[position]
-    value = F.col("weight") * D.scale(F.col("var"), dims) * F.exp(-q / 2)
-    hit = spread.filter(q <= D.CUTOFF).select("source", "bin", "id", F.col("_g.g").alias("g"), value.alias("p"))
-    none = spikes.select("source", "bin", "id", F.explode(F.array(*[F.lit(g) for g in range(len(grid))])).alias("g"), F.lit(0.0).alias("p"))
-    return hit.unionByName(none).groupBy("source", "bin", "id", "g").agg(F.sum("p").alias("pax"))
+
+    def value(x: float) -> Column:
+        q = F.col("q") + (x - F.col("mean")[position]) * (x - F.col("mean")[position]) / F.col("var")[position]
+        return F.when(q <= D.CUTOFF, F.col("weight") * D.scale(F.col("var"), dims) * F.exp(-q / 2)).otherwise(0.0)
+
+    sums = D.grid_sums(pairs, ["source", "bin", "id"], grid, value)
+    return spikes.select("source", "bin", "id").join(sums, ["source", "bin", "id"], "left").select("source", "bin", "id", F.coalesce("sums", F.array(*[F.lit(0.0)] * len(grid))).alias("pax"))
 
 
 def posterior(spikes: DataFrame, components: DataFrame, behavior: DataFrame, bins: DataFrame, grid: list[float], features: list[int], position: int, duration: float, options: Options = Options(), delta: float | None = None, width: float | None = None) -> DataFrame:
     """(bin, g, x, logp, p) of every bin; a bin without spikes has the prior less the rates."""
-    pix = occupancy(behavior, grid, options.position_bandwidth)
-    lx = rates(components, pix, grid, position, duration, options.offset)
-    pax = spike_grid(spikes, components, grid, features, position, width)
-    mu = F.broadcast(lx.select("source", "g", "mu", "pix"))
-    ll = pax.join(mu, ["source", "g"]).groupBy("bin", "g").agg(F.sum(F.ln(F.col("pax") + options.offset * F.col("pix") / F.col("mu"))).alias("ll"), F.count(F.lit(1)).alias("n"))
-    total = lx.groupBy("g").agg(F.sum("lx").alias("total"), F.first("pix").alias("pix")).join(F.broadcast(pix.select("g", "x")), "g")
-    every = bins.select("bin", F.explode(F.array(*[F.lit(g) for g in range(len(grid))])).alias("g")).join(F.broadcast(total), "g").join(ll, ["bin", "g"], "left")
-    logp = F.coalesce("ll", F.lit(0.0)) - F.coalesce("n", F.lit(0)) * F.ln("pix") - (options.run_bin if delta is None else delta) * F.col("total")
-    w = Window.partitionBy("bin")
-    e = every.select("bin", "g", "x", logp.alias("logp")).withColumn("_e", F.exp(F.col("logp") - F.max("logp").over(w)))
-    return e.select("bin", "g", "x", "logp", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
+    n = len(grid)
+    src = _sources(components, _occupied(behavior, grid, options.position_bandwidth), grid, position, duration, options.offset)
+    pax = spike_grid(spikes, components, grid, features, position, width).join(src.select("source", "mu", "pix"), "source")
+    logs = [F.sum(F.ln(F.col("pax")[g] + options.offset * F.col("pix")[g] / F.col("mu"))) for g in range(n)]
+    ll = pax.groupBy("bin").agg(F.array(*logs).alias("ll"), F.count(F.lit(1)).alias("n"))
+    total = src.agg(F.array(*[F.sum(F.col("lx")[g]) for g in range(n)]).alias("total"), F.first("pix").alias("pix"))
+    every = bins.select("bin").join(ll, "bin", "left").join(F.broadcast(total))  # total is one row
+    d = options.run_bin if delta is None else delta
+    log = [F.coalesce(F.col("ll")[g], F.lit(0.0)) - F.coalesce("n", F.lit(0)) * F.ln(F.col("pix")[g]) - d * F.col("total")[g] for g in range(n)]
+    e = every.select("bin", F.array(*log).alias("l")).withColumn("e", F.transform("l", lambda v: F.exp(v - F.array_max("l"))))
+    full = e.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+    rows = full.select("bin", "s", F.posexplode(F.arrays_zip("l", "e")).alias("g", "_z"))
+    return rows.select("bin", "g", F.array(*[F.lit(float(x)) for x in grid])[F.col("g")].alias("x"), F.col("_z.l").alias("logp"), (F.col("_z.e") / F.col("s")).alias("p"))
 
 
 def errors(post: DataFrame, truth: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def scale(var: Column, dims: list[int]) -> Column:
 def samples_to_components(samples: DataFrame, var: list[float], dims: list[int]) -> DataFrame:
     """One component of weight 1 / n (by source) for each sample (source, id, x)."""
     n = samples.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    return samples.join(F.broadcast(n), "source").select("source", F.col("id").alias("comp_id"), (1 / F.col("_n")).alias("weight"), F.array(*[F.col("x")[d].cast("double") for d in dims]).alias("mean"), F.array(*[F.lit(float(v)) for v in var]).alias("var"))
+    return samples.join(n, "source").select("source", F.col("id").alias("comp_id"), (1 / F.col("_n")).alias("weight"), F.array(*[F.col("x")[d].cast("double") for d in dims]).alias("mean"), F.array(*[F.lit(float(v)) for v in var]).alias("var"))
 
 
 def marginalize(components: DataFrame, dims: list[int]) -> DataFrame:
@@ -65,6 +65,22 @@ def on_grid(components: DataFrame, grid: list[float], dim: int = 0) -> DataFrame
     return near.groupBy("source", F.col("_g.g").alias("g")).agg(F.sum(F.col("weight") * scale(F.col("var"), [dim]) * F.exp(-F.col("_q") / 2)).alias("density"))
 
 
+def grid_sums(rows: DataFrame, keys: list[str], grid: list[float], values, *more: Column) -> DataFrame:
+    """(keys, sums array over the grid, more): values(x) is a column for the grid point x; one row a group is shuffled, not one a grid point."""
+    sums = [F.sum(values(float(x))) for x in grid]
+    return rows.groupBy(*keys).agg(F.array(*sums).alias("sums"), *more)
+
+
+def marginal_at(dim: int, weight: Column | None = None):
+    """Density of a component in one dimension at a point, 0 beyond the cutoff, as grid_sums takes it."""
+
+    def value(x: float) -> Column:
+        q = (x - F.col("mean")[dim]) * (x - F.col("mean")[dim]) / F.col("var")[dim]
+        return F.when(q <= CUTOFF, (F.col("weight") if weight is None else weight) * scale(F.col("var"), [dim]) * F.exp(-q / 2)).otherwise(0.0)
+
+    return value
+
+
 def moment_match(components: DataFrame, keys: list[str], dims: list[int]) -> DataFrame:
     """(keys, weight, mean, var): one diagonal component with the weight, mean and variance of each group."""
     w = F.col("weight")
@@ -103,7 +119,7 @@ def mixed_density(points: DataFrame, data: DataFrame, kernels: list[tuple[str, f
         near = points.join(data, "source")
     total = data.groupBy("source").agg(F.sum("weight").alias("_w"))
     got = near.groupBy("source", "id").agg(F.sum(F.col("weight") * mixed_kernel(F.col("y"), F.col("x"), kernels)).alias("s"))
-    return got.join(F.broadcast(total), "source").select("source", "id", (F.col("s") / F.col("_w")).alias("value"))
+    return got.join(total, "source").select("source", "id", (F.col("s") / F.col("_w")).alias("value"))
 
 
 def merge_source(x: np.ndarray, var: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

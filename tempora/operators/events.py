@@ -31,7 +31,8 @@ def rate_in(events: DataFrame, segs: DataFrame, width: float, separate: bool = F
     merged = remove_overlap(segs)
     total = merged.agg(F.sum(F.col("stop") - F.col("start")).alias("total"))
     n = range_join(events, merged.select("start", "stop"), width).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(total)).select(KEY, "n", (F.col("n") / F.col("total")).alias("rate"))
+    return n.crossJoin(F.broadcast(total)).select(KEY,  # total is one row
+         "n", (F.col("n") / F.col("total")).alias("rate"))
 
 
 def bins(events: DataFrame, grid: DataFrame, width: float, kind: str = "count") -> DataFrame:
@@ -153,7 +154,7 @@ def peri_event_histogram(events: DataFrame, reference: DataFrame, edges: list[fl
         return counts.withColumnRenamed("c", "value")
     ne = events.groupBy(KEY).agg(F.count(F.lit(1)).alias("ne"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     nr = reference.groupBy(F.col(KEY).alias("ref_train")).agg(F.count(F.lit(1)).alias("nr"), F.min("t").alias("r0"), F.max("t").alias("r1"))
-    x = counts.join(F.broadcast(ne), KEY).join(F.broadcast(nr), "ref_train")
+    x = counts.join(ne, KEY).join(nr, "ref_train")
     total = F.lit(float(duration)) if duration else F.greatest("t1", "r1") - F.least("t0", "r0")
     c, e, r = F.col("c"), F.col("ne"), F.col("nr")
     density = c / (step * total)
@@ -183,7 +184,7 @@ def density(events: DataFrame, grid: DataFrame, bandwidth: float, cutoff: float
     near = range_join(events.select(KEY, "t"), grid.select("x", (F.col("x") - cutoff * h).alias("start"), (F.col("x") + cutoff * h).alias("stop")), 2 * cutoff * h, closed=True)
     n = events.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
     u = (F.col("t") - F.col("x")) / h
-    return near.groupBy(KEY, "x").agg(F.sum(F.exp(-u * u / 2)).alias("s")).join(F.broadcast(n), KEY).select(KEY, "x", (F.col("s") / (F.col("n") * h * math.sqrt(2 * math.pi))).alias("density"))
+    return near.groupBy(KEY, "x").agg(F.sum(F.exp(-u * u / 2)).alias("s")).join(n, KEY).select(KEY, "x", (F.col("s") / (F.col("n") * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def split_by_string(rows: DataFrame, string: str, t: str = "t") -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: A level's buckets are so many times as wide as those of the level below.
 STEP = 16
+#: Parts that points meet very long segments in; each such segment is listed in all of them.
+SALTS = 32
+#: Stretches of time that a window without keys is cut into.
+STRETCHES = 256
 
 
 def _bucket(x: Column, width: float, level: Column) -> Column:
@@ -17,18 +21,22 @@ def by_bucket(segs: DataFrame, width: float, levels: int, start: str = "start",
     """segs with _level and _bucket: a segment is listed in the buckets that it touches on the level of its length.
 
     Lengths up to STEP * width * STEP ** level stay on a level, so a segment is in STEP + 1 buckets at
-    most; what is longer than the top level allows, infinite ends included, is in the one bucket 0 of the
-    extra level `levels`.
+    most; what is longer than the top level allows, infinite ends included, is in all of the SALTS parts of
+    the extra level `levels`, over which points are dealt by hash.
     """
     length = F.col(stop) - F.col(start)
     level = F.lit(levels)
     for k in range(levels - 1, -1, -1):
         level = F.when(length <= float(width) * STEP ** (k + 1), k).otherwise(level)
     lo, hi = _bucket(F.col(start), width, F.col("_level")), _bucket(F.col(stop), width, F.col("_level"))
-    listed = F.when(F.col("_level") < levels, F.sequence(lo, hi)).otherwise(F.array(F.lit(0).cast("long")))
+    listed = F.when(F.col("_level") < levels, F.sequence(lo, hi)).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     return segs.withColumn("_level", level.cast("int")).withColumn("_bucket", F.explode(listed))
 
 
+def _salt(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(SALTS).cast("long"))
+
+
 def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str, ...] = (), x: str = "t", closed: bool = False, how: str = "inner", levels: int = 2) -> DataFrame:
     """Rows of points with each segment of equal keys that has start <= x < stop (closed: <= stop).
 
@@ -37,7 +45,7 @@ def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str
     nothing.
     """
     s = by_bucket(segs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in segs.columns if c not in keys]), width, levels)
-    every = F.array(*[F.struct(F.lit(k).alias("l"), _bucket(F.col(x), width, F.lit(float(k))).alias("b")) for k in range(levels)], F.struct(F.lit(levels).alias("l"), F.lit(0).cast("long").alias("b")))
+    every = F.array(*[F.struct(F.lit(k).alias("l"), _bucket(F.col(x), width, F.lit(float(k))).alias("b")) for k in range(levels)], F.struct(F.lit(levels).alias("l"), _salt(F.col(x)).alias("b")))
     inside = (F.col(x) >= F.col("start")) & ((F.col(x) <= F.col("stop")) if closed else (F.col(x) < F.col("stop")))
     on = (F.col("_p.l") == F.col("_level")) & (F.col("_p.b") == F.col("_bucket")) & inside
     for i, c in enumerate(keys):
@@ -46,7 +54,7 @@ def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str
         return points.withColumn("_p", F.explode(every)).join(s, on).drop("_p", "_level", "_bucket", *[f"_k{i}" for i in range(len(keys))])
     # the others go level by level: what no level matches, and what one of them does
     def at(rows: DataFrame, k: int, kind: str) -> DataFrame:
-        bucket = _bucket(F.col(x), width, F.lit(float(k))) if k < levels else F.floor(F.col(x) * 0)
+        bucket = _bucket(F.col(x), width, F.lit(float(k))) if k < levels else _salt(F.col(x))
         cond = (bucket == F.col("_bucket")) & inside
         for i, c in enumerate(keys):
             cond = cond & (F.col(c) == F.col(f"_k{i}"))
@@ -64,36 +72,98 @@ def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str
     return range_join(points, segs, width, keys, x, closed, "inner", levels).unionByName(none, allowMissingColumns=True)
 
 
-def interval_join(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...] = (), closed: bool = False) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...] = (), closed: bool = False, levels: int = 2) -> DataFrame:
     """Pairs of overlapping segments of equal keys: a's columns with suffix _a, b's with _b.
 
-    Open overlap a.start < b.stop and b.start < a.stop; closed also takes touching ends. A pair that
-    shares several buckets is kept in the first of them only.
+    Open overlap a.start < b.stop and b.start < a.stop; closed also takes touching ends. A segment lies
+    on the level of its length and is listed in the few buckets that it touches there and on all coarser
+    levels; a pair meets on the coarser one's level and is kept in the first bucket that both touch. What
+    is too long for the levels, infinite ends included, meets all others of its keys, dealt by hash; two
+    such segments meet in the part of the first one.
     """
     side = lambda df, s: df.select(*[F.col(c).alias(c if c in keys else f"{c}_{s}") for c in df.columns])
-    listed = lambda df, s: df.withColumn(f"_{s}", F.explode(F.sequence(F.floor(F.col(f"start_{s}") / width), F.floor(F.col(f"stop_{s}") / width))))
+
+    def listed(df: DataFrame, s: str) -> DataFrame:
+        """df with level _n (of its length), _l (of a listing) and _b (bucket)."""
+        lo, hi = F.col(f"start_{s}"), F.col(f"stop_{s}")
+        own = F.lit(levels)
+        for k in range(levels - 1, -1, -1):
+            own = F.when(hi - lo <= float(width) * STEP ** (k + 1), k).otherwise(own)
+        parts = F.array(*[F.lit(k) for k in range(levels)])
+        seen = F.flatten(F.transform(F.filter(parts, lambda k: k >= F.col(f"_n{s}")), lambda k: F.transform(F.sequence(_bucket(lo, width, k.cast("double")), _bucket(hi, width, k.cast("double"))), lambda b: F.struct(k.alias("l"), b.alias("b")))))
+        salt = F.pmod(F.xxhash64(lo, hi), F.lit(SALTS).cast("long"))
+        long_ = lambda at: F.struct(F.lit(levels).alias("l"), at.alias("b"))
+        every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")), long_)
+        # on the extra level a's long segments lie in all parts, b's in their own; shorter ones of either side in their own
+        top = F.when(F.col(f"_n{s}") < levels, F.array(long_(salt))).otherwise(every)
+        out = df.filter(lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi)).withColumn(f"_n{s}", own)
+        out = out.withColumn(f"_e{s}", F.explode(F.concat(F.when(F.col(f"_n{s}") < levels, seen).otherwise(F.array().cast("array<struct<l:int,b:bigint>>")), top)))
+        return out.withColumn(f"_s{s}", salt)
+
     x, y = listed(side(a, "a"), "a"), listed(side(b, "b"), "b")
     for i, c in enumerate(keys):
         y = y.withColumnRenamed(c, f"_k{i}")
-    first = F.greatest(F.floor(F.col("start_a") / width), F.floor(F.col("start_b") / width))
-    on = (F.col("_a") == F.col("_b")) & (F.col("_a") == first)
+    at = F.greatest("_na", "_nb")
+    first = F.greatest(_bucket(F.col("start_a"), width, at.cast("double")), _bucket(F.col("start_b"), width, at.cast("double")))
+    # of two long segments the part of a's counts; of a long and a shorter one the shorter one's
+    part = F.when((F.col("_na") == levels) & (F.col("_nb") < levels), F.col("_sb")).otherwise(F.col("_sa"))
+    on = (F.col("_ea.l") == F.col("_eb.l")) & (F.col("_ea.b") == F.col("_eb.b"))
+    on = on & (F.col("_ea.l") == at) & (F.col("_ea.b") == F.when(at < levels, first).otherwise(part))
     on = on & ((F.col("start_a") <= F.col("stop_b")) & (F.col("start_b") <= F.col("stop_a")) if closed else (F.col("start_a") < F.col("stop_b")) & (F.col("start_b") < F.col("stop_a")))
     for i, c in enumerate(keys):
         on = on & (F.col(c) == F.col(f"_k{i}"))
-    return x.join(y, on).drop("_a", "_b", *[f"_k{i}" for i in range(len(keys))])
+    return x.join(y, on).drop("_na", "_nb", "_ea", "_eb", "_sa", "_sb", *[f"_k{i}" for i in range(len(keys))])
+
+
+def stretches(df: DataFrame, t: str, name: str = "_c", parts: int = STRETCHES) -> DataFrame:
+    """df with the number of the stretch, of parts even ones, that t lies in; what isn't finite is in the first or last one."""
+    x = F.when(F.abs(F.col(t)) < float("inf"), F.col(t))
+    ends = df.agg(F.min(x).alias("_t0"), F.max(x).alias("_t1"))  # one row
+    at = F.floor((F.col(t) - F.col("_t0")) * parts / F.when(F.col("_t1") > F.col("_t0"), F.col("_t1") - F.col("_t0")))
+    bound = F.when(F.col(t) == float("-inf"), 0).when(F.col(t) == float("inf"), parts).otherwise(F.coalesce(at, F.lit(0)))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, bound.cast("int")).drop("_t0", "_t1")
+
+
+def running(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, kind: str, name: str, before: bool = False) -> DataFrame:
+    """df with name: the running sum, max or last non-null of value in order, row by row inside the chunks and one row a chunk between them.
+
+    before: without the row itself. chunk rises with order; only the chunks' totals of equal keys meet in one task.
+    """
+    of = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[kind]
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    marked = df.withColumns({"_v": value}).withColumn("_own", of(F.col("_v")).over(inside))
+    if kind == "last":
+        held = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        totals = marked.withColumn("_all", of(F.col("_v")).over(held)).groupBy(*keys, chunk).agg(F.first("_all").alias("_t"))
+    else:
+        totals = marked.groupBy(*keys, chunk).agg(of(F.col("_v")).alias("_t"))
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate([*keys, chunk])], of(F.col("_t")).over(earlier).alias("_carry"))
+    on = F.lit(True)
+    for i, k in enumerate([*keys, chunk]):
+        on = on & F.col(k).eqNullSafe(F.col(f"_j{i}"))
+    both = {"sum": F.coalesce("_own", F.lit(0)) + F.coalesce("_carry", F.lit(0)), "max": F.greatest("_own", "_carry"), "last": F.coalesce("_own", "_carry")}[kind]
+    return marked.join(carry, on).withColumn(name, both).drop("_v", "_own", "_carry", *[f"_j{i}" for i in range(len(keys) + 1)])
 
 
 def asof(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[str, ...] = (), t: str = "t", backward: bool = True, strict: bool = False) -> DataFrame:
     """left with the struct _asof (t, *values) of the last right row at or before its t (backward) or the first at or after.
 
-    One union and one window; equal times match unless strict. Null where there is none.
+    One union and one window; equal times match unless strict. Null where there is none. Without keys the
+    window is cut into stretches of time, which hand their last right row on.
     """
     place = 1 if (backward != strict) else 0  # left rows sort after (1) or before right rows of the same time
     a = left.select(F.struct("*").alias("_l"), *keys, F.col(t).alias("_t"), F.lit(place).alias("_o"), F.lit(None).cast(right.select(F.struct(F.col(t).alias("t"), *values)).schema[0].dataType).alias("_r"))
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *keys, F.col(t).alias("_t"), F.lit(1 - place).alias("_o"), F.struct(F.col(t).alias("t"), *values).alias("_r"))
     order = ["_t", "_o"] if backward else [F.desc("_t"), F.desc("_o")]  # a frame that grows from the start is linear, one up to the end isn't
+    both = a.unionByName(b)
+    if not keys:
+        cut = stretches(both, "_t")
+        if not backward:
+            cut = cut.withColumn("_c", -F.col("_c"))
+        return running(cut, [], "_c", order, F.col("_r"), "last", "_asof").filter("_l IS NOT NULL").select("_l.*", "_asof")
     got = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return a.unionByName(b).withColumn("_asof", got).filter("_l IS NOT NULL").select("_l.*", "_asof")
+    return both.withColumn("_asof", got).filter("_l IS NOT NULL").select("_l.*", "_asof")
 
 
 def interpolate(points: DataFrame, samples: DataFrame, value: str, keys: tuple[str, ...] = (), t: str = "t") -> DataFrame:

@@ -1,7 +1,7 @@
 """Algebra of segments (set_id, start, stop): every function takes and returns DataFrames; sets are kept apart by set_id.
 
-A set is one task's work in a window. For a set of very many segments merge with chunk, which first
-merges inside stretches of time in parallel.
+Without chunk a set is one task's work in a window. With it the set is cut into stretches of so much
+time, which only hand sums on to one another; what takes a width is cut into stretches of STRETCH widths.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import interval_join, range_join
+from .joins import interval_join, range_join, running, stretches
 
 KEY = "set_id"
+#: Widths in a stretch of time.
+STRETCH = 1024
 
 
 def check(segs: DataFrame) -> DataFrame:
@@ -25,7 +27,12 @@ def from_edges(edges: DataFrame, x: str = "x") -> DataFrame:
     return edges.select(KEY, F.col(x).alias("start"), F.lead(x).over(w).alias("stop")).filter("stop IS NOT NULL")
 
 
-def _islands(segs: DataFrame, apart: Column, keys: list[str]) -> DataFrame:
+def _islands(segs: DataFrame, apart: Column, keys: list[str], chunk: float | None = None) -> DataFrame:
+    if chunk:
+        cut = segs.select(*keys, "start", "stop", F.floor(F.greatest(F.least(F.col("start"), F.lit(1e15)), F.lit(-1e15)) / chunk).alias("_c"))
+        order = ["start", "stop"]
+        marked = running(cut, keys, "_c", order, F.col("stop"), "max", "_m", before=True).withColumn("_new", F.when(F.col("_m").isNull() | apart, 1).otherwise(0))
+        return running(marked, keys, "_c", order, F.col("_new"), "sum", "_i").groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
     w = Window.partitionBy(*keys).orderBy("start", "stop")
     m = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = segs.select(*keys, "start", "stop", m.alias("_m")).withColumn("_new", F.when(F.col("_m").isNull() | apart, 1).otherwise(0))
@@ -36,9 +43,7 @@ def remove_overlap(segs: DataFrame, strict: bool = True, gap: float = 0.0, chunk
     """Merged segments. strict merges touching ones too, else they stay apart; gap also bridges that distance."""
     edge = F.col("_m") + gap if gap else F.col("_m")
     apart = (F.col("start") > edge) if strict or gap else (F.col("start") >= edge)
-    if chunk:
-        segs = _islands(segs.withColumn("_c", F.floor(F.col("start") / chunk)), apart, [KEY, "_c"])
-    return _islands(segs, apart, [KEY])
+    return _islands(segs, apart, [KEY], chunk)
 
 
 def join_gap(segs: DataFrame, gap: float) -> DataFrame:
@@ -46,8 +51,8 @@ def join_gap(segs: DataFrame, gap: float) -> DataFrame:
     return remove_overlap(remove_overlap(segs), gap=gap)
 
 
-def union(*sets: DataFrame, name: str = "union") -> DataFrame:
-    return remove_overlap(concatenate(*sets, name=name))
+def union(*sets: DataFrame, name: str = "union", chunk: float | None = None) -> DataFrame:
+    return remove_overlap(concatenate(*sets, name=name), chunk=chunk)
 
 
 def concatenate(*sets: DataFrame, name: str | None = None) -> DataFrame:
@@ -58,10 +63,10 @@ def concatenate(*sets: DataFrame, name: str | None = None) -> DataFrame:
     return out.withColumn(KEY, F.lit(name)) if name else out
 
 
-def invert(segs: DataFrame) -> DataFrame:
+def invert(segs: DataFrame, chunk: float | None = None) -> DataFrame:
     """The gaps of each set's merged segments on (-inf, inf); without width at infinity."""
-    w = Window.partitionBy(KEY).orderBy("start")
-    m = remove_overlap(segs).select(KEY, "start", "stop", F.lag("stop").over(w).alias("_p"), F.lead("start").over(w).alias("_n"))
+    w = Window.partitionBy(KEY).orderBy("start")  # over merged segments
+    m = remove_overlap(segs, chunk=chunk).select(KEY, "start", "stop", F.lag("stop").over(w).alias("_p"), F.lead("start").over(w).alias("_n"))
     inf = float("inf")
     before = m.filter("_p IS NULL").select(KEY, F.lit(-inf).alias("start"), F.col("start").alias("stop"))
     after = m.select(KEY, F.col("stop").alias("start"), F.coalesce("_n", F.lit(inf)).alias("stop"))
@@ -74,7 +79,7 @@ def _clip(segs: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def intersection(a: DataFrame, b: DataFrame, width: float, name: str = "intersection") -> DataFrame:
     """What lies in both sets, each merged first; touching ends share nothing."""
-    pairs = interval_join(remove_overlap(a), remove_overlap(b), width)
+    pairs = interval_join(remove_overlap(a, chunk=STRETCH * width), remove_overlap(b, chunk=STRETCH * width), width)
     return pairs.select(F.lit(name).alias(KEY), F.greatest("start_a", "start_b").alias("start"), F.least("stop_a", "stop_b").alias("stop"))
 
 
@@ -90,8 +95,8 @@ def exclusive(a: DataFrame, others: list[DataFrame], width: float, name: str = "
 
     The cuts come by an interval join; a segment's pieces lie between them. No infinite segment is made.
     """
-    kept = remove_overlap(a.withColumn(KEY, F.lit(name)))
-    cuts = union(*others, name=name)
+    kept = remove_overlap(a.withColumn(KEY, F.lit(name)), chunk=STRETCH * width)
+    cuts = union(*others, name=name, chunk=STRETCH * width)
     hit = interval_join(kept, cuts, width).select(F.col("start_a").alias("_s"), F.col("stop_a").alias("_e"), F.greatest("start_a", "start_b").alias("lo"), F.least("stop_a", "stop_b").alias("hi"))
     w = Window.partitionBy("_s", "_e").orderBy("lo")
     parts = hit.select("_s", "_e", F.coalesce(F.lag("hi").over(w), F.col("_s")).alias("start"), F.col("lo").alias("stop"))
@@ -103,7 +108,7 @@ def exclusive(a: DataFrame, others: list[DataFrame], width: float, name: str = "
 
 def difference(sets: list[DataFrame], width: float, name: str = "difference") -> DataFrame:
     """The union of all less the intersection of all; for more than two sets this isn't parity."""
-    return exclusive(union(*sets), [intersection_all(sets, width)], width, name)
+    return exclusive(union(*sets, chunk=STRETCH * width), [intersection_all(sets, width)], width, name)
 
 
 def scale(segs: DataFrame, value: float, reference: float = 0.5) -> DataFrame:
@@ -129,7 +134,7 @@ def has_overlap(segs: DataFrame) -> DataFrame:
 
 
 def positions(points: DataFrame, x: str, chunk: float) -> DataFrame:
-    """points with _n: their position by x, from 0. Rows are numbered inside stretches of length chunk, whose counts give the offsets; only one row a stretch meets in one task."""
+    """points with _n: their position by x, from 0. Rows are numbered inside stretches of length chunk, whose counts give the offsets; only one row a stretch, so the time range over chunk, meets in one task."""
     b = points.withColumn("_b", F.floor(F.col(x) / chunk))
     n = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     before = n.select(F.col("_b").alias("_k"), F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
@@ -155,6 +160,9 @@ def cover_count(points: DataFrame, segs: DataFrame, x: str = "t", keys: tuple[st
     down = segs.select(*keys, F.col("stop").alias("_t"), F.lit(-1).alias("_d"), F.lit(0).alias("_o"))
     at = points.select(*keys, F.col(x).alias("_t"), F.lit(0).alias("_d"), F.lit(1).alias("_o"), F.struct("*").alias("_l"))
     every = up.unionByName(down).unionByName(at, allowMissingColumns=True)
+    if not keys:
+        every = running(stretches(every, "_t"), [], "_c", ["_t", "_o"], F.col("_d"), "sum", "n")
+        return every.filter("_o = 1").select("_l.*", "n")
     w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     return every.withColumn("n", F.sum("_d").over(w)).filter("_o = 1").select("_l.*", "n")
 

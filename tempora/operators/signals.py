@@ -88,7 +88,8 @@ def detection_rates(online: DataFrame, offline: DataFrame, window: float) -> Dat
     hits = range_join(online.select("t", F.monotonically_increasing_id().alias("id")), segs, window, closed=True).select("seg_id", "id")
     counts = hits.agg(F.count_distinct("seg_id").alias("s"), F.count_distinct("id").alias("o"))
     ns, no = offline.agg(F.count(F.lit(1)).alias("ns")), online.agg(F.count(F.lit(1)).alias("no"))
-    return counts.join(F.broadcast(ns)).join(F.broadcast(no)).select((F.col("s") / F.col("ns")).alias("true_positive"), (1 - F.col("s") / F.col("ns")).alias("false_negative"), (1 - F.col("o") / F.col("no")).alias("false_positive"))
+    return counts.crossJoin(F.broadcast(ns)).crossJoin(F.broadcast(no)).select(  # one row each
+        (F.col("s") / F.col("ns")).alias("true_positive"), (1 - F.col("s") / F.col("ns")).alias("false_negative"), (1 - F.col("o") / F.col("no")).alias("false_positive"))
 
 
 def weights(name: str, bandwidth: float, normalize: str = "sum") -> list[tuple[int, float]]:
@@ -130,14 +131,14 @@ def windows(signal: DataFrame, size: int, shift: int) -> DataFrame:
     n = signal.groupBy(KEY).agg((F.max("i") + 1).alias("_n"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / shift)).cast("long")
     hi = F.floor(F.col("i") / shift).cast("long")
-    x = signal.join(F.broadcast(n), KEY).filter(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi)))
+    x = signal.join(n, KEY).filter(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi)))
     return x.filter(F.col("window") * shift + size <= F.col("_n")).select(KEY, "window", (F.col("i") - F.col("window") * shift).alias("k"), "v")
 
 
 def trigger_windows(signal: DataFrame, triggers: DataFrame, before: int, after: int) -> DataFrame:
     """(channel, trigger, k, v): samples from before to after each trigger (channel, trigger, at); triggers too near to an edge are dropped."""
     n = signal.groupBy(KEY).agg(F.max("i").alias("_n"))
-    fit = triggers.join(F.broadcast(n), KEY).filter((F.col("at") >= before) & (F.col("at") + after <= F.col("_n")))
+    fit = triggers.join(n, KEY).filter((F.col("at") >= before) & (F.col("at") + after <= F.col("_n")))
     want = fit.withColumn("k", F.explode(F.sequence(F.lit(-before), F.lit(after)))).select(KEY, "trigger", "k", (F.col("at") + F.col("k")).alias("i"))
     return want.join(signal.select(KEY, "i", "v"), [KEY, "i"]).select(KEY, "trigger", "k", "v")
 
@@ -145,8 +146,8 @@ def trigger_windows(signal: DataFrame, triggers: DataFrame, before: int, after:
 def remove_artefacts(signal: DataFrame, artefacts: DataFrame, before: float, after: float, width: float, fill: float | None = None) -> DataFrame:
     """signal with v replaced near artefact times (t): by fill, or by the line between the good samples on either side."""
     bad = artefacts.select((F.col("t") - before).alias("start"), (F.col("t") + after).alias("stop"))
-    flagged = range_join(signal, bad.withColumn("_bad", F.lit(True)), width, closed=True, how="left").groupBy(*signal.columns).agg(F.bool_or("_bad").alias("_bad"))
-    is_bad = F.coalesce("_bad", F.lit(False))
+    flagged = range_join(signal, bad, width, closed=True, how="left_semi").withColumn("_bad", F.lit(True)).unionByName(range_join(signal, bad, width, closed=True, how="left_anti").withColumn("_bad", F.lit(False)))
+    is_bad = F.col("_bad")
     if fill is not None:
         return flagged.withColumn("v", F.when(is_bad, F.lit(fill)).otherwise(F.col("v"))).drop("_bad")
     good = F.when(~is_bad, F.struct("t", "v"))
@@ -166,7 +167,7 @@ def cross_correlation(x: DataFrame, y: DataFrame, lags: int, scale: str = "none"
     nx = x.groupBy(KEY).agg(F.count("v").alias("n"), F.sum(F.col("v") * F.col("v")).alias("xx"))
     ny = y.groupBy(KEY).agg(F.sum(F.col("v") * F.col("v")).alias("yy"))
     by = {"biased": F.col("n"), "unbiased": F.col("n") - F.abs("lag"), "coeff": F.sqrt(F.col("xx") * F.col("yy"))}[scale]
-    return s.join(F.broadcast(nx), KEY).join(F.broadcast(ny), KEY).select(KEY, "lag", (F.col("s") / by).alias("value"))
+    return s.join(nx, KEY).join(ny, KEY).select(KEY, "lag", (F.col("s") / by).alias("value"))
 
 
 def radon_lines(image: DataFrame, thetas: list[float], rhos: list[float], nx: int, ny: int, keys: tuple[str, ...] = ()) -> DataFrame:

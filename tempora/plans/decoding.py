@@ -1,4 +1,4 @@
-"""Queries of densities and decoding: vectors are spikes of their label's source; even ones train, odd ones test, but mixtures are made of all; the third element is the position."""
+"""Queries of densities and decoding: vectors are spikes of their label's source, all of them both samples and what is decoded; the third element is the position."""
 
 from __future__ import annotations
 
@@ -21,26 +21,17 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("label").alias("source"), F.col("vec_id").alias("id"), x.alias("x"), F.floor(F.col("vec_id") / 25).alias("bin"))
 
 
-def training(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).filter("id % 2 = 0")
-
-
-def test(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).filter("id % 2 = 1")
-
-
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return D.samples_to_components(training(spark, d), VAR, [0, 1, 2])
+    return D.samples_to_components(vectors(spark, d), VAR, [0, 1, 2])
 
 
 def posterior(spark: SparkSession, d: str) -> DataFrame:
-    t = training(spark, d)
-    behavior = t.select(F.col("x")[2].alias("x"))
-    return C.posterior(test(spark, d), components(spark, d), behavior, vectors(spark, d).select("bin").distinct(), GRID, [0, 1], 2, 500.0, OPTIONS, 0.25, 0.8)
+    behavior = vectors(spark, d).select(F.col("x")[2].alias("x"))
+    return C.posterior(vectors(spark, d), components(spark, d), behavior, vectors(spark, d).select("bin").distinct(), GRID, [0, 1], 2, 500.0, OPTIONS, 0.25, 0.8)
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    return test(spark, d).groupBy("bin").agg(F.avg(F.col("x")[2]).alias("x"))
+    return vectors(spark, d).groupBy("bin").agg(F.avg(F.col("x")[2]).alias("x"))
 
 
 def samples_of_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -48,15 +39,15 @@ def samples_of_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "dens_eval": lambda s, d: rounded(D.evaluate(test(s, d), components(s, d), [0, 1, 2], 0.8).select("id", "density"), "density", places=8),
+    "dens_eval": lambda s, d: rounded(D.evaluate(vectors(s, d), components(s, d), [0, 1, 2], 0.8).select("id", "density"), "density", places=8),
     "dens_marginal": lambda s, d: rounded(D.on_grid(D.marginalize(components(s, d), [2]), GRID), "density", places=9),
     "dens_moment_match": lambda s, d: D.moment_match(components(s, d), ["source"], [0, 1, 2]).select("source", F.round("weight", 6).alias("weight"), *[F.round(F.col("mean")[k], 6).alias(f"m{k}") for k in range(3)], *[F.round(F.col("var")[k], 5).alias(f"v{k}") for k in range(3)]),
-    "dens_mixed": lambda s, d: rounded(D.mixed_density(test(s, d), training(s, d).select("source", F.col("x").alias("y"), F.lit(1.0).alias("weight")), [("gaussian", 0.1), ("epanechnikov", 0.4), ("vonmises", 2.0)], 0.8), "value", places=8),
+    "dens_mixed": lambda s, d: rounded(D.mixed_density(vectors(s, d), vectors(s, d).select("source", F.col("x").alias("y"), F.lit(1.0).alias("weight")), [("gaussian", 0.1), ("epanechnikov", 0.4), ("vonmises", 2.0)], 0.8), "value", places=8),
     "dens_distances": lambda s, d: rounded(
         components(s, d).alias("a").join(D.moment_match(components(s, d), ["source"], [0, 1, 2]).alias("b"), "source").select("comp_id", D.hellinger(F.col("a.mean"), F.col("a.var"), F.col("b.mean"), F.col("b.var"), [0, 1]).alias("hellinger"), D.kullback_leibler(F.col("b.mean"), F.col("b.var"), F.col("a.mean"), F.col("a.var"), [0, 1]).alias("divergence")), "hellinger", "divergence"
     ),
-    "dec_occupancy": lambda s, d: rounded(C.occupancy(training(s, d).select(F.col("x")[2].alias("x")), GRID, 8.5), "pix", places=9),
-    "dec_rates": lambda s, d: rounded(C.rates(components(s, d), C.occupancy(training(s, d).select(F.col("x")[2].alias("x")), GRID, 8.5), GRID, 2, 500.0, 1e-6).select("source", "g", "mu", "lx"), "mu", "lx"),
+    "dec_occupancy": lambda s, d: rounded(C.occupancy(vectors(s, d).select(F.col("x")[2].alias("x")), GRID, 8.5), "pix", places=9),
+    "dec_rates": lambda s, d: rounded(C.rates(components(s, d), vectors(s, d).select(F.col("x")[2].alias("x")), GRID, 8.5, 2, 500.0, 1e-6).select("source", "g", "mu", "lx"), "mu", "lx"),
     "dec_posterior": lambda s, d: rounded(posterior(s, d), "logp", "p").select("bin", "g", "x", "logp", "p"),
     "dec_error": lambda s, d: rounded(C.errors(posterior(s, d), truth(s, d)), "error", "decoded"),
     "dec_attach": lambda s, d: rounded(C.attach(T.train(s, d, "purchase").select("event_id", "t"), T.train(s, d, "view").select("t", F.col("mark").alias("linear_position"))), "linear_position").select("event_id", "linear_position"),
@@ -65,9 +56,9 @@ QUERIES = {
 }
 
 CTE = """v AS (SELECT label AS source, vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE * 100 AS c, vec_id // 25 AS bin FROM embeddings),
-n AS (SELECT source, count(*) AS n FROM v WHERE id % 2 = 0 GROUP BY source),
-comp AS (SELECT source, id AS comp_id, 1 / n AS w, a AS ma, b AS mb, c AS mc FROM v JOIN n USING (source) WHERE id % 2 = 0),
-te AS (SELECT * FROM v WHERE id % 2 = 1),
+n AS (SELECT source, count(*) AS n FROM v GROUP BY source),
+comp AS (SELECT source, id AS comp_id, 1 / n AS w, a AS ma, b AS mb, c AS mc FROM v JOIN n USING (source)),
+te AS (SELECT * FROM v),
 gr AS (SELECT g::INTEGER AS g, -52.5 + 5.0 * g AS x FROM range(22) r(g)),
 pi0 AS (SELECT gr.g, any_value(gr.x) AS x, coalesce(sum(1 / (SELECT count(*) FROM comp) / sqrt(72.25 * (2 * pi())) * exp(-(gr.x - mc) * (gr.x - mc) / 72.25 / 2)) FILTER (WHERE (gr.x - mc) * (gr.x - mc) / 72.25 <= 16), 0) AS p FROM gr, comp GROUP BY gr.g),
 px AS (SELECT g, x::DOUBLE AS x, p + (SELECT avg(p) FROM pi0) / 12 AS pix FROM pi0),

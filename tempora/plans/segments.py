@@ -46,11 +46,11 @@ inx AS (SELECT cells.start, cells.stop FROM cells JOIN {x} ON {x}.start <= cells
 iny AS (SELECT cells.start, cells.stop FROM cells JOIN {y} ON {y}.start <= cells.start AND cells.stop <= {y}.stop WHERE cells.stop > cells.start)"""
 
 QUERIES = {
-    "seg_union": lambda s, d: out(S.union(a(s, d), b(s, d), c(s, d))),
+    "seg_union": lambda s, d: out(S.union(a(s, d), b(s, d), c(s, d), chunk=S.STRETCH * WIDTH)),
     "seg_union_chunked": lambda s, d: out(S.remove_overlap(S.concatenate(a(s, d), b(s, d), name="u"), chunk=86400.0)),
     "seg_remove_overlap_nonstrict": lambda s, d: out(S.remove_overlap(a(s, d), strict=False)),
     "seg_join_gap": lambda s, d: out(S.join_gap(a(s, d), 900.0)),
-    "seg_invert": lambda s, d: out(S.invert(a(s, d))),
+    "seg_invert": lambda s, d: out(S.invert(a(s, d), S.STRETCH * WIDTH)),
     "seg_intersection": lambda s, d: out(S.intersection(a(s, d), b(s, d), WIDTH)),
     "seg_exclusive": lambda s, d: out(S.exclusive(a(s, d), [b(s, d)], WIDTH)),
     "seg_difference": lambda s, d: out(S.difference([a(s, d), b(s, d)], WIDTH)),
