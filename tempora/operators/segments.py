@@ -1,7 +1,7 @@
 """Algebra of segments (set_id, start, stop): every function takes and returns DataFrames; sets are kept apart by set_id.
 
-Without chunk a set is one task's work in a window. With it the set is cut into stretches of so much
-time, which only hand sums on to one another; what takes a width is cut into stretches of STRETCH widths.
+A set is one task's work in a window. With chunk it is first merged inside stretches of so much time, in
+parallel, so that only merged segments meet; what takes a width uses stretches of STRETCH widths.
 """
 
 from __future__ import annotations
@@ -27,12 +27,7 @@ def from_edges(edges: DataFrame, x: str = "x") -> DataFrame:
     return edges.select(KEY, F.col(x).alias("start"), F.lead(x).over(w).alias("stop")).filter("stop IS NOT NULL")
 
 
-def _islands(segs: DataFrame, apart: Column, keys: list[str], chunk: float | None = None) -> DataFrame:
-    if chunk:
-        cut = segs.select(*keys, "start", "stop", F.floor(F.greatest(F.least(F.col("start"), F.lit(1e15)), F.lit(-1e15)) / chunk).alias("_c"))
-        order = ["start", "stop"]
-        marked = running(cut, keys, "_c", order, F.col("stop"), "max", "_m", before=True).withColumn("_new", F.when(F.col("_m").isNull() | apart, 1).otherwise(0))
-        return running(marked, keys, "_c", order, F.col("_new"), "sum", "_i").groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
+def _islands(segs: DataFrame, apart: Column, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "stop")
     m = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = segs.select(*keys, "start", "stop", m.alias("_m")).withColumn("_new", F.when(F.col("_m").isNull() | apart, 1).otherwise(0))
@@ -43,7 +38,10 @@ def remove_overlap(segs: DataFrame, strict: bool = True, gap: float = 0.0, chunk
     """Merged segments. strict merges touching ones too, else they stay apart; gap also bridges that distance."""
     edge = F.col("_m") + gap if gap else F.col("_m")
     apart = (F.col("start") > edge) if strict or gap else (F.col("start") >= edge)
-    return _islands(segs, apart, [KEY], chunk)
+    if chunk:
+        bounded = F.greatest(F.least(F.col("start"), F.lit(1e15)), F.lit(-1e15))
+        segs = _islands(segs.withColumn("_c", F.floor(bounded / chunk)), apart, [KEY, "_c"])
+    return _islands(segs, apart, [KEY])
 
 
 def join_gap(segs: DataFrame, gap: float) -> DataFrame:
