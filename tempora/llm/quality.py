@@ -141,14 +141,14 @@ def fit(rows: DataFrame, pool: float = POOL, ridge: float = RIDGE) -> Discrimina
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """docs less text with score double (nearness to class 1, 0 to 1) and predicted int.
 
-    labels (doc_id, label): what the model may learn from; all of them are used, null labels are left
-    out. Null and empty texts have the statistics of no words and a score like others. Where a class has
-    no rows, the score is the share of class 1 (0.5 without labels). Columns score, predicted and stats
-    are replaced.
+    labels (doc_id, label): what the model may learn from; all of them are used, but null labels and
+    those other than 0 and 1; several rows of a doc_id count each. Null and empty texts have the
+    statistics of no words and a score like others. Where a class has no rows, the score is the share of
+    class 1 (0.5 without labels). Columns score, predicted and stats are replaced.
     """
     docs = without(docs, "score", "predicted", "stats")
     stats = cut(with_statistics(docs))
-    chosen = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
+    chosen = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     rows = cut(stats.join(chosen, stats["doc_id"] == chosen["_id"]).select("stats", "_y"))
     model, mean = fit(rows), rows.agg(F.avg("_y")).first()[0]
     mean = 0.5 if mean is None else mean
@@ -166,6 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (false for a null doc_id), score and predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, learnable(table(spark, sf_dir, "labels"), 5, 0))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
