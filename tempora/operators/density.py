@@ -122,38 +122,138 @@ def mixed_density(points: DataFrame, data: DataFrame, kernels: list[tuple[str, f
     return got.join(total, "source").select("source", "id", (F.col("s") / F.col("_w")).alias("value"))
 
 
-def merge_source(x: np.ndarray, var: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(members, means, variances) after each sample, in order, joined the component nearest by Mahalanobis distance if nearer than threshold, by moments, or else began one."""
+def merge_source(x: np.ndarray, var: np.ndarray, threshold: float, method: str = "diagonal") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members, means, variances) after each sample, in order, joined the component nearest by Mahalanobis distance if nearer than threshold, or else began one.
+
+    method: what a component's covariance becomes. diagonal: variances match the moments; full: all
+    covariances do (variances are then matrices); constant: it stays that of a sample.
+    """
     n, d = x.shape
-    count, mean, second = np.zeros(n), np.zeros((n, d)), np.zeros((n, d))  # second: variance plus squared mean
+    start = np.diag(var) if method == "full" else np.asarray(var, float)
+    count, mean, cov = np.zeros(n), np.zeros((n, d)), np.zeros((n, *start.shape))
     k = 0
     for row in x:
         if k:
-            spread = second[:k] / count[:k, None] - np.square(mean[:k] / count[:k, None])
-            q = (np.square(row - mean[:k] / count[:k, None]) / spread).sum(axis=1)
+            far = row - mean[:k]
+            q = np.einsum("ki,ki->k", far, np.linalg.solve(cov[:k], far[:, :, None])[:, :, 0]) if method == "full" else (far * far / cov[:k]).sum(axis=1)
             j = int(np.argmin(q))
             if q[j] < threshold * threshold:
-                count[j] += 1
-                mean[j] += row
-                second[j] += var + row * row
+                m = count[j]
+                step = (row - mean[j]) / (m + 1)
+                if method != "constant":
+                    # the moments of the component and a sample about their common mean
+                    outer = np.outer(step, step) if method == "full" else step * step
+                    cov[j] = (m * (cov[j] + outer) + start + m * m * outer) / (m + 1)
+                mean[j] += step
+                count[j] = m + 1
                 continue
-        count[k], mean[k], second[k] = 1, row, var + row * row
+        count[k], mean[k], cov[k] = 1, row, start
         k += 1
-    m = mean[:k] / count[:k, None]
-    return count[:k], m, second[:k] / count[:k, None] - m * m
+    return count[:k], mean[:k], cov[:k]
 
 
-def merge_samples(samples: DataFrame, var: list[float], dims: list[int], threshold: float) -> DataFrame:
-    """Components of each source's samples (source, id, x), taken in order of id. A source is one task's work, by nature of the method; threshold 0 merges nothing."""
+def merge_samples(samples: DataFrame, var: list[float], dims: list[int], threshold: float, method: str = "diagonal") -> DataFrame:
+    """Components of each source's samples (source, id, x), taken in order of id; with method full also cov, their covariances. A source is one task's work, by nature of the method; threshold 0 merges nothing."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.stack(pdf["x"].to_numpy()).astype(float)[:, dims]
-        n, m, v = merge_source(x, np.array(var, float), threshold)
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "comp_id": np.arange(len(n)), "weight": n / n.sum(), "mean": list(m), "var": list(v)})
+        n, m, v = merge_source(x, np.array(var, float), threshold, method)
+        full = {"cov": [c.tolist() for c in v]} if method == "full" else {}
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "comp_id": np.arange(len(n)), "weight": n / n.sum(), "mean": list(m), "var": [np.diag(c) for c in v] if method == "full" else list(v), **full})
+
+    kind = samples.schema["source"].dataType.simpleString()
+    return samples.groupBy("source").applyInPandas(merge, f"source {kind}, comp_id long, weight double, mean array<double>, var array<double>" + ", cov array<array<double>>" * (method == "full"))
+
+
+def merge_curve(samples: DataFrame, var: list[float], dims: list[int], threshold: float, batch: int = 25, method: str = "diagonal") -> DataFrame:
+    """(source, n_samples, n_components) after each batch of a source's samples in order of id."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(float)[:, dims]
+        ends = [*range(batch, len(x), batch), len(x)]
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "n_samples": ends, "n_components": [len(merge_source(x[:n], np.array(var, float), threshold, method)[0]) for n in ends]})
+
+    kind = samples.schema["source"].dataType.simpleString()
+    return samples.groupBy("source").applyInPandas(grow, f"source {kind}, n_samples long, n_components long")
+
+
+def sparsify(samples: DataFrame, dims: list[int], threshold: float) -> DataFrame:
+    """(source, comp_id, mean, weight): each sample, in order of id, joins the nearest running mean if nearer than threshold, or else begins one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(float)[:, dims]
+        n, m, _ = merge_source(x, np.ones(len(dims)), threshold, "constant")
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "comp_id": np.arange(len(n)), "mean": list(m), "weight": n})
 
     kind = samples.schema["source"].dataType.simpleString()
-    return samples.groupBy("source").applyInPandas(merge, f"source {kind}, comp_id long, weight double, mean array<double>, var array<double>")
+    return samples.groupBy("source").applyInPandas(run, f"source {kind}, comp_id long, mean array<double>, weight double")
+
+
+def moment_match_full(components: DataFrame, keys: list[str], dims: list[int]) -> DataFrame:
+    """(keys, weight, mean, cov): one component with the weight, mean and covariance of each group's components (weight, mean, cov)."""
+    w = F.col("weight")
+    means = [(F.sum(w * F.col("mean")[d]) / F.sum(w)).alias(f"m{d}") for d in dims]
+    seconds = [(F.sum(w * (F.col("cov")[i][j] + F.col("mean")[i] * F.col("mean")[j])) / F.sum(w)).alias(f"s{i}_{j}") for i in dims for j in dims if i <= j]
+    m = components.groupBy(*keys).agg(F.sum(w).alias("weight"), *means, *seconds)
+    cov = lambda i, j: F.col(f"s{min(i, j)}_{max(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}")
+    return m.select(*keys, "weight", F.array(*[F.col(f"m{d}") for d in dims]).alias("mean"), F.array(*[F.array(*[cov(i, j) for j in dims]) for i in dims]).alias("cov"))
+
+
+def with_factors(components: DataFrame) -> DataFrame:
+    """components (mean, cov) with inv, the inverse Cholesky factor of cov row by row, and log_scale, the log of one over the integral of exp(-q / 2): worked out once a component."""
+
+    def run(frames):
+        for f in frames:
+            inv = [np.linalg.inv(np.linalg.cholesky(np.stack(c).astype(float))) for c in f["cov"]]
+            yield f.assign(inv=[m.tolist() for m in inv], log_scale=[float(np.log(np.diag(m)).sum() - len(m) / 2 * math.log(2 * math.pi)) for m in inv], cov=[np.stack(c).tolist() for c in f["cov"]])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in components.schema)
+    return components.mapInPandas(run, f"{kinds}, inv array<array<double>>, log_scale double")
+
+
+def evaluate_full(points: DataFrame, components: DataFrame, dims: list[int], cutoff: float = CUTOFF) -> DataFrame:
+    """points (source, id, x) with density under components of their source (weight, mean, inv, log_scale) of full covariance; 0 beyond the cutoff."""
+    far = [F.col("x")[d] - F.col("mean")[i] for i, d in enumerate(dims)]
+    rows = [reduce(lambda a, b: a + b, [F.col("inv")[i][j] * far[j] for j in range(i + 1)]) for i in range(len(dims))]
+    q = reduce(lambda a, b: a + b, [r * r for r in rows])
+    pairs = points.join(components.select("source", "weight", "mean", "inv", "log_scale"), "source").withColumn("q", q).filter(F.col("q") <= cutoff)
+    got = pairs.groupBy("source", "id").agg(F.sum(F.col("weight") * F.exp(F.col("log_scale") - F.col("q") / 2)).alias("density"))
+    return points.join(got, ["source", "id"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+
+
+def mixture_density(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    far = x[:, None, :] - mean
+    q = np.einsum("nki,nki->nk", far, np.linalg.solve(cov[None], far[..., None])[..., 0])
+    return (weight * np.exp(-q / 2) / np.sqrt(np.linalg.det(2 * math.pi * cov))).sum(axis=1)
+
+
+def unscented_hellinger(a: tuple, b: tuple, reach: float = 3.0, weighted: bool = False) -> float:
+    """Hellinger distance of two mixtures (weights, means, covariances) from sigma points of both: their means and, along the principal axes, the points sqrt(reach) deviations either way."""
+    (wa, ma, ca), (wb, mb, cb) = a, b
+    if not weighted:
+        wa, wb = wa / wa.sum(), wb / wb.sum()
+    w, m, c = np.concatenate([wa, wb]) / 2, np.concatenate([ma, mb]), np.concatenate([ca, cb])
+    w = w / w.sum()
+    d = m.shape[1]
+    k = max(0.0, reach - d)
+    values, axes = np.linalg.eigh(c)
+    steps = np.sqrt(d + k) * np.sqrt(np.maximum(values, 0))[:, None, :] * axes
+    points = np.concatenate([m[:, None, :], m[:, None, :] + steps.transpose(0, 2, 1), m[:, None, :] - steps.transpose(0, 2, 1)], axis=1)
+    own = np.append(k / (d + k), np.full(2 * d, 0.5 / (d + k)))
+    x, at = points.reshape(-1, d), (w[:, None] * own).ravel()
+    pa, pb, p0 = mixture_density(x, wa, ma, ca), mixture_density(x, wb, mb, cb), mixture_density(x, w, m, c)
+    return float(np.sqrt(abs((at * np.square(np.sqrt(pa) - np.sqrt(pb)) / p0).sum() / 2)))
+
+
+def without_components(components: DataFrame, gone: DataFrame) -> DataFrame:
+    """components less those of gone (source, comp_id)."""
+    return components.join(gone.select("source", "comp_id"), ["source", "comp_id"], "left_anti")
+
+
+def covariance_of_bandwidths(position_cm: float, amplitude_mv: float, wires: int = 4) -> list[float]:
+    """Variances of a position and of amplitudes in millivolts, which are kept in microvolts."""
+    return [position_cm**2] + [(amplitude_mv * 1000) ** 2] * wires
 
 
 def hellinger(m1: Column, v1: Column, m2: Column, v2: Column, dims: list[int]) -> Column:

@@ -72,6 +72,123 @@ def tapered_fft(x: np.ndarray, fs: float, half_bandwidth: float = 3.0) -> tuple[
     return np.fft.rfftfreq(n, 1 / fs), np.fft.rfft((x - x.mean()) * t, n) / fs
 
 
+def gamma_cdf(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function: its series below a + 1, its continued fraction above."""
+    if x <= 0:
+        return 0.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > 1e-17 * total:
+            n += 1
+            term *= x / n
+            total += term
+        return min(1.0, total * scale)
+    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
+    h = d
+    for i in range(1, 500):
+        k = -i * (i - a)
+        b += 2
+        d = 1 / (k * d + b)
+        c = b + k / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return max(0.0, 1 - h * scale)
+
+
+def student_cdf(t: float, n: float, steps: int = 4000) -> float:
+    """Student's distribution by Simpson's rule over the angle atan(t / sqrt(n))."""
+    end = math.atan(abs(t) / math.sqrt(n))
+    x = np.linspace(0, end, 2 * steps + 1)
+    y = np.cos(x) ** (n - 1)
+    area = (y[0] + y[-1] + 4 * y[1::2].sum() + 2 * y[2:-1:2].sum()) * end / (6 * steps)
+    half = area * math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi)
+    return 0.5 + math.copysign(half, t)
+
+
+def quantile(cdf, p: float, low: float, high: float) -> float:
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+    return high
+
+
+def chi2_quantile(p: float, n: float) -> float:
+    return quantile(lambda x: gamma_cdf(n / 2, x / 2), p, 0.0, 40 * n + 200)
+
+
+def student_quantile(p: float, n: float) -> float:
+    return quantile(lambda t: student_cdf(t, n), p, -1e4, 1e4)
+
+
+def degrees(dim: int, spikes: float | None) -> float:
+    """Degrees of freedom of so many transforms, fewer for point processes of so many spikes."""
+    return 2.0 * dim if spikes is None else float(math.trunc(1 / (1 / (2.0 * dim) + 1 / (2.0 * spikes))))
+
+
+def spectrum_interval(power: np.ndarray, transforms: np.ndarray, p: float = 0.05, kind: str = "theory", spikes: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) about a spectrum (frequency) of transforms (estimate, frequency): by chi-square (theory) or leaving one out at a time (jackknife)."""
+    dim = len(transforms)
+    if kind == "theory":
+        dof = degrees(dim, spikes)
+        return dof * power / chi2_quantile(1 - p / 2, dof), dof * power / chi2_quantile(p / 2, dof)
+    own = np.abs(transforms) ** 2
+    left = np.log((own.sum(axis=0) - own) / (dim - 1))
+    reach = student_quantile(1 - p / 2, dim - 1) * math.sqrt(dim - 1) * left.std(axis=0)
+    return power * np.exp(-reach), power * np.exp(reach)
+
+
+def coherence_error(c: np.ndarray, x: np.ndarray, y: np.ndarray, p: float = 0.05, kind: str = "theory", spikes: tuple[float | None, float | None] = (None, None)) -> tuple[float, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(level that chance exceeds with p, standard deviation of the phase, low, high) of a coherence (frequency) of transforms x and y (estimate, frequency); low and high by jackknife only."""
+    dim = len(x)
+    dof = min(2.0 * dim if n is None else float(math.trunc(2 * n * 2 * dim / (2 * n + 2 * dim))) for n in spikes)
+    level = math.sqrt(1 - p ** (1 / (dof / 2 - 1) if dof > 2 else 1.0))
+    if kind == "theory":
+        return level, np.sqrt(2 / dof * (1 / c**2 - 1)), None, None
+    xx, yy, xy = np.abs(x) ** 2, np.abs(y) ** 2, x * np.conj(y)
+    left = (xy.sum(axis=0) - xy) / np.sqrt((xx.sum(axis=0) - xx) * (yy.sum(axis=0) - yy))
+    z = math.sqrt(2 * dim - 1) * np.arctanh(np.abs(left))
+    reach = student_quantile(1 - p / 2, dof - 1) * math.sqrt(dim - 1) * z.std(axis=0)
+    middle = math.sqrt(2 * dim - 2) * np.arctanh(c)
+    low, high = np.maximum(np.tanh((middle - reach) / math.sqrt(2 * dim)), 0), np.tanh((middle + reach) / math.sqrt(2 * dim - 2))
+    return level, np.sqrt((2 * dim - 2) * (1 - np.abs((left / np.abs(left)).mean(axis=0)))), low, high
+
+
+def spectrum_errors(windows: DataFrame, fs: float, half_bandwidth: float = 3.0, p: float = 0.05, kind: str = "theory") -> DataFrame:
+    """(channel, window, f, power, low, high): spectrograms with their intervals, a window at a time."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, s = tapered_fft(pdf.sort_values("k")["v"].to_numpy(float), fs, half_bandwidth)
+        power = 2 * (np.abs(s) ** 2).mean(axis=0)
+        low, high = spectrum_interval(power, math.sqrt(2) * s, p, kind)
+        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "window": pdf["window"].iloc[0], "f": f, "power": power, "low": low, "high": high})
+
+    return windows.groupBy("channel", "window").applyInPandas(one, "channel string, window long, f double, power double, low double, high double")
+
+
+def coherogram(x: DataFrame, y: DataFrame, fs: float, half_bandwidth: float = 3.0, p: float = 0.05) -> DataFrame:
+    """(window, f, coherence, phase, level, phase_std) of two signals' windows (window, k, v), a window at a time, over tapers; windows of one signal only are left out."""
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cols = ["window", "f", "coherence", "phase", "level", "phase_std"]
+        if a.empty or b.empty:
+            return pd.DataFrame({c: pd.Series(dtype=float) for c in cols})
+        f, s = tapered_fft(a.sort_values("k")["v"].to_numpy(float), fs, half_bandwidth)
+        _, r = tapered_fft(b.sort_values("k")["v"].to_numpy(float), fs, half_bandwidth)
+        c = (np.conj(s) * r).mean(axis=0) / np.sqrt((np.abs(s) ** 2).mean(axis=0) * (np.abs(r) ** 2).mean(axis=0))
+        level, spread, _, _ = coherence_error(np.abs(c), s, r, p)
+        return pd.DataFrame({"window": a["window"].iloc[0], "f": f, "coherence": np.abs(c), "phase": np.angle(c), "level": level, "phase_std": spread})
+
+    return x.groupBy("window").cogroup(y.groupBy("window")).applyInPandas(pair, "window long, f double, coherence double, phase double, level double, phase_std double")
+
+
+def bandwidth_range(n: int, fs: float = 1.0) -> tuple[float, float]:
+    """Bandwidths that n samples allow."""
+    return fs / n, fs * (n - 1) / (2 * n)
+
+
 def spectrum(windows: DataFrame, fs: float, half_bandwidth: float = 3.0) -> DataFrame:
     """(channel, f, power): multitaper power averaged over a channel's windows (channel, window, k, v); each window is a task of its own."""
     from pyspark.sql import functions as F
@@ -130,7 +247,7 @@ def apply_envelope(signal: DataFrame, taps: np.ndarray, smoothing: np.ndarray |
     return per_channel(signal, lambda x: envelope(x, taps, smoothing))
 
 
-def bootstrap_interval(data: DataFrame, key: str, value: str, statistic=np.mean, samples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def bootstrap_interval(data: DataFrame, key: str, value: str, statistic=np.mean, samples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(key, low, high): percentile interval of a statistic over seeded resamples of each group; any callable of a (samples, n) array and axis."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,3 +271,16 @@ def components_needed(signals: DataFrame, columns: list[str], percent: float = 9
         m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = row[f"c{k}"]
     share = np.cumsum(np.sort(np.linalg.eigvalsh(m))[::-1])
     return int(np.searchsorted(share / share[-1], percent / 100)) + 1
+
+
+def reconstruct(signals: DataFrame, columns: list[str], mixing: np.ndarray, mean: np.ndarray, names: list[str]) -> DataFrame:
+    """signals with the columns names: the components in columns, mixed by mixing (name, component), plus the mean."""
+    from pyspark.sql import functions as F
+
+    out = {}
+    for k, name in enumerate(names):
+        total = F.lit(float(mean[k]))
+        for j, c in enumerate(columns):
+            total = total + F.col(c) * float(mixing[k, j])
+        out[name] = total
+    return signals.withColumns(out)

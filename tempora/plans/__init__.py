@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import circular, decoding, events, geometry, loops, segments, shapes, signals
+from . import checks, circular, decoding, events, geometry, loops, mixtures, segments, shapes, signals
 
-MODULES = (segments, events, circular, signals, decoding, geometry, shapes, loops)
+MODULES = (segments, events, circular, signals, decoding, geometry, shapes, loops, mixtures, checks)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
