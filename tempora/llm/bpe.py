@@ -286,4 +286,5 @@ def encode_decode(docs: DataFrame, path: str | None = None, outputs: tuple[str,
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, in the manner of encode_decode."""
     return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")

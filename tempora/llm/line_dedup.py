@@ -216,33 +216,32 @@ def line_dedup(docs: DataFrame, least: int = 20, min_docs: int = 3, broadcast_ke
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every document, in the manner of line_dedup."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-#: Counts lines by their keys' SHA-256; a document holds a key once however often it repeats it.
+#: A document holds a key once however often it repeats it; rows of one doc_id are documents of their own.
 SQL = r"""
-WITH lines AS (
-  SELECT doc_id, p, line, lower_az AS k
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, p, line,
+         translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (
-    SELECT doc_id, p, line,
-           translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
-                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az
-    FROM (
-      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p
-      FROM documents
-    )
+    SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p
+    FROM docs
   )
 ),
 repeats AS (
-  SELECT k, max(doc_id) AS keep FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  SELECT k, max(doc_id) AS keep FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3
 ),
 marked AS (
-  SELECT l.doc_id, l.p, l.line, r.k IS NOT NULL AND r.keep <> l.doc_id AS gone
+  SELECT l.r, l.doc_id, l.p, l.line, r.k IS NOT NULL AND r.keep IS DISTINCT FROM l.doc_id AS gone
   FROM lines l LEFT JOIN repeats r ON l.k = r.k
 )
 SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

@@ -186,6 +186,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, sources weighing 5, 2, 1 in turn; in the manner of mix."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"))
     mixed, quota = mix(sized, F.array("source"), F.col("n_words"))
