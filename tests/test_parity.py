@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 from tempora import plans
-from tempora.llm import queries as llm
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,15 +44,5 @@ def test_query(spark, duck, name):
     assert rows(got.columns, data) == rows(columns, want.fetchall())
 
 
-def test_oracles_are_sql():
-    assert all(isinstance(sql, str) for sql in (plans.ORACLE_SQL | llm.ORACLE_SQL).values())
-
-
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op7_exact_topk"])
-def test_training_data_query(spark, duck, name):
-    got = llm.QUERIES[name](spark, DIR)
-    want = duck.execute(llm.ORACLE_SQL[name])
-    columns = [d[0] for d in want.description]
-    assert sorted(columns) == sorted(got.columns)
-    data = [tuple(r) for r in got.collect()]
-    assert data and rows(got.columns, data) == rows(columns, want.fetchall())
+def test_oracles_are_sql(duck):
+    assert all(isinstance(sql, str) and duck.execute("EXPLAIN " + sql) for sql in plans.ORACLE_SQL.values()) and set(plans.ORACLE_SQL) <= set(plans.QUERIES)
