@@ -88,25 +88,27 @@ def intersection_all(sets: list[DataFrame], width: float, name: str = "intersect
     return out
 
 
+def _less(kept: DataFrame, cuts: DataFrame, width: float, name: str) -> DataFrame:
+    """Merged segments less what merged cuts overlap of them: the stretches between a segment's cuts, in one window a segment."""
+    hit = interval_join(kept, cuts, width).select(F.col("start_a").alias("_s"), F.col("stop_a").alias("_e"), F.greatest("start_a", "start_b").alias("lo"), F.least("stop_a", "stop_b").alias("hi"))
+    end = kept.select(F.col("start").alias("_s"), F.col("stop").alias("_e"), F.col("stop").alias("lo"), F.col("stop").alias("hi"))
+    w = Window.partitionBy("_s", "_e").orderBy("lo", "hi")
+    pieces = hit.unionByName(end).select(F.lit(name).alias(KEY), F.coalesce(F.lag("hi").over(w), F.col("_s")).alias("start"), F.col("lo").alias("stop"))
+    return pieces.filter(F.col("stop") > F.col("start"))
+
+
 def exclusive(a: DataFrame, others: list[DataFrame], width: float, name: str = "exclusive") -> DataFrame:
     """What lies in a and in none of the others: a's merged segments less what they overlap of the others' union.
 
     The cuts come by an interval join; a segment's pieces lie between them. No infinite segment is made.
     """
     kept = remove_overlap(a.withColumn(KEY, F.lit(name)), chunk=STRETCH * width)
-    cuts = union(*others, name=name, chunk=STRETCH * width)
-    hit = interval_join(kept, cuts, width).select(F.col("start_a").alias("_s"), F.col("stop_a").alias("_e"), F.greatest("start_a", "start_b").alias("lo"), F.least("stop_a", "stop_b").alias("hi"))
-    w = Window.partitionBy("_s", "_e").orderBy("lo")
-    parts = hit.select("_s", "_e", F.coalesce(F.lag("hi").over(w), F.col("_s")).alias("start"), F.col("lo").alias("stop"))
-    tails = hit.groupBy("_s", "_e").agg(F.max("hi").alias("start")).select("_s", "_e", "start", F.col("_e").alias("stop"))
-    free = kept.join(hit.select(F.col("_s").alias("start"), F.col("_e").alias("stop")).distinct(), ["start", "stop"], "left_anti").select(KEY, "start", "stop")
-    pieces = parts.unionByName(tails).filter(F.col("stop") > F.col("start")).select(F.lit(name).alias(KEY), "start", "stop")
-    return free.unionByName(pieces)
+    return _less(kept, union(*others, name=name, chunk=STRETCH * width), width, name)
 
 
 def difference(sets: list[DataFrame], width: float, name: str = "difference") -> DataFrame:
     """The union of all less the intersection of all; for more than two sets this isn't parity."""
-    return exclusive(union(*sets, chunk=STRETCH * width), [intersection_all(sets, width)], width, name)
+    return _less(union(*sets, chunk=STRETCH * width), intersection_all(sets, width), width, name)
 
 
 def scale(segs: DataFrame, value: float, reference: float = 0.5) -> DataFrame:
