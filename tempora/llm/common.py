@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where the session names none, as in tests."""
+    """The cluster's checkpoint folder. Where the session names none a local one is set on a local master, as in tests; on a cluster that is an error, as executors would lose each other's data."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempora-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tempora-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the files of results of cut() that nothing reads any more."""
+    for df in dfs:
+        file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, one for each of names."""
     have = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         new = cut(small.select("x.*").filter(F.col("u") != F.col("v")).distinct())
-        before, now, e = now, state(new), new
+        before, now = now, state(new)
+        discard(e)
+        e = new
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -5,6 +5,8 @@ share nothing in their shortest prefixes cannot link, so these prefixes deal doc
 star a shingle, no pairs; shingles surely seen once match nothing and aren't sent).
 Inside a cluster each document lengthens its prefix as far as the estimated candidate cost falls; a pair
 is verified only if it shares as many prefix shingles as the shorter of its two lengthenings asks for.
+A cluster too large for one task is dealt out in blocks, each linked alone; then representatives of the
+components found meet, and at last what is still apart: the largest component's blocks with the others'.
 """
 
 from __future__ import annotations
@@ -15,19 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table, text_slices, thrifty, without
 from .components import components
 from .shingles import shingle_sets
 
-#: Cells of the frequency sketch (4 bytes each while counting, 1 when broadcast) and those of one merged chunk.
-SKETCH_BITS, CHUNK_BITS = 20, 16
+#: Cells of the frequency sketch (4 bytes each while counting, 1 when broadcast): so many a document, at least and at most; and those of one merged chunk.
+CELLS_PER_DOC, LEAST_CELLS, MOST_CELLS, CHUNK_BITS = 16, 1 << 16, 1 << 20, 16
 #: Bits of the seen-once and seen-twice filters: so many a document, at least and at most. Beyond the most, fewer shingles are known to be seen once; nothing else changes.
 BITS_PER_DOC, LEAST_BITS, MOST_BITS, FILTER_CHUNK = 1024, 1 << 20, 1 << 29, 1 << 20
-#: Shingles of a cluster that one task verifies; larger clusters go in pairs of blocks of half as many.
-UNIT_SHINGLES = 2_000_000
+#: Shingles of a cluster that one task verifies; larger clusters go in blocks of half as many.
+UNIT_SHINGLES = 256_000
+#: Components of a cluster's blocks, the largest ones, that meet by representatives, and these of each.
+MEET, REPRESENTATIVES = 32, 4
 #: Members of clusters that are broadcast (about 60 bytes each) to fetch their texts; more are joined.
 BROADCAST_MEMBERS = 500_000
 #: Most shared prefix shingles that a pair may be asked for.
@@ -48,6 +52,11 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def cell(s: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each shingle, of so many cells (a power of 2)."""
+    return (s >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
 @dataclass
 class Order:
     """The global order of shingles: once-seen ones, then by class of the sketch's cell, then by hash."""
@@ -68,7 +77,7 @@ class Order:
         if n <= 0:
             return s[:0]
         s = s[again]
-        return s[np.argsort(self.classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:n]]
+        return s[np.argsort(self.classes[cell(s, len(self.classes))], kind="stable")[:n]]
 
 
 def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
@@ -76,11 +85,12 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
 
     One pass over the texts. Each task counts its shingles in a sketch and marks them in a pair of
     filters, and sends both in compressed chunks, which are added up chunk by chunk (a bit is seen twice if
-    a task or two tasks have it so). The sums are 4 << SKETCH_BITS and MOST_BITS / 8 bytes at most,
+    a task or two tasks have it so). The sums are 4 * MOST_CELLS and MOST_BITS / 8 bytes at most,
     whatever the input.
     """
-    cells, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_DOC * texts.count()).bit_length()))
+    docs, chunk = texts.count(), 1 << CHUNK_BITS
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_DOC * docs).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_DOC * docs).bit_length()))
     width = min(bits, FILTER_CHUNK) >> 3
     sketches = cells // chunk
 
@@ -92,7 +102,7 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
                 sets = shingle_sets(raw, off)
                 keys = [digest(s) for s in sets]
                 flat = np.sort(np.concatenate(sets))
-                seen += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+                seen += np.bincount(cell(flat, cells), minlength=cells).astype(np.uint32)
                 at = (flat >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
                 first = np.append(True, at[1:] != at[:-1])[: len(at)]
                 again = np.append(at[~first], at[first][((once[at[first] >> 3] >> (at[first] & 7).astype(np.uint8)) & 1).astype(bool)])
@@ -210,11 +220,11 @@ def lengthen(df: np.ndarray, spare: int) -> int:
     return int(np.argmin(cost)) + 1
 
 
-def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, int, int]:
+def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
     """(root of each set, pairs verified, links found that joined two components), roots being indexes.
 
     side: where given, only pairs of different sides are compared. A pair whose sets are in one component
-    already needs no verification.
+    already needs no verification; known: the first set of each one's component, if some are known.
     """
     m, size = len(sets), np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -234,7 +244,7 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple
     p_at = np.searchsorted(p_tok, np.arange(len(count) + 1))
     a_by = np.argsort(local, kind="stable")
     a_doc, a_at = owner[a_by], np.append(0, np.cumsum(count))
-    root = np.arange(m)
+    root = np.arange(m) if known is None else known.copy()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -284,10 +294,12 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple
     return np.array([find(x) for x in range(m)]), verified, joined
 
 
-def verify(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) struct edges that join linked sets; members (unit, side, a, b, text): each unit's texts, which one task takes together.
+def verify(members: DataFrame, percent: int, of_labels: bool = False) -> DataFrame:
+    """(a, b) struct edges that join linked sets, each unit's to the root of its component; members (unit, side, la, lb, a, b, text): each unit's texts, which one task takes together.
 
-    A member may come with several texts; the one that its digest is of counts.
+    Sets of one side aren't compared if a unit has several; sets of one label (la, lb; null: none) are
+    known to be in one component. A member may come with several texts; the one that its digest is of
+    counts. of_labels: edges are of labels, not of sets.
     """
 
     def solve(rows: dict[tuple, None]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +311,18 @@ def verify(members: DataFrame, percent: int) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 21), side="right")) - 1)
             sets += shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             lo = hi
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, (side, a, b, _) in enumerate(rows):
+        found: dict[tuple[int, int], tuple] = {}
+        for i, (side, la, lb, a, b, _) in enumerate(rows):
             if (a, b) not in found and digest(sets[i]) == (a, b):  # another row of the same doc_id isn't meant
-                found[a, b] = (i, side)
+                found[a, b] = (i, side, (la, lb))
         if len(found) < 2:
             return
-        fine, sides = (np.array(x) for x in zip(*found.values(), strict=True))
-        root, _, _ = link([sets[i] for i in fine], sides if len(set(sides.tolist())) > 1 else None, percent)
-        key = np.array(list(found), np.int64)
-        moved = np.flatnonzero(root != np.arange(len(root)))
+        fine, sides, labels = zip(*found.values(), strict=True)
+        first: dict[tuple, int] = {}
+        known = np.array([k if x[0] is None else first.setdefault(x, k) for k, x in enumerate(labels)])
+        root, _, _ = link([sets[i] for i in fine], np.array(sides) if len(set(sides)) > 1 else None, percent, known)
+        key = np.array(labels if of_labels else list(found), np.int64)
+        moved = np.flatnonzero(root != known)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*key[moved].T, *key[root[moved]].T)], names=["a", "b", "la", "lb"])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +336,51 @@ def verify(members: DataFrame, percent: int) -> DataFrame:
         yield from solve(held)
 
     dealt = members.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
-    pairs = dealt.select("unit", "side", "a", "b", "text").mapInArrow(thrifty(units), "a long, b long, la long, lb long")
+    pairs = dealt.select("unit", "side", "la", "lb", "a", "b", "text").mapInArrow(thrifty(units), "a long, b long, la long, lb long")
     return pairs.select(F.struct("a", "b").alias("a"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("b"))
 
 
+def hot_edges(hot: DataFrame, texts: DataFrame, first: DataFrame, percent: int, unit_shingles: int, few: bool) -> DataFrame:
+    """(a, b) struct edges that, with the first ones, join all linked sets of clusters too large for a unit; hot (cluster, a, b, n), texts (a, b, text), first: edges of the blocks, each linked alone, to their roots.
+
+    Of each cluster's largest components, representatives meet in one unit: copies become one component
+    here, whatever their number. What is then outside the cluster's largest component is compared in full,
+    with its blocks and with one another; pairs inside a component are skipped. few: hot may be broadcast.
+    """
+
+    def by_size(rows: DataFrame) -> DataFrame:
+        """(cluster, la, lb, total, place): components of each cluster by shingles, largest first."""
+        sums = rows.groupBy("cluster", "la", "lb").agg(F.sum("n").alias("total"))
+        return sums.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("total"), "la", "lb")))
+
+    def linked(dealt: DataFrame, of_labels: bool) -> DataFrame:
+        sent = dealt.select("unit", "side", "la", "lb", F.col("a").alias("ta"), F.col("b").alias("tb"))
+        both = texts.join(F.broadcast(sent) if few else sent, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
+        return cut(verify(both, percent, of_labels))
+
+    pairs = lambda edges, a, b: edges.select(F.col("a.a").alias(a + "a"), F.col("a.b").alias(a + "b"), F.col("b.a").alias(b + "a"), F.col("b.b").alias(b + "b"))
+    rooted = hot.join(pairs(first, "s", "r"), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left")
+    rows = cut(rooted.select(*hot.columns, F.coalesce("ra", "a").alias("la"), F.coalesce("rb", "b").alias("lb")))
+    largest = by_size(rows).filter(F.col("place") <= MEET).select("cluster", "la", "lb")
+    least = F.array_sort(F.collect_list(F.struct("a", "b")))  # of one block and component: sets of a unit at most
+    chosen = rows.join(largest, ["cluster", "la", "lb"]).groupBy("cluster", "la", "lb").agg(F.slice(least, 1, REPRESENTATIVES).alias("r"))
+    met = linked(chosen.select(F.col("cluster").alias("unit"), F.lit(0).alias("side"), "la", "lb", F.explode("r").alias("r")).select("unit", "side", "la", "lb", "r.a", "r.b"), True).distinct()
+    again = rows.join(pairs(met, "s", "r"), (F.col("la") == F.col("sa")) & (F.col("lb") == F.col("sb")), "left")
+    rows = cut(again.select(*hot.columns, F.coalesce("ra", "la").alias("la"), F.coalesce("rb", "lb").alias("lb")))
+    # blocks 0 to x - 1 hold what is outside the largest component, x to x + g - 1 that one
+    sizes = cut(by_size(rows))
+    blocks = lambda total: F.ceil(F.coalesce(F.sum(total), F.lit(0)) * 2 / unit_shingles).cast("int")
+    counts = sizes.groupBy("cluster").agg(blocks(F.when(F.col("place") > 1, F.col("total"))).alias("x"), blocks(F.when(F.col("place") == 1, F.col("total"))).alias("g")).filter("x > 0")
+    if counts.isEmpty():
+        return met
+    places = rows.join(sizes.filter("place = 1").select("cluster", F.col("la").alias("ga"), F.col("lb").alias("gb")), "cluster").join(counts, "cluster")
+    within = (F.col("la") == F.col("ga")) & (F.col("lb") == F.col("gb"))
+    side = F.when(within, F.col("x") + F.pmod(F.col("b"), F.col("g"))).otherwise(F.pmod(F.col("b"), F.col("x"))).cast("int")
+    others = F.explode(F.when(within, F.sequence(F.lit(0), F.col("x") - 1)).otherwise(F.sequence(F.lit(0), F.col("x") + F.col("g") - 1)))
+    dealt = places.withColumn("side", side).withColumn("j", others).withColumn("unit", F.xxhash64("cluster", F.least("side", "j"), F.greatest("side", "j")))
+    return met.unionByName(linked(dealt, False))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int = UNIT_SHINGLES, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
     """(doc_id, n_shingles long, component_id long) of each row of docs (doc_id, text).
 
@@ -334,7 +389,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     always do. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have
     no shingle and link with nothing: component_id is their own doc_id. Rows of one doc_id are texts of
     their own. A null doc_id never names a component unless all of it are null. An empty table gives no
-    rows.
+    rows; columns but these two are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows, order = measure(texts)
@@ -346,16 +401,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     nodes = near.select(F.col("node").alias("a"), "root").unionByName(near.select(F.col("root").alias("a"), "root").distinct())
     at = cut(nodes.join(sets, "a"))
     blocks = at.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.when(F.col("total") <= unit_shingles, 1).otherwise(F.ceil(F.col("total") * 2 / unit_shingles)).cast("int").alias("blocks"))
-    own = F.pmod(F.col("b"), F.col("blocks")).cast("int")
-    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), F.col("h").alias("of"), "a", "b", F.xxhash64("root").alias("unit"), "blocks", own.alias("side")))
+    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), F.col("h").alias("of"), "a", "b", "n", F.xxhash64("root").alias("cluster"), F.when(F.col("blocks") > 1, F.pmod(F.col("b"), F.col("blocks"))).cast("int").alias("block")))
     few = members.count() <= broadcast_members
     texts_of = texts.filter("text IS NOT NULL").join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")))
-    # block i meets every block j: the unit of (i, j) is that of (j, i)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    dealt = texts_of.select("text", "a", "b", "unit", "side", other).withColumn("unit", F.xxhash64("unit", F.least("side", "j"), F.greatest("side", "j")))
-    joined = cut(verify(dealt, percent))
-    whole = blocks.filter("blocks > 1").isEmpty()  # each cluster in one unit: its edges lead to roots already
-    found = joined.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole else components(joined)
+    # each cluster, and each block of a large one, is a unit
+    alone = texts_of.select("text", "a", "b", F.when(F.col("block").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", "block")).alias("unit"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"))
+    joined = cut(verify(alone, percent))
+    large = members.filter("block IS NOT NULL")
+    if large.isEmpty():  # each cluster in one unit: its edges lead to roots already
+        found = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        hot = cut(texts_of.filter("block IS NOT NULL").select("a", "b", "text"))
+        found = components(joined.unionByName(hot_edges(large.select("cluster", "a", "b", "n"), hot, joined, percent, unit_shingles, few)))
     roots = found.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root.a").alias("ra"), F.col("root.b").alias("rb"))
     named = sets.join(roots, ["a", "b"], "left").select("a", "b", "doc_id", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     least = named.groupBy("ra", "rb").agg(F.min("doc_id").alias("component_id"))
@@ -365,9 +422,38 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, in the manner of jaccard_components."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: All pairs that share a shingle, then what links reach from each document; for small tables.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+  FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+),
+links AS (
+  SELECT x, y FROM shared JOIN sizes nx ON nx.doc_id = x JOIN sizes ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)
+),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x
+),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id
+"""
+
+
 def keep_one(docs: DataFrame, percent: int = 80, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
     """docs less all but the smallest doc_id of each group of linked texts; documents that link with nothing stay.
 

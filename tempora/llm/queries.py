@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard_join.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op7_exact_topk": exact_search.SQL,
 }
