@@ -105,8 +105,8 @@ def smooth(signal: DataFrame, name: str, bandwidth: float, normalize: str = "sum
     """signal with v smoothed by a kernel: each sample is sent to its neighbours with its weight and summed before the shuffle. Nulls count as 0; unbiased divides by the weight that falls on samples."""
     ws = weights(name, bandwidth, normalize)
     parts = F.explode(F.array(*[F.struct(F.lit(lag).alias("d"), F.lit(w).alias("w")) for lag, w in ws])).alias("_k")
-    sent = signal.select(*keys, axis, "v", parts).select(*keys, (F.col(axis) + F.col("_k.d")).alias(axis), (F.col("_k.w") * F.coalesce("v", F.lit(0.0))).alias("x"), F.col("_k.w").alias("w"))
-    value = F.sum("x") / F.sum("w") if unbiased else F.sum("x")
+    sent = signal.select(*keys, axis, "v", parts).select(*keys, (F.col(axis) + F.col("_k.d")).alias(axis), (F.col("_k.w") * F.coalesce("v", F.lit(0.0))).alias("_x"), F.col("_k.w").alias("_w"))
+    value = F.sum("_x") / F.sum("_w") if unbiased else F.sum("_x")
     got = sent.groupBy(*keys, axis).agg(value.alias("v"))
     return signal.drop("v").join(got, [*keys, axis])
 
