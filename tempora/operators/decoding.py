@@ -61,14 +61,17 @@ def spike_grid(spikes: DataFrame, components: DataFrame, grid: list[float], feat
     """(source, bin, id, pax array over the grid) of each spike (source, bin, id, x), zeros where no component is near.
 
     Pairs of spike and component come by a range join on the first feature within the cutoff; the grid's
-    points are constants, at which each pair is summed before the shuffle.
+    points are constants, at which each pair is summed before the shuffle. Spikes are dealt out first, as
+    each meets many components: where these are broadcast, pairs aren't shuffled at all.
     """
-    pairs = D.near_pairs(spikes, components, features, width=width)
-    dims = [*features, position]
+    spikes = spikes.repartition(int(spikes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "bin", "id")
+    dims, mean, var = [*features, position], F.col("mean")[position], F.col("var")[position]
+    # what doesn't depend on the grid is worked out once a pair, and keeps the sums' code short
+    pairs = D.near_pairs(spikes, components, features, width=width).select("source", "bin", "id", "q", mean.alias("_m"), (1 / var).alias("_i"), (F.col("weight") * D.scale(F.col("var"), dims)).alias("_w"))
 
     def value(x: float) -> Column:
-        q = F.col("q") + (x - F.col("mean")[position]) * (x - F.col("mean")[position]) / F.col("var")[position]
-        return F.when(q <= D.CUTOFF, F.col("weight") * D.scale(F.col("var"), dims) * F.exp(-q / 2)).otherwise(0.0)
+        q = F.col("q") + (x - F.col("_m")) * (x - F.col("_m")) * F.col("_i")
+        return F.when(q <= D.CUTOFF, F.col("_w") * F.exp(-q / 2)).otherwise(0.0)
 
     sums = D.grid_sums(pairs, ["source", "bin", "id"], grid, value)
     return spikes.select("source", "bin", "id").join(sums, ["source", "bin", "id"], "left").select("source", "bin", "id", F.coalesce("sums", F.array(*[F.lit(0.0)] * len(grid))).alias("pax"))
@@ -79,13 +82,13 @@ def posterior(spikes: DataFrame, components: DataFrame, behavior: DataFrame, bin
     n = len(grid)
     src = _sources(components, _occupied(behavior, grid, options.position_bandwidth), grid, position, duration, options.offset)
     pax = spike_grid(spikes, components, grid, features, position, width).join(src.select("source", "mu", "pix"), "source")
-    logs = [F.sum(F.ln(F.col("pax")[g] + options.offset * F.col("pix")[g] / F.col("mu"))) for g in range(n)]
-    ll = pax.groupBy("bin").agg(F.array(*logs).alias("ll"), F.count(F.lit(1)).alias("n"))
+    logs = pax.select("bin", F.zip_with("pax", "pix", lambda v, q: F.ln(v + options.offset * q / F.col("mu"))).alias("_l"))
+    ll = logs.groupBy("bin").agg(F.array(*[F.sum(F.col("_l")[g]) for g in range(n)]).alias("ll"), F.count(F.lit(1)).alias("n"))
     total = src.agg(F.array(*[F.sum(F.col("lx")[g]) for g in range(n)]).alias("total"), F.first("pix").alias("pix"))
     every = bins.select("bin").join(ll, "bin", "left").join(F.broadcast(total))  # total is one row
     d = options.run_bin if delta is None else delta
-    log = [F.coalesce(F.col("ll")[g], F.lit(0.0)) - F.coalesce("n", F.lit(0)) * F.ln(F.col("pix")[g]) - d * F.col("total")[g] for g in range(n)]
-    e = every.select("bin", F.array(*log).alias("l")).withColumn("e", F.transform("l", lambda v: F.exp(v - F.array_max("l"))))
+    point = lambda g: F.coalesce(F.col("ll")[g], F.lit(0.0)) - F.coalesce("n", F.lit(0)) * F.ln(F.col("pix")[g]) - d * F.col("total")[g]
+    e = every.select("bin", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point).alias("l")).withColumn("_m", F.array_max("l")).withColumn("e", F.transform("l", lambda v: F.exp(v - F.col("_m"))))
     full = e.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
     rows = full.select("bin", "s", F.posexplode(F.arrays_zip("l", "e")).alias("g", "_z"))
     return rows.select("bin", "g", F.array(*[F.lit(float(x)) for x in grid])[F.col("g")].alias("x"), F.col("_z.l").alias("logp"), (F.col("_z.e") / F.col("s")).alias("p"))
