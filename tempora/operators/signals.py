@@ -128,10 +128,10 @@ def upsample(signal: DataFrame, factor: int) -> DataFrame:
 
 def windows(signal: DataFrame, size: int, shift: int) -> DataFrame:
     """(channel, window, k, v): samples of each whole window of size, window w starting at w * shift; no join, each sample goes to the windows that hold it."""
-    n = signal.groupBy(KEY).agg((F.max("i") + 1).alias("_n"))
+    n = signal.groupBy(KEY).agg((F.max("i") + 1).alias("_n"))  # one number a channel
     lo = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / shift)).cast("long")
     hi = F.floor(F.col("i") / shift).cast("long")
-    x = signal.join(n, KEY).filter(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi)))
+    x = signal.join(F.broadcast(n), KEY).filter(hi >= lo).withColumn("window", F.explode(F.sequence(lo, hi)))
     return x.filter(F.col("window") * shift + size <= F.col("_n")).select(KEY, "window", (F.col("i") - F.col("window") * shift).alias("k"), "v")
 
 

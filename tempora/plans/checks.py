@@ -43,13 +43,13 @@ QUERIES = {
     "chk_positions_left": lambda s, d: K.at_positions(ev(s, d), ["train"], ["t", "event_id"], 5, -10, 3, keep=False).select("train", "event_id"),
     "chk_shuffle": lambda s, d: rounded(K.shuffle(ev(s, d), ["train"], "event_id", "mark").groupBy("train").agg(F.count("mark").alias("n"), F.sum("mark").alias("total"), F.sum(F.col("mark") * F.col("mark")).alias("squares")), "total", "squares", places=3),
     "chk_roll": lambda s, d: rounded(K.roll(ev(s, d), ["train"], "event_id", "mark").groupBy("train").agg(F.count("mark").alias("n"), F.sum("mark").alias("total"), F.sum(F.col("mark") * F.col("mark")).alias("squares")), "total", "squares", places=3),
-    "chk_axis": lambda s, d: rounded(ev(s, d).select("event_id", K.value_to_index(F.col("mark"), AXIS).alias("i")).withColumn("back", K.index_to_value(F.col("i"), AXIS)), "i", "back"),
+    "chk_axis": lambda s, d: rounded(ev(s, d).select("event_id", K.value_to_index(F.col("mark"), AXIS).alias("i")).withColumn("back", K.index_to_value(F.col("i"), AXIS)), "i", "back", places=9),
     "chk_distance_table": lambda s, d: K.distances_of(ev(s, d).select("event_id", (F.col("event_id") % 3).cast("int").alias("a"), (F.col("user_id") % 3).cast("int").alias("b")), TABLE).select("event_id", "distance"),
     "chk_validity": lambda s, d: rounded(K.validity(masked(s, d), ["red", "blue"]), "red", "blue"),
     "chk_same_rows": lambda s, d: s.createDataFrame([(K.same_rows(T.train(s, d, "view"), T.train(s, d, "view")), K.same_rows(T.train(s, d, "view"), T.train(s, d, "click")), K.has_rows(T.train(s, d, "view")))], "same boolean, other boolean, full boolean"),
     "fn_timestamps": lambda s, d: ev(s, d).select("event_id", X.seconds_to_ticks(F.col("mark")).alias("ticks"), X.seconds_to_micros(F.col("mark")).alias("micros")),
-    "fn_volts": lambda s, d: rounded(ev(s, d).select("event_id", X.to_volts(F.col("mark"), 500.0, True, "uV").alias("v")), "v"),
-    "fn_waveform_volts": lambda s, d: rounded(wave(s, d).select("event_id", F.posexplode(X.waveform_to_volts(F.col("w"), F.array(F.lit(500.0), F.lit(1000.0)), False, "mV")).alias("k", "_v")).select("event_id", "k", F.col("_v")[0].alias("a"), F.col("_v")[1].alias("b")), "a", "b"),
+    "fn_volts": lambda s, d: rounded(ev(s, d).select("event_id", X.to_volts(F.col("mark"), 500.0, True, "uV").alias("v")), "v", places=9),
+    "fn_waveform_volts": lambda s, d: rounded(wave(s, d).select("event_id", F.posexplode(X.waveform_to_volts(F.col("w"), F.array(F.lit(500.0), F.lit(1000.0)), False, "mV")).alias("k", "_v")).select("event_id", "k", F.col("_v")[0].alias("a"), F.col("_v")[1].alias("b")), "a", "b", places=12),
     "fn_waveform_peaks": lambda s, d: rounded(wave(s, d).select("event_id", X.peaks(F.col("w")).alias("p"), X.peaks(F.col("w"), False).alias("q")).select("event_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), F.col("q")[0].alias("c"), F.col("q")[1].alias("d")), "a", "b", "c", "d"),
     "fn_sample_times": lambda s, d: ev(s, d).select("event_id", F.posexplode(X.sample_times(F.col("event_id") * 100, F.array(*[F.lit(0)] * 3), 400.0)).alias("k", "ticks")),
     "fn_records": lambda s, d: ev(s, d).withColumn("r", X.record_of(F.col("event_id"), 512)).select("event_id", "r.record", F.col("r.offset").alias("place"), X.sample_of(F.col("r.record"), F.col("r.offset"), 512).alias("back")),
@@ -70,13 +70,13 @@ ORACLE_SQL = {
     "chk_positions_left": POS + " SELECT train, event_id FROM h WHERE NOT hit",
     "chk_shuffle": SUMS,
     "chk_roll": SUMS,
-    "chk_axis": f"WITH {EV} SELECT event_id, round(CASE WHEN mark <= 0 THEN 0 {STEPS} ELSE 5 END, 6) AS i, round(least(greatest(mark, 0), 1000.0), 6) AS back FROM ev",
+    "chk_axis": f"WITH {EV} SELECT event_id, round(CASE WHEN mark <= 0 THEN 0 {STEPS} ELSE 5 END, 9) AS i, round(least(greatest(mark, 0), 1000.0), 9) AS back FROM ev",
     "chk_distance_table": "SELECT event_id, [[0.0::DOUBLE, 1.5, 4.0], [1.5, 0.0, 2.0], [4.0, 2.0, 0.0]][event_id % 3 + 1][user_id % 3 + 1] AS distance FROM events",
     "chk_validity": f"WITH {EV} SELECT round(100 * avg((event_id % 7 <> 0)::INTEGER), 6) AS red, round(100 * avg((mark > 5)::INTEGER), 6) AS blue FROM ev",
     "chk_same_rows": "SELECT true AS same, false AS other, true AS \"full\"",
     "fn_timestamps": f"WITH {EV} SELECT event_id, trunc(mark * 10000)::BIGINT AS ticks, trunc(mark * 1000000)::BIGINT AS micros FROM ev",
-    "fn_volts": f"WITH {EV} SELECT event_id, round(-mark * (10.0 / 2048) / 500.0 * 1e6, 6) AS v FROM ev",
-    "fn_waveform_volts": WAVE + " SELECT event_id, k::INTEGER AS k, round(a * (10.0::DOUBLE / 2048) / 500.0 * 1e3, 6) AS a, round(b * (10.0::DOUBLE / 2048) / 1000.0 * 1e3, 6) AS b FROM w",
+    "fn_volts": f"WITH {EV} SELECT event_id, round(mark * ((10.0::DOUBLE / 2048) / 500.0) * -1e6, 9) AS v FROM ev",
+    "fn_waveform_volts": WAVE + " SELECT event_id, k::INTEGER AS k, round(a * ((10.0::DOUBLE / 2048) / 500.0) * 1e3, 12) AS a, round(b * ((10.0::DOUBLE / 2048) / 1000.0) * 1e3, 12) AS b FROM w",
     "fn_waveform_peaks": WAVE + " SELECT event_id, round(max(a), 6) AS a, round(max(b), 6) AS b, round(max(-a), 6) AS c, round(max(-b), 6) AS d FROM w GROUP BY event_id",
     "fn_sample_times": "SELECT event_id, k::INTEGER AS k, event_id * 100 + k * 25 AS ticks FROM events, range(3) r(k)",
     "fn_records": "SELECT event_id, event_id // 512 AS record, event_id % 512 AS place, event_id AS back FROM events",
