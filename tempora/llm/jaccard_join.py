@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are ordered by estimated frequency, those surely seen once first, then rare ones. Documents that
+Shingles are ordered by estimated frequency, those surely of one text first, then rare ones; copies count once. Documents that
 share nothing in their shortest prefixes cannot link, so these prefixes deal documents out to clusters (a
-star a shingle, no pairs; shingles surely seen once match nothing and aren't sent).
+star a shingle, no pairs; shingles surely of one text match nothing and aren't sent).
 Inside a cluster each document lengthens its prefix as far as the estimated candidate cost falls; a pair
 is verified only if it shares as many prefix shingles as the shorter of its two lengthenings asks for.
 A cluster too large for one task is dealt out in blocks, each linked alone; then representatives of the
@@ -17,17 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table, text_slices, thrifty, without
 from .components import components
 from .shingles import shingle_sets
 
-#: Cells of the frequency sketch (4 bytes each while counting, 1 when broadcast): so many a document, at least and at most; and those of one merged chunk.
-CELLS_PER_DOC, LEAST_CELLS, MOST_CELLS, CHUNK_BITS = 16, 1 << 16, 1 << 20, 16
-#: Bits of the seen-once and seen-twice filters: so many a document, at least and at most. Beyond the most, fewer shingles are known to be seen once; nothing else changes.
-BITS_PER_DOC, LEAST_BITS, MOST_BITS, FILTER_CHUNK = 1024, 1 << 20, 1 << 29, 1 << 20
+#: Cells of the frequency sketch (1 byte each): so many a document, at least and at most.
+CELLS_PER_DOC, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 24
+#: Bits of the filter of repeated shingles: so many a document, at least and at most. Beyond the most, fewer shingles are known to be one text's alone; nothing else changes.
+BITS_PER_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 29
+#: Bits of the filter of rows that are counted, one of each text: so many a row, at least and at most. Beyond the most, copies are counted, too.
+ROW_BITS, LEAST_ROW_BITS, MOST_ROW_BITS = 16, 1 << 16, 1 << 28
+#: Ranges of hashes that are counted apart, at most, and the shingles that a task holds before it sends them.
+MOST_RANGES, HELD = 1 << 10, 1 << 22
 #: Shingles of a cluster that one task verifies; larger clusters go in blocks of half as many.
 UNIT_SHINGLES = 256_000
 #: Components of a cluster's blocks, the largest ones, that meet by representatives, and these of each.
@@ -53,22 +57,26 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def cell(s: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of each shingle, of so many cells (a power of 2)."""
+    """The cell of each hash, of so many cells (a power of 2)."""
     return (s >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
+def among(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether a filter has each hash, or seems to."""
+    at = cell(s, len(bits) << 3)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 @dataclass
 class Order:
-    """The global order of shingles: once-seen ones, then by class of the sketch's cell, then by hash."""
+    """The global order of shingles: those of one text alone, then by class of the sketch's cell, then by hash."""
 
     classes: np.ndarray
     twice: np.ndarray
 
     def repeated(self, s: np.ndarray) -> np.ndarray:
         """False for shingles that surely only one text has."""
-        bits = len(self.twice) << 3
-        at = (s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-        return ((self.twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        return among(self.twice, s)
 
     def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
         """Those of the first n shingles of a sorted set that another text may have."""
@@ -80,92 +88,144 @@ class Order:
         return s[np.argsort(self.classes[cell(s, len(self.classes))], kind="stable")[:n]]
 
 
-def measure(texts: DataFrame) -> tuple[DataFrame, Order]:
-    """((doc_id, h, n, a, b) of each row: hash of its text, size and 128-bit digest of its set; the order of shingles). texts (doc_id, text, h).
+def size_of(each: int, n: int, least: int, most: int) -> int:
+    """A power of 2 above each * n, within bounds."""
+    return min(most, max(least, 1 << (each * n).bit_length()))
+
+
+def counted_rows(texts: DataFrame, docs: int) -> np.ndarray:
+    """A filter of the keys of one row at least of each distinct text; texts (doc_id, text, h, key), docs rows."""
+    bits = size_of(ROW_BITS, docs, LEAST_ROW_BITS, MOST_ROW_BITS)
+    one = texts.filter("text IS NOT NULL").groupBy("h", F.xxhash64(F.lit(1), "text").alias("g")).agg(F.min("doc_id").alias("doc_id"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            at = cell(batch.column(0).to_numpy().view(np.uint64), bits)
+            np.bitwise_or.at(out, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd", 1).compress(out.tobytes(), asbytes=True)], pa.binary())], names=["x"])
+
+    total, codec = np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
+    for r in one.select(key_of("doc_id", "h")).mapInArrow(thrifty(mark), "x binary").collect():
+        total |= np.frombuffer(codec.decompress(bytes(r["x"]), bits >> 3, asbytes=True), np.uint8)
+    return total
+
 
-    One pass over the texts. Each task counts its shingles in a sketch and marks them in a pair of
-    filters, and sends both in compressed chunks, which are added up chunk by chunk (a bit is seen twice if
-    a task or two tasks have it so). The sums are 4 * MOST_CELLS and MOST_BITS / 8 bytes at most,
-    whatever the input.
+def key_of(doc_id: str, h: str) -> Column:
+    return F.xxhash64(doc_id, h).alias("key")
+
+
+def packed(x: np.ndarray, base: int) -> bytes:
+    """Sorted numbers from base on as differences, byte by byte of these, compressed."""
+    steps = np.diff(x, prepend=np.uint64(base))
+    return pa.Codec("zstd", 1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, base: int) -> np.ndarray:
+    raw = np.frombuffer(pa.Codec("zstd", 1).decompress(data, 8 * n, asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(base)
+
+
+def measure(texts: DataFrame) -> tuple[DataFrame, Order, np.ndarray]:
+    """((doc_id, h, n, a, b) of each row: hash of its text, size and 128-bit digest of its set; the order of shingles; the filter of rows that were counted). texts (doc_id, text, h, key).
+
+    One pass over the texts once the rows to count are known, of copies one. Each task sends its sets'
+    shingles, cut to as many bits as tell nearly all apart, packed by range of hashes (some 2 bytes each);
+    one task counts a range and keeps a filter and a sketch of those met twice or more. So these depend on
+    what is repeated, not on the input's size: MOST_BITS / 8 and MOST_CELLS bytes at most.
     """
-    docs, chunk = texts.count(), 1 << CHUNK_BITS
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_DOC * docs).bit_length()))
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_DOC * docs).bit_length()))
-    width = min(bits, FILTER_CHUNK) >> 3
-    sketches = cells // chunk
+    docs, shuffled = texts.count(), partitions(texts.sparkSession)
+    cells, bits = size_of(CELLS_PER_DOC, docs, LEAST_CELLS, MOST_CELLS), size_of(BITS_PER_DOC, docs, LEAST_BITS, MOST_BITS)
+    wide = min(56, max(32, (docs << 15).bit_length()))  # 64 cells a shingle at 512 of them a document
+    ranges = min(MOST_RANGES, 1 << (shuffled - 1).bit_length())
+    below = wide - (ranges.bit_length() - 1)  # bits of a hash within its range
+    counted = counted_rows(texts, docs)
+    known = texts.sparkSession.sparkContext.broadcast(counted)
+    names = ["doc_id", "h", "n", "a", "b", "part", "x"]
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        flat = np.sort(np.concatenate(held)) >> np.uint64(64 - wide)
+        at = np.searchsorted(flat, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(below))
+        some = np.flatnonzero(np.diff(at))
+        x = [packed(flat[at[c] : at[c + 1]], c << below) for c in some.tolist()]
+        none = pa.nulls(len(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.diff(at)[some], pa.int64()), none, none, pa.array(some, pa.int32()), pa.array(x, pa.binary())], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h", "n", "a", "b", "part", "x", "y"]
-        seen, once, twice = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
+        held, met, size = [], set(), 0
         for batch in batches:
+            here = among(known.value, batch.column(3).to_numpy().view(np.uint64))
             for lo, hi, raw, off in text_slices(batch, 1):
                 sets = shingle_sets(raw, off)
                 keys = [digest(s) for s in sets]
-                flat = np.sort(np.concatenate(sets))
-                seen += np.bincount(cell(flat, cells), minlength=cells).astype(np.uint32)
-                at = (flat >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-                first = np.append(True, at[1:] != at[:-1])[: len(at)]
-                again = np.append(at[~first], at[first][((once[at[first] >> 3] >> (at[first] & 7).astype(np.uint8)) & 1).astype(bool)])
-                for filter_, bit in ((twice, again), (once, at[first])):
-                    np.bitwise_or.at(filter_, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
+                for s, key, count in zip(sets, keys, here[lo:hi].tolist(), strict=True):
+                    if count and len(s) and key not in met:
+                        met.add(key)
+                        held.append(s)
+                        size += len(s)
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-        codec = pa.Codec("zstd", 1)
-        for c in range(sketches + len(once) // width):
-            k = c - sketches
-            pair = (seen[c * chunk : (c + 1) * chunk], np.zeros(0, np.uint8)) if k < 0 else (once[k * width : (k + 1) * width], twice[k * width : (k + 1) * width])
-            if pair[0].any():
-                x, y = (codec.compress(v.tobytes(), asbytes=True) for v in pair)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([c], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=names)
+                spread = pa.array(-1 - np.arange(lo, hi) % MOST_RANGES, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), spread, pa.nulls(m, pa.binary())], names=names)
+                if size >= HELD:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, at, total, twice = pa.Codec("zstd", 1), None, None, None
+        at, held = None, []
 
         def done() -> pa.RecordBatch:
-            out = total if at < sketches else twice
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([codec.compress(out.tobytes(), asbytes=True)], pa.binary())], names=["part", "x"])
+            x = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            times = np.diff(first, append=len(x))
+            x, times = x[first[times > 1]] - np.uint64(at << below), times[times > 1]
+            marks, classes = np.zeros(bits // ranges, bool), np.zeros(cells // ranges, np.uint8)
+            marks[(x >> np.uint64(wide - (bits.bit_length() - 1))).astype(np.int64)] = True
+            np.maximum.at(classes, (x >> np.uint64(wide - (cells.bit_length() - 1))).astype(np.int64), np.minimum(255, np.log2(times) * 7).astype(np.uint8))
+            both = np.packbits(marks, bitorder="little").tobytes() + classes.tobytes()
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array([at], pa.int32()), pa.array([pa.Codec("zstd", 1).compress(both, asbytes=True)], pa.binary())], names=names)
 
         for batch in batches:
-            for c, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            docs = int(np.searchsorted(batch.column(5).to_numpy(), 0))
+            if docs:
+                yield batch.slice(0, docs)
+            for n, c, x in zip(*(batch.column(k).slice(docs).to_pylist() for k in (2, 5, 6)), strict=True):
                 if c != at:
-                    if at is not None:
+                    if held:
                         yield done()
-                    at, total, twice = c, np.zeros(chunk, np.uint32) if c < sketches else np.zeros(width, np.uint8), np.zeros(width, np.uint8)
-                if c < sketches:
-                    total += np.frombuffer(codec.decompress(x, 4 * chunk, asbytes=True), np.uint32)
-                else:
-                    x, y = (np.frombuffer(codec.decompress(v, width, asbytes=True), np.uint8) for v in (x, y))
-                    twice |= y | (total & x)
-                    total |= x
-        if at is not None:
+                    at, held = c, []
+                held.append(unpacked(x, n, c << below))
+        if held:
             yield done()
 
-    rows = cut(texts.mapInArrow(thrifty(read), "doc_id long, h long, n long, a long, b long, part int, x binary, y binary"))
-    parts = rows.filter("part IS NOT NULL").select("part", "x", "y").repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(thrifty(add), "part int, x binary")
-    counts, twice, codec = np.zeros(cells, np.uint32), np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
-    for r in parts.toLocalIterator():
-        k = r["part"] - sketches
-        if k < 0:
-            counts[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(codec.decompress(bytes(r["x"]), 4 * chunk, asbytes=True), np.uint32)
-        else:
-            twice[k * width : (k + 1) * width] = np.frombuffer(codec.decompress(bytes(r["x"]), width, asbytes=True), np.uint8)
-    classes = np.minimum(255, np.log2(counts.astype(float) + 1) * 7).astype(np.uint8)
-    return rows.filter("part IS NULL").select("doc_id", "h", "n", "a", "b"), Order(classes, twice)
+    schema = "doc_id long, h long, n long, a long, b long, part int, x binary"
+    dealt = texts.mapInArrow(thrifty(read), schema).repartition(shuffled, "part").sortWithinPartitions("part")
+    rows = cut(dealt.mapInArrow(thrifty(add), schema))
+    classes, twice, codec = np.zeros(cells, np.uint8), np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
+    w, v = (bits >> 3) // ranges, cells // ranges
+    for r in rows.filter("part >= 0").select("part", "x").coalesce(8).toLocalIterator():
+        both = np.frombuffer(codec.decompress(bytes(r["x"]), w + v, asbytes=True), np.uint8)
+        twice[r["part"] * w : (r["part"] + 1) * w], classes[r["part"] * v : (r["part"] + 1) * v] = both[:w], both[w:]
+    return rows.filter("part < 0").select("doc_id", "h", "n", "a", "b"), Order(classes, twice), counted
 
 
-def star_edges(texts: DataFrame, order: Order, percent: int) -> DataFrame:
-    """(a, b) edges from each shingle of shortest prefixes' least set to its others, sets named by the first 64 bits of their digests.
+def star_edges(texts: DataFrame, order: Order, counted: np.ndarray, percent: int) -> DataFrame:
+    """(a, b) edges from each shingle of shortest prefixes' least set to its others, sets named by the first 64 bits of their digests; texts (text, key), of which rows outside the filter counted are copies of others.
 
     Sets that share these bits by chance only make a cluster larger. A batch already joins what its
     documents share and sends a single posting a shingle on, and none for copies; so a shingle or set
     that very many documents have takes a few rows a task.
     """
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(order)
+    known, rows = spark.sparkContext.broadcast(order), spark.sparkContext.broadcast(counted)
     names = ["tok", "a", "b"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(among(rows.value, batch.column(1).to_numpy().view(np.uint64))))
             prefixes: dict[int, np.ndarray] = {}
             for _, _, raw, off in text_slices(batch, 0):
                 for s in shingle_sets(raw, off):
@@ -392,11 +452,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     rows; columns but these two are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    rows, order = measure(texts)
+    keyed = texts.withColumn("key", key_of("doc_id", "h"))
+    rows, order, counted = measure(keyed)
     # each set by one of its rows: that of the smallest doc_id (null last), then of the smallest hash of its text
     named_by = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("row")
     sets = cut(rows.filter("n > 0").groupBy("a", "b").agg(named_by, F.first("n").alias("n")).select("a", "b", "row.doc_id", "row.h", "n"))
-    near = components(star_edges(texts.select("text"), order, percent))  # nodes are the first halves of digests
+    near = components(star_edges(keyed.select("text", "key"), order, counted, percent))  # nodes are the first halves of digests
     # clusters of sets that may link, with the number of blocks that each is dealt out in
     nodes = near.select(F.col("node").alias("a"), "root").unionByName(near.select(F.col("root").alias("a"), "root").distinct())
     at = cut(nodes.join(sets, "a"))

@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from test_small import brute_components
 
 from tempora.llm import jaccard_join
+from tempora.llm.shingles import shingle_sets
 
 DOCS = "doc_id long, text string, n_shingles string, component_id string"
 
@@ -47,3 +49,19 @@ def test_op1_equals_its_sql(spark, tables):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
     assert got == sorted(con.execute(jaccard_join.SQL).fetchall()) == sorted((i, *c) for i, c in brute_components(rows).items())
     assert jaccard_join.op1_ngram_jaccard(spark, tables("documents", [], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_own_shingles_are_known_as_such(spark, monkeypatch, copies):
+    """Neither copies of a text nor more shingles than the filter has bits make a text's own shingles look like those of others, so none goes to a cluster by them."""
+    own = [" ".join(f"w{k}_{j}" for j in range(60)) for k in range(150)]
+    rows = [(1000 * copy + k, t + "".join(f" p{j}" for j in range(30))) for copy in range(copies) for k, t in enumerate(own)]
+    found, measure = [], jaccard_join.measure
+    monkeypatch.setattr(jaccard_join, "measure", lambda texts: (found.append(measure(texts)), found[-1])[1])
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 1 << 13)
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 1 << 13)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (86, i % 1000) for i, _ in rows}
+    raw = np.frombuffer("".join(own).encode(), np.uint8)
+    sets = shingle_sets(raw, np.cumsum([0, *(len(t.encode()) for t in own)]))
+    assert sum(map(len, sets)) == 150 * 56 and found[0][1].repeated(np.concatenate(sets)).mean() < 0.05
