@@ -80,18 +80,32 @@ def part_of(i: Column, n: Column, parts: int | None = None, size: int | None = N
     return F.floor(i / (size if size else F.ceil(n / parts))).cast("int")
 
 
+def _starts(last: Column, start: int, shift: int) -> tuple[Column, Column]:
+    """(number, array) of start, start + shift, ... up to last; the number doesn't make the array."""
+    last, first, step = last.cast("long"), F.lit(start).cast("long"), F.lit(shift).cast("long")
+    return F.when(last >= first, F.call_function("div", last - first, step) + 1).otherwise(0).cast("int"), F.sequence(first, last, step)
+
+
+def block_count(n: Column, size: int) -> Column:
+    """Number of blocks() of n items."""
+    return _starts(n - 1, 0, size)[0]
+
+
 def blocks(n: Column, size: int) -> Column:
     """Array of (start, n) blocks of n items."""
-    starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(size).cast("long"))
-    return F.when(n > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size).cast("long"), n - s).alias("n")))).otherwise(F.array().cast("array<struct<start:bigint,n:bigint>>"))
+    count, starts = _starts(n - 1, 0, size)
+    return F.when(count > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size).cast("long"), n - s).alias("n")))).otherwise(F.array().cast("array<struct<start:bigint,n:bigint>>"))
+
+
+def slice_count(n: Column, size: int = 1, start: int = 0, shift: int | None = None, strict: bool = False) -> Column:
+    """Number of slices() of n items."""
+    return _starts(n - size if strict else n - 1, start, shift or size)[0]
 
 
 def slices(n: Column, size: int = 1, start: int = 0, shift: int | None = None, strict: bool = False) -> Column:
     """Array of (start, stop) slices, each shift (default size) after the one before; short last ones unless strict."""
-    shift = shift or size
-    last = n - size if strict else n - 1
-    starts = F.sequence(F.lit(start).cast("long"), last, F.lit(shift).cast("long"))
-    return F.when(last >= start, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("stop")))).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    count, starts = _starts(n - size if strict else n - 1, start, shift or size)
+    return F.when(count > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("stop")))).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))
 
 
 # Packed probe samples: 32-bit fields of a 2-bit prefix and three 10-bit samples; 1440 channels in 12 regions of 120.

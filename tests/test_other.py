@@ -14,6 +14,7 @@ from tempora.operators import geometry as G
 from tempora.operators import signals as S
 from tempora.operators import significance as P
 from tempora.operators import spectral as Q
+from tempora.plans import circular as P_CIRCULAR
 from tempora.plans import decoding as V
 from tempora.sources import records as R
 from tempora.sources import tables as T
@@ -159,3 +160,14 @@ def test_probe_words(spark):
 def test_too_few_spikes_fail(spark):
     with pytest.raises(Exception, match="too few"):
         R.check_sources(spark.createDataFrame([("a",)], "source string")).collect()
+
+
+def test_blocks_are_counted_without_their_arrays(spark):
+    n, small = F.col("id"), spark.range(-2, 70)
+    both = [(X.block_count(n, 8), X.blocks(n, 8)), (X.slice_count(n, 10, 0, 5, True), X.slices(n, 10, 0, 5, True)), (X.slice_count(n, 4, 3), X.slices(n, 4, 3))]
+    for count, array in both:
+        assert small.filter(count != F.size(array)).count() == 0
+    assert [tuple(x) for x in small.filter("id = 19").select(both[0][1].alias("x")).first()["x"]] == [(0, 8), (8, 8), (16, 3)]
+    assert tuple(spark.range(10**15, 10**15 + 1).select(X.block_count(n, 10**9), X.slice_count(n, 10**9, 0, 10**9, True)).first()) == (10**6, 10**6)
+    plan = P_CIRCULAR.QUERIES["fn_partitions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
