@@ -1,7 +1,9 @@
 """Streams against batches, numeric routines against identities, record files against their bytes."""
 
+import datetime
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from tempora.operators import significance as P
 from tempora.operators import spectral as Q
 from tempora.plans import circular as P_CIRCULAR
 from tempora.plans import decoding as V
+from tempora.plans import signals as P_SIGNALS
 from tempora.sources import records as R
 from tempora.sources import tables as T
 from tempora.streaming import online as O
@@ -171,3 +174,16 @@ def test_blocks_are_counted_without_their_arrays(spark):
     assert tuple(spark.range(10**15, 10**15 + 1).select(X.block_count(n, 10**9), X.slice_count(n, 10**9, 0, 10**9, True)).first()) == (10**6, 10**6)
     plan = P_CIRCULAR.QUERIES["fn_partitions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan
+
+
+def test_window_means_round_like_their_sql(spark, tmp_path):
+    """Ties of the fourth digit, and windows beyond the 400 that the SQL lists."""
+    cents = [(k, 307624 if k % 64 == 0 else 0) for k in range(13_000)]
+    rows = [(k, 1, "view", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k), c / 100) for k, c in cents]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in P_SIGNALS.QUERIES["sig_windows"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = set(con.execute(P_SIGNALS.ORACLE_SQL["sig_windows"]).fetchall())
+    assert want == {r for r in got if r[1] < 400} and len(want) == 400
+    assert {r[1] for r in got} == set(range((13_000 - 64) // 32 + 1))
