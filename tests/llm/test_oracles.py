@@ -28,4 +28,4 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_says_what_it_returns():
-    assert all(q.__doc__ for q in queries.QUERIES.values()) and len(queries.QUERIES) == 10
+    assert all(q.__doc__ for q in queries.QUERIES.values()) and len(queries.QUERIES) == 13
