@@ -19,18 +19,18 @@ def moment(theta: Column, k: int = 1, weight: Column | None = None) -> tuple[Col
 
 
 def summary(df: DataFrame, keys: list[str], theta: str = "theta", weight: str | None = None, alpha: float = 0.05) -> DataFrame:
-    """By group: n, mean direction (0 to 2 pi), resultant length r, angular variance, standard deviation, dispersion, half width of the mean's confidence interval, and Rayleigh's statistic with its p."""
+    """By group: n, mean direction (0 to 2 pi), resultant length r, angular variance, standard deviation, dispersion, half width of the mean's confidence interval (for the sum of weights, if there are any), and Rayleigh's statistic with its p."""
     from statistics import NormalDist
 
     th, w = F.col(theta), F.col(weight) if weight else None
     (c1, s1), (c2, s2) = moment(th, 1, w), moment(th, 2, w)
-    m = df.groupBy(*keys).agg(F.count(th).alias("n"), c1.alias("c"), s1.alias("s"), c2.alias("c2"), s2.alias("s2"))
+    m = df.groupBy(*keys).agg(F.count(th).alias("n"), c1.alias("c"), s1.alias("s"), c2.alias("c2"), s2.alias("s2"), (F.sum(w) if weight else F.count(th)).alias("nw"))
     m = m.withColumns({"mean": wrap(F.atan2("s", "c")), "r": F.hypot("c", "s"), "p2": F.hypot("c2", "s2")})
     m = m.withColumn("dispersion", (1 - F.col("p2")) / (2 * F.col("r") * F.col("r")))
     z = NormalDist().inv_cdf(1 - alpha / 2)
     n, r = F.col("n"), F.col("r")
-    stat = (1 - 1 / (2 * n)) * 2 * n * r * r + n * F.pow(r, F.lit(4.0)) / 4
-    return m.withColumns({"variance": 1 - r, "std": F.sqrt(-2 * F.ln(r)), "ci": F.asin(F.least(F.lit(1.0), z * F.sqrt(F.col("dispersion") / n))), "rayleigh": stat, "rayleigh_p": F.exp(-stat / 2)}).select(*keys, "n", "mean", "r", "variance", "std", "dispersion", "ci", "rayleigh", "rayleigh_p")
+    stat = (1 - 1 / (2 * n)) * 2 * n * r * r + n * F.pow(r, F.lit(4.0)) / 2
+    return m.withColumns({"variance": 1 - r, "std": F.sqrt(-2 * F.ln(r)), "ci": F.asin(F.least(F.lit(1.0), z * F.sqrt(F.col("dispersion") / F.col("nw")))), "rayleigh": stat, "rayleigh_p": F.exp(-stat / 2)}).select(*keys, "n", "mean", "r", "variance", "std", "dispersion", "ci", "rayleigh", "rayleigh_p")
 
 
 def central_moment(df: DataFrame, keys: list[str], k: int = 1, theta: str = "theta") -> DataFrame:

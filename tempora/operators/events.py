@@ -23,16 +23,20 @@ def rate(events: DataFrame) -> DataFrame:
 
 
 def rate_in(events: DataFrame, segs: DataFrame, width: float, separate: bool = False) -> DataFrame:
-    """Events inside segments over their duration: the merged segments' in all, or each segment's own."""
+    """Events inside segments over their duration: the merged segments' in all, or each segment's own; 0 for trains, and segments of a train, without any."""
+    trains = events.select(KEY).distinct()
     if separate:
         own = segs.select("seg_id", "start", "stop")
         found = range_join(events, own, width).groupBy(KEY, "seg_id").agg(F.count(F.lit(1)).alias("n"))
-        return own.join(found, "seg_id").select(KEY, "seg_id", "n", (F.col("n") / (F.col("stop") - F.col("start"))).alias("rate"))
+        every = own.crossJoin(trains)  # the result: a row a segment and train
+        n = F.coalesce("n", F.lit(0))
+        return every.join(found, [KEY, "seg_id"], "left").select(KEY, "seg_id", n.alias("n"), F.try_divide(n, F.col("stop") - F.col("start")).alias("rate"))
     merged = remove_overlap(segs)
     total = merged.agg(F.sum(F.col("stop") - F.col("start")).alias("total"))
-    n = range_join(events, merged.select("start", "stop"), width).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(total)).select(KEY,  # total is one row
-         "n", (F.col("n") / F.col("total")).alias("rate"))
+    found = range_join(events, merged.select("start", "stop"), width).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return trains.join(found, KEY, "left").crossJoin(F.broadcast(total)).select(KEY,  # total is one row
+         n.alias("n"), F.try_divide(n, F.col("total")).alias("rate"))
 
 
 def bins(events: DataFrame, grid: DataFrame, width: float, kind: str = "count") -> DataFrame:
@@ -61,11 +65,11 @@ def count_until(events: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def intervals(events: DataFrame, kind: str = "post") -> DataFrame:
-    """events with interval: signed time to the next (post) or previous (pre, negative) event, or that of smallest or largest size, null where either is missing; equal sizes take the next one's."""
+    """events with interval: signed time to the next (post) or previous (pre, negative) event, or that of smallest or largest size, null where either is missing; of equal sizes smallest takes the next one's, largest the previous one's."""
     w = ordered("event_id")
     pre, post = F.lag("t").over(w) - F.col("t"), F.lead("t").over(w) - F.col("t")
     both = pre.isNotNull() & post.isNotNull()
-    value = {"pre": pre, "post": post, "smallest": F.when(both, F.when(F.abs(pre) < F.abs(post), pre).otherwise(post)), "largest": F.when(both, F.when(F.abs(pre) > F.abs(post), pre).otherwise(post))}[kind]
+    value = {"pre": pre, "post": post, "smallest": F.when(both, F.when(F.abs(pre) < F.abs(post), pre).otherwise(post)), "largest": F.when(both, F.when(F.abs(post) > F.abs(pre), post).otherwise(pre))}[kind]
     return events.withColumn("interval", value)
 
 
@@ -101,73 +105,124 @@ def filter_bursts(coded: DataFrame, method: str = "reduce") -> DataFrame:
     return coded.filter(keep[method]) if method in keep else coded
 
 
-def complex_spike_index(events: DataFrame, low: float, high: float) -> DataFrame:
-    """(train, csi): 100 * (right - wrong) // n over each event's nearer neighbour.
+def _spike_index(near: DataFrame, low: float, high: float, keys: list[str]) -> DataFrame:
+    """(keys, _s): right less wrong of rows with dt (own time less the neighbour's) and da (own mark less the neighbour's)."""
+    far = F.abs("dt")
+    valid, refractory = far <= high, far < low
+    right = ((F.col("da") <= 0) & (F.col("dt") > 0)) | ((F.col("da") > 0) & (F.col("dt") < 0))
+    wrong = ((F.col("da") <= 0) & (F.col("dt") < 0)) | ((F.col("da") > 0) & (F.col("dt") > 0))
+    return near.groupBy(*keys).agg((F.count_if(valid & ~refractory & right) - F.count_if(valid & (refractory | wrong))).alias("_s"))
 
-    Within high, a later and smaller or earlier and larger one is right, the others are wrong; below low
-    all are wrong.
+
+def complex_spike_index(events: DataFrame, low: float, high: float, cross: bool = False) -> DataFrame:
+    """(train, csi), or (train, other, csi) of all pairs of trains if cross: 100 * (right - wrong) // n.
+
+    Each of a train's n events is compared with the nearer of the events before and after it (the later
+    one if equally near) in its own train, or the other; an event without either takes no part. Up to
+    high apart, an event that follows its neighbour and isn't larger, or comes before it and is larger,
+    is right, and the others are wrong; less than low apart all are wrong.
     """
+    n = events.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     w = ordered("event_id")
-    pre, post = F.lag("t").over(w) - F.col("t"), F.lead("t").over(w) - F.col("t")
-    near = F.when(pre.isNull(), F.lit(0)).when(post.isNull(), F.lit(1)).otherwise(F.when(F.abs(pre) < F.abs(post), 1).otherwise(0))
-    x = events.select(KEY, near.alias("_n"), pre.alias("_p"), post.alias("_q"), "mark", F.lag("mark").over(w).alias("_mp"), F.lead("mark").over(w).alias("_mq"))
-    dt = F.when(F.col("_n") == 1, -F.col("_p")).otherwise(F.col("_q"))
-    da = F.when(F.col("_n") == 1, F.col("mark") - F.col("_mp")).otherwise(F.col("_mq") - F.col("mark"))
-    y = x.select(KEY, dt.alias("dt"), da.alias("da")).filter("dt IS NOT NULL")
-    valid = F.col("dt") <= high
-    good = F.count_if(valid & (F.col("dt") >= low) & (F.col("da") <= 0))
-    bad = F.count_if(valid & ((F.col("dt") < low) | (F.col("da") > 0)))
-    return y.groupBy(KEY).agg(F.floor(100 * (good - bad) / F.count(F.lit(1))).cast("long").alias("csi"))
+    pre, post = F.struct(F.lag("t").over(w).alias("t"), F.lag("mark").over(w).alias("mark")), F.struct(F.lead("t").over(w).alias("t"), F.lead("mark").over(w).alias("mark"))
+    nearer = F.when(F.col("_q.t") - F.col("t") <= F.col("t") - F.col("_p.t"), F.col("_q")).otherwise(F.col("_p"))
+    both = F.col("_p.t").isNotNull() & F.col("_q.t").isNotNull()
+    gap = lambda df, *keys: df.filter(both).withColumn("_x", nearer).select(*keys, (F.col("t") - F.col("_x.t")).alias("dt"), (F.col("mark") - F.col("_x.mark")).alias("da"))
+    index = F.floor(100 * F.coalesce("_s", F.lit(0)) / F.col("_n")).cast("long").alias("csi")
+    own = _spike_index(gap(events.select(KEY, "t", "mark", pre.alias("_p"), post.alias("_q")), KEY), low, high, [KEY])
+    if not cross:
+        return n.join(own, KEY, "left").select(KEY, index)
+    trains = events.select(F.col(KEY).alias("other")).distinct()
+    asked = events.select(KEY, "t", "mark").crossJoin(trains).filter(F.col(KEY) != F.col("other"))  # an event is compared with every other train
+    there = events.select(F.col(KEY).alias("other"), "t", "mark")
+    lined = asof(asof(asked, there, ["mark"], ("other",)).withColumnRenamed("_asof", "_p"), there, ["mark"], ("other",), backward=False).withColumnRenamed("_asof", "_q")
+    found = _spike_index(gap(lined, KEY, "other"), low, high, [KEY, "other"]).unionByName(own.withColumn("other", F.col(KEY)))
+    return n.crossJoin(trains).join(found, [KEY, "other"], "left").select(KEY, "other", index)
+
+
+def _valid_references(reference: DataFrame, low: float, high: float, segs: DataFrame, width: float, unbiased: bool) -> DataFrame:
+    """(ref_train, ref_t, _s, _e): reference events with the segment that they lie in, ends included; unbiased shortens it by the lags."""
+    ref = reference.select(F.col(KEY).alias("ref_train"), F.col("t").alias("ref_t"))
+    s = segs.select(F.col("start").alias("_s"), F.col("stop").alias("_e"), "start", "stop")
+    inner = s.withColumns({"start": F.col("_s") - (low if unbiased else 0), "stop": F.col("_e") - (high if unbiased else 0)}).filter("stop >= start")
+    return range_join(ref, inner, width, x="ref_t", closed=True).select("ref_train", "ref_t", "_s", "_e")
 
 
 def near_reference(events: DataFrame, reference: DataFrame, low: float, high: float, segs: DataFrame | None = None, width: float | None = None, unbiased: bool = False) -> DataFrame:
     """(train, ref_train, ref_t, lag) of events with low <= t - ref_t <= high: a band join on buckets of the band's width.
 
-    With segments both must lie in the same one, ends included; unbiased shortens it for references by the lags.
+    With segments, overlapping ones merged, both must lie in the same one, ends included; unbiased
+    shortens it for references by the lags.
     """
-    ref = reference.select(F.col(KEY).alias("ref_train"), F.col("t").alias("ref_t"))
-    ev = events.select(KEY, "t")
-    if segs is not None:
-        s = segs.select(F.col("start").alias("_s"), F.col("stop").alias("_e"), "start", "stop")
-        inner = s.withColumns({"start": F.col("_s") - (low if unbiased else 0), "stop": F.col("_e") - (high if unbiased else 0)}).filter("stop >= start")
-        ref = range_join(ref, inner, width, x="ref_t", closed=True).select("ref_train", "ref_t", "_s", "_e")
+    if segs is None:
+        ref = reference.select(F.col(KEY).alias("ref_train"), F.col("t").alias("ref_t"))
+    else:
+        ref = _valid_references(reference, low, high, remove_overlap(segs.withColumn("set_id", F.lit("all")), strict=False), width, unbiased)
     band = ref.withColumns({"start": F.col("ref_t") + low, "stop": F.col("ref_t") + high})
     if segs is not None:
         band = band.withColumns({"start": F.greatest("start", "_s"), "stop": F.least("stop", "_e")}).filter("stop >= start").drop("_s", "_e")
-    return range_join(ev, band, max(high - low, 1e-9), closed=True).select(KEY, "ref_train", "ref_t", (F.col("t") - F.col("ref_t")).alias("lag"))
+    return range_join(events.select(KEY, "t"), band, max(high - low, 1e-9), closed=True).select(KEY, "ref_train", "ref_t", (F.col("t") - F.col("ref_t")).alias("lag"))
 
 
-def peri_event_histogram(events: DataFrame, reference: DataFrame, edges: list[float], normalization: str = "none", duration: float | None = None, segs: DataFrame | None = None, width: float | None = None, unbiased: bool = False, remove_zero: bool = False) -> DataFrame:
-    """(train, ref_train, bin, value): lags from reference to event, counted between edges (even steps); the last bin is closed.
+NORMALIZATIONS = ("none", "coef", "rate", "conditional mean intensity", "product density", "cross covariance", "cumulant density", "zscore", "zscore_sqrt")
 
-    normalization: none, coef, rate, conditional mean intensity (the same), product density, cross
-    covariance, cumulant density, zscore (by the variance) or zscore_sqrt. duration: observed time, by
-    default that of both trains together.
+
+def peri_event_histogram(events: DataFrame, reference: DataFrame, edges: list[float], normalization: str = "none", segs: DataFrame | None = None, width: float | None = None, unbiased: bool = False, remove_zero: bool = False) -> DataFrame:
+    """(train, ref_train, bin, value): lags from reference to event, counted between edges; the last bin is closed, and empty bins of all pairs of trains are there.
+
+    Counts are of events and references in the same segment (overlapping ones merged; by default one
+    segment from the first to the last of all times). Valid references lie in a segment, ends included;
+    unbiased takes only those that see all lags in it, and then scales what isn't divided by their number
+    up to the references inside segments (start <= t < stop). With counts c, steps d, the summed
+    durations T and the rates l of events and references inside segments, over T:
+
+    coef: c / valid; rate and conditional mean intensity: c / (valid d); product density: c / (d T);
+    cross covariance and cumulant density: c / (d T) - l l; zscore: that over l l / (d T), or over its
+    root for zscore_sqrt. Null where a divisor is 0.
     """
-    step, n = edges[1] - edges[0], len(edges) - 1
-    lags = near_reference(events, reference, edges[0], edges[-1], segs, width, unbiased)
+    if normalization not in NORMALIZATIONS:
+        raise ValueError(normalization)
+    n, low, high = len(edges) - 1, edges[0], edges[-1]
+    refs = reference.select(F.col(KEY).alias("ref_train"), "t")
+    lags = near_reference(events, reference, low, high, segs, width, unbiased)
+    if segs is None:
+        ends = events.select("t").unionByName(reference.select("t")).agg(F.min("t").alias("_s"), F.max("t").alias("_e"))  # one row
+        of = lambda df, k: df.crossJoin(F.broadcast(ends)).groupBy(k)
+        seen = F.col("t").between(F.col("_s") - (low if unbiased else 0), F.col("_e") - (high if unbiased else 0))
+        nr = of(refs, "ref_train").agg(F.count_if(seen).alias("valid"), F.count_if(F.col("t") < F.col("_e")).alias("nr"))
+        ne = of(events.select(KEY, "t"), KEY).agg(F.count_if(F.col("t") < F.col("_e")).alias("ne"))
+        time = ends.select((F.col("_e") - F.col("_s")).alias("T"))
+        if unbiased:
+            lags = lags.crossJoin(F.broadcast(ends)).filter(F.col("ref_t").between(F.col("_s") - low, F.col("_e") - high)).drop("_s", "_e")
+    else:
+        whole = remove_overlap(segs.withColumn("set_id", F.lit("all")), strict=False).select("start", "stop")
+        valid = _valid_references(reference, low, high, whole, width, unbiased).groupBy("ref_train").agg(F.count(F.lit(1)).alias("valid"))
+        within = lambda df, k, name: range_join(df, whole, width).groupBy(k).agg(F.count(F.lit(1)).alias(name))
+        nr = refs.select("ref_train").distinct().join(valid, "ref_train", "left").join(within(refs, "ref_train", "nr"), "ref_train", "left").fillna(0)
+        ne = events.select(KEY).distinct().join(within(events.select(KEY, "t"), KEY, "ne"), KEY, "left").fillna(0)
+        time = segs.agg(F.sum(F.col("stop") - F.col("start")).alias("T"))
     if remove_zero:
         lags = lags.filter("lag != 0")
-    at = F.least(F.floor((F.col("lag") - edges[0]) / step), F.lit(n - 1)).cast("int")
+    at = sum((F.when(F.col("lag") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
     counts = lags.groupBy(KEY, "ref_train", at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    if normalization == "none":
-        return counts.withColumnRenamed("c", "value")
-    ne = events.groupBy(KEY).agg(F.count(F.lit(1)).alias("ne"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    nr = reference.groupBy(F.col(KEY).alias("ref_train")).agg(F.count(F.lit(1)).alias("nr"), F.min("t").alias("r0"), F.max("t").alias("r1"))
-    x = counts.join(ne, KEY).join(nr, "ref_train")
-    total = F.lit(float(duration)) if duration else F.greatest("t1", "r1") - F.least("t0", "r0")
-    c, e, r = F.col("c"), F.col("ne"), F.col("nr")
-    density = c / (step * total)
-    lone = e / total * r / total
+    steps = F.array(*[F.lit(float(b - a)) for a, b in zip(edges, edges[1:], strict=False)])
+    grid = ne.crossJoin(nr).crossJoin(F.broadcast(time)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # the result: a row a pair of trains and bin
+    x = grid.join(counts, [KEY, "ref_train", "bin"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    c, step, valid, total = F.col("c"), steps[F.col("bin")], F.col("valid"), F.col("T")
+    if unbiased and normalization not in ("coef", "rate", "conditional mean intensity"):
+        c = F.try_divide(c * F.col("nr"), valid)
+    density = F.try_divide(c, step * total)
+    lone = F.try_divide(F.col("ne"), total) * F.try_divide(F.col("nr"), total)
     value: Column = {
-        "coef": c / F.sqrt(e * r),
-        "rate": c / (step * r),
-        "conditional mean intensity": c / (step * r),
+        "none": c,
+        "coef": F.try_divide(c, valid),
+        "rate": F.try_divide(c, step * valid),
+        "conditional mean intensity": F.try_divide(c, step * valid),
         "product density": density,
         "cross covariance": density - lone,
         "cumulant density": density - lone,
-        "zscore": (density - lone) / (lone / (step * total)),
-        "zscore_sqrt": (density - lone) / F.sqrt(lone / (step * total)),
+        "zscore": F.try_divide(density - lone, F.try_divide(lone, step * total)),
+        "zscore_sqrt": F.try_divide(density - lone, F.sqrt(F.try_divide(lone, step * total))),
     }[normalization]
     return x.select(KEY, "ref_train", "bin", value.alias("value"))
 
@@ -190,9 +245,3 @@ def density(events: DataFrame, grid: DataFrame, bandwidth: float, cutoff: float
 def split_by_string(rows: DataFrame, string: str, t: str = "t") -> DataFrame:
     """(string, n, times): a row for each distinct string with its times in order."""
     return rows.groupBy(string).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(t)).alias("times"))
-
-
-def synchronization(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(offset, drift) of clock b against a from paired events (i, t): mean difference and slope."""
-    d = F.col("tb") - F.col("ta")
-    return a.select("i", F.col("t").alias("ta")).join(b.select("i", F.col("t").alias("tb")), "i").agg(F.avg(d).alias("offset"), F.regr_slope("tb", "ta").alias("drift"))

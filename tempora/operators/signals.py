@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import kernel
 from . import segments as S
-from .joins import range_join
+from .joins import asof, interval_join, range_join
 
 KEY = "channel"
 #: Lines whose |sin theta| is at most this are vertical.
@@ -60,8 +60,8 @@ def mountains(signal: DataFrame, low: Column | float, high: float, segs: DataFra
     out = runs.withColumn("_in", inner).groupBy(KEY, "_r").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.max("_in").alias("peak")).filter(F.col("peak") > high).drop("_r")
     if segs is None:
         return out
-    cut = S.intersection(out.withColumn(S.KEY, F.col(KEY)), segs, width)
-    return cut.withColumnRenamed(S.KEY, KEY)
+    cut = interval_join(out, S.remove_overlap(segs.withColumn(S.KEY, F.lit("all"))).select("start", "stop"), width)
+    return cut.select(F.col(f"{KEY}_a").alias(KEY), F.greatest("start_a", "start_b").alias("start"), F.least("stop_a", "stop_b").alias("stop"), F.col("peak_a").alias("peak"))
 
 
 def thresholds(signal: DataFrame, multipliers: list[float] = (1.0,), percentiles: list[float] = (0.5, 0.9)) -> DataFrame:
@@ -73,23 +73,45 @@ def thresholds(signal: DataFrame, multipliers: list[float] = (1.0,), percentiles
     return signal.groupBy(KEY).agg(*aggs)
 
 
-def ripples(signal: DataFrame, low: float, high: float, join_gap: float, least: float) -> DataFrame:
-    """(channel, start, stop, peak): stretches above low of an envelope, joined over gaps up to join_gap, at least so long, with a value of high or more."""
-    flat = S.from_logical(signal, F.col("v") > low, (KEY,)).withColumn(S.KEY, F.col(KEY))
-    joined = S.remove_overlap(flat, gap=join_gap).filter(F.col("stop") - F.col("start") >= least)
-    width = max(join_gap, least, 1e-9) * 4
-    peaks = range_join(signal.filter(F.col("v") >= high).select(F.col(KEY).alias(S.KEY), "t", "v"), joined, width, (S.KEY,), closed=True)
-    return peaks.groupBy(F.col(S.KEY).alias(KEY), "start", "stop").agg(F.max("v").alias("peak"))
+def gradient_peaks(signal: DataFrame, least: float) -> DataFrame:
+    """(channel, t, v): maxima by the gradient's zero crossings, t and v interpolated between samples, of a size of least or more."""
+    w = by_time()
+    steps = signal.select(KEY, F.col("i").alias("_i"), F.col("t").alias("_t"), F.col("v").alias("_v"), F.lead("t").over(w).alias("_tn"), F.lead("v").over(w).alias("_vn"))
+    at = gradient_extrema(signal, "max").select(KEY, F.floor("at").cast("long").alias("_i"), (F.col("at") - F.floor("at")).alias("_f"))
+    between = lambda a, b: F.when(F.col("_f") == 0, F.col(a)).otherwise(F.col(a) + F.col("_f") * (F.col(b) - F.col(a)))
+    return at.join(steps, [KEY, "_i"]).select(KEY, between("_t", "_tn").alias("t"), between("_v", "_vn").alias("v")).filter(F.abs("v") >= least)
+
+
+def ripple_segments(signal: DataFrame, low: float, high: float, join_gap: float, least: float, segs: DataFrame | None = None, width: float | None = None) -> DataFrame:
+    """(channel, start, stop): runs of an envelope above low that rise above high (cut to segs if given), joined over gaps up to join_gap, at least so long in the end."""
+    joined = S.join_gap(mountains(signal, low, high, segs, width).withColumnRenamed(KEY, S.KEY), join_gap)
+    return joined.filter(F.col("stop") - F.col("start") >= least).withColumnRenamed(S.KEY, KEY)
+
 
+def ripples(signal: DataFrame, low: float, high: float, join_gap: float, least: float, segs: DataFrame | None = None, width: float | None = None) -> DataFrame:
+    """(channel, start, stop, peaks, peak): ripple_segments with the number of gradient maxima of high or more inside, and the largest one's size, null if none."""
+    found = ripple_segments(signal, low, high, join_gap, least, segs, width)
+    inside = range_join(gradient_peaks(signal, high), found.select(KEY, "start", "stop"), max(join_gap, least, 1e-9) * 4, (KEY,))
+    peaks = inside.groupBy(KEY, "start", "stop").agg(F.count(F.lit(1)).alias("peaks"), F.max("v").alias("peak"))
+    return found.join(peaks, [KEY, "start", "stop"], "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
 
-def detection_rates(online: DataFrame, offline: DataFrame, window: float) -> DataFrame:
-    """(true_positive, false_negative, false_positive): shares of offline segments with, and without, an online time from their start to window after it, and of online times in none."""
-    segs = offline.select("seg_id", "start", (F.col("start") + window).alias("stop"))
-    hits = range_join(online.select("t", F.monotonically_increasing_id().alias("id")), segs, window, closed=True).select("seg_id", "id")
-    counts = hits.agg(F.count_distinct("seg_id").alias("s"), F.count_distinct("id").alias("o"))
-    ns, no = offline.agg(F.count(F.lit(1)).alias("ns")), online.agg(F.count(F.lit(1)).alias("no"))
-    return counts.crossJoin(F.broadcast(ns)).crossJoin(F.broadcast(no)).select(  # one row each
-        (F.col("s") / F.col("ns")).alias("true_positive"), (1 - F.col("s") / F.col("ns")).alias("false_negative"), (1 - F.col("o") / F.col("no")).alias("false_positive"))
+
+def detection_rates(online: DataFrame, offline: DataFrame, lock_out: float | None = None) -> DataFrame:
+    """(true_positive, false_negative, false_positive, lock_out): percentages.
+
+    An online time is right if the last offline segment to start at or before it (of equal starts the
+    longest) is longer than the time since. True positives are in % of the segments, and what they leave
+    of these are false negatives; the other online times, in % of all, false positives. lock_out: the
+    segments, in %, that start less than so long after the online time before them.
+    """
+    starts = offline.groupBy(F.col("start").alias("t")).agg(F.max(F.col("stop") - F.col("start")).alias("d"))
+    right = asof(online.select("t"), starts, ["d"]).agg(F.count_if(F.col("t") - F.col("_asof.t") < F.col("_asof.d")).alias("tp"), F.count(F.lit(1)).alias("no"))
+    held = F.col("t") - F.col("_asof.t") < lock_out if lock_out is not None else F.lit(None).cast("boolean")
+    late = asof(offline.select(F.col("start").alias("t")), online, []).agg(F.count(F.lit(1)).alias("ns"), F.count_if(held).alias("nl"))
+    part = lambda x, n: F.try_divide(100.0 * x, F.col(n))
+    return right.crossJoin(F.broadcast(late)).select(  # one row each
+        part(F.col("tp"), "ns").alias("true_positive"), part(F.col("ns") - F.col("tp"), "ns").alias("false_negative"), part(F.col("no") - F.col("tp"), "no").alias("false_positive"),
+        (part(F.col("nl"), "ns") if lock_out is not None else F.lit(None).cast("double")).alias("lock_out"))
 
 
 def weights(name: str, bandwidth: float, normalize: str = "sum") -> list[tuple[int, float]]:

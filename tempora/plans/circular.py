@@ -58,7 +58,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "circ_summary": MOM + f", z AS (SELECT *, (1 - p2) / (2 * r * r) AS dispersion, (1 - 1 / (2 * n)) * 2 * n * r * r + n * pow(r, 4) / 4 AS st FROM q) SELECT train, n, round(atan2(s, c) - floor(atan2(s, c) / {P!r}) * {P!r}, 6) AS mean, round(r, 6) AS r, round(1 - r, 6) AS variance, round(sqrt(-2 * ln(r)), 6) AS std, round(dispersion, 6) AS dispersion, round(asin(least(1.0::DOUBLE, 1.9599639845400545::DOUBLE * sqrt(dispersion / n))), 6) AS ci, round(st, 6) AS rayleigh, round(exp(-st / 2), 6) AS rayleigh_p FROM z",
+    "circ_summary": MOM + f", z AS (SELECT *, (1 - p2) / (2 * r * r) AS dispersion, (1 - 1 / (2 * n)) * 2 * n * r * r + n * pow(r, 4) / 2 AS st FROM q) SELECT train, n, round(atan2(s, c) - floor(atan2(s, c) / {P!r}) * {P!r}, 6) AS mean, round(r, 6) AS r, round(1 - r, 6) AS variance, round(sqrt(-2 * ln(r)), 6) AS std, round(dispersion, 6) AS dispersion, round(asin(least(1.0::DOUBLE, 1.9599639845400545::DOUBLE * sqrt(dispersion / n))), 6) AS ci, round(st, 6) AS rayleigh, round(exp(-st / 2), 6) AS rayleigh_p FROM z",
     "circ_weighted_mean": f"WITH {TH}, m AS (SELECT train, sum(mark * cos(theta)) / sum(mark) AS c, sum(mark * sin(theta)) / sum(mark) AS s FROM an GROUP BY train) SELECT train, round(atan2(s, c) - floor(atan2(s, c) / {P!r}) * {P!r}, 6) AS mean, round(sqrt(c * c + s * s), 6) AS r FROM m",
     "circ_central_moment": MOM + " SELECT an.train, round(avg(cos(2 * (theta - atan2(s, c)))), 6) AS re, round(avg(sin(2 * (theta - atan2(s, c)))), 6) AS im FROM an JOIN m USING (train) GROUP BY an.train",
     "circ_kuiper": f"WITH {TH}, x AS (SELECT train, theta / {P!r} AS u, row_number() OVER (PARTITION BY train ORDER BY theta) AS i, count(*) OVER (PARTITION BY train) AS n FROM an), d AS (SELECT train, any_value(n) AS n, max(i / n - u) + max(u - (i - 1) / n) AS v FROM x GROUP BY train), k AS (SELECT train, n, v * (sqrt(n) + 0.155 + 0.24 / sqrt(n)) AS v FROM d) SELECT train, n, round(v, 6) AS kuiper, round(least(1.0, (8 * v * v - 2) * exp(-2 * v * v)), 6) AS kuiper_p FROM k",

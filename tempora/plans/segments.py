@@ -123,5 +123,5 @@ ORACLE_SQL = {
     "seg_as_index": _x(POS + ", k AS (SELECT k FROM v WHERE EXISTS (SELECT 1 FROM a WHERE a.start <= v.t AND v.t < a.stop)), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM k) SELECT min(k) AS start, max(k) AS stop FROM g GROUP BY g"),
     "seg_partition": _x("k AS (SELECT seg_id, row_number() OVER (ORDER BY start, stop) - 1 AS i, count(*) OVER () AS n FROM a) SELECT seg_id, floor(i / ceil(n / 7))::INTEGER AS part FROM k"),
     "seg_partition_sequence": _x("k AS (SELECT seg_id, row_number() OVER (ORDER BY start, stop) - 1 AS i FROM a) SELECT seg_id, (i % 7)::INTEGER AS part FROM k"),
-    "seg_calendar_union": "WITH s AS (SELECT o_custkey AS c, epoch_us(o_orderdate) / 86400e6 AS start FROM orders), m AS (SELECT c, start, start + 10.0 AS stop, max(start + 10.0) OVER (PARTITION BY c ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY start ROWS UNBOUNDED PRECEDING) AS i FROM m), g AS (SELECT c, i, min(start) AS start, max(stop) AS stop FROM i GROUP BY c, i) SELECT c AS custkey, count(*) AS n, round(sum(stop - start), 4) AS days FROM g GROUP BY c",
+    "seg_calendar_union": "WITH s AS (SELECT o_custkey AS c, o_orderkey AS k, epoch_us(o_orderdate) / 86400e6 AS start FROM orders), m AS (SELECT c, k, start, start + 10.0 AS stop, max(start + 10.0) OVER (PARTITION BY c ORDER BY start, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY start, k ROWS UNBOUNDED PRECEDING) AS i FROM m), g AS (SELECT c, i, min(start) AS start, max(stop) AS stop FROM i GROUP BY c, i) SELECT c AS custkey, count(*) AS n, round(sum(stop - start), 4) AS days FROM g GROUP BY c",
 }

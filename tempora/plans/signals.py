@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import signals as G
 from ..sources import tables as T
 from .events import rounded
-from .segments import EV, SEGS, a
+from .segments import EV, SEGS, WIDTH, a, merged
 
 
 def centred(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,8 @@ QUERIES = {
     "sig_mountains": lambda s, d: rounded(G.mountains(T.signal(s, d), 60.0, 120.0), "start", "stop", "peak", places=4),
     "sig_thresholds": lambda s, d: rounded(G.thresholds(T.signal(s, d), [1.0, 2.5]), "zscore_0", "zscore_1", "median_0", "median_1", "percentile_0", "percentile_1"),
     "sig_ripple": lambda s, d: rounded(G.ripples(T.signal(s, d), 60.0, 150.0, 600.0, 900.0), "start", "stop", "peak", places=4),
-    "sig_detection": lambda s, d: rounded(G.detection_rates(T.train(s, d, "view"), a(s, d), 900.0), "true_positive", "false_negative", "false_positive"),
+    "sig_ripple_segments": lambda s, d: rounded(G.ripples(T.signal(s, d), 60.0, 150.0, 600.0, 900.0, a(s, d), WIDTH), "start", "stop", "peak", places=4),
+    "sig_detection": lambda s, d: rounded(G.detection_rates(T.train(s, d, "view"), a(s, d), 600.0), "true_positive", "false_negative", "false_positive", "lock_out"),
     "sig_smooth": lambda s, d: rounded(G.smooth(T.signal(s, d), "gaussian", 2.0), "v").select("channel", "i", "v"),
     "sig_smooth_unbiased": lambda s, d: rounded(G.smooth(T.signal(s, d), "epanechnikov", 4.0, unbiased=True), "v").select("channel", "i", "v"),
     "sig_smooth_triangular": lambda s, d: rounded(G.smooth(T.signal(s, d), "triangular", 5.0, "max"), "v").select("channel", "i", "v"),
@@ -67,6 +68,18 @@ IMG = f"{EV}, im AS (SELECT floor((t - floor(t / 86400.0) * 86400.0) / 3600.0) A
 RADON = f"WITH {IMG}, l AS (SELECT k AS theta, cos(pi() * (k + 0.5) / 12) AS c, sin(pi() * (k + 0.5) / 12) AS s, r AS rho FROM range(12) a(k), range(33) b(r)), h AS (SELECT theta, rho, x, floor(11.5 + (rho - 16.0 - (x - 11.5) * c) / s + 0.5) AS y FROM l, range(24) z(x)), q AS (SELECT theta::INTEGER AS theta, rho::INTEGER AS rho, sum(v) AS value FROM h JOIN im USING (x, y) GROUP BY theta, rho)"
 
 
+def _ripples(first: str, runs: str = "SELECT channel, start, stop FROM z WHERE peak > 150") -> str:
+    """Runs above 60 with a peak, joined over 600 s, of 900 s or more; with the gradient's maxima inside."""
+    return f"""{first}, r AS (SELECT *, i - row_number() OVER (PARTITION BY channel ORDER BY i) AS g FROM sg WHERE v > 60), lr AS (SELECT *, max(i) OVER (PARTITION BY channel, g) AS l FROM r),
+z AS (SELECT channel, min(t) AS start, max(t) AS stop, max(v) FILTER (WHERE i < l) AS peak FROM lr GROUP BY channel, g), f AS ({runs}),
+mx AS (SELECT *, max(stop) OVER (PARTITION BY channel ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f), nr AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 600.0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM mx),
+j AS (SELECT channel, min(start) AS start, max(stop) AS stop FROM nr GROUP BY channel, k HAVING max(stop) - min(start) >= 900.0),
+gr AS (SELECT channel, i, (lead(v) OVER (PARTITION BY channel ORDER BY i) - lag(v) OVER (PARTITION BY channel ORDER BY i)) / 2 AS v FROM sg), h AS (SELECT * FROM gr WHERE v IS NOT NULL), {CROSS.format('h')},
+top AS (SELECT channel, i + v / (v - w) * (j - i) AS x FROM n WHERE w < 0 AND v > 0), st AS (SELECT channel, i, t, v, lead(t) OVER q AS tn, lead(v) OVER q AS vn FROM sg WINDOW q AS (PARTITION BY channel ORDER BY i)),
+pk AS (SELECT top.channel, t + (x - floor(x)) * coalesce(tn - t, 0) AS t, v + (x - floor(x)) * coalesce(vn - v, 0) AS v FROM top JOIN st ON top.channel = st.channel AND floor(x)::BIGINT = i)
+SELECT j.channel, round(start, 4) AS start, round(stop, 4) AS stop, count(pk.v) AS peaks, round(max(pk.v), 4) AS peak FROM j LEFT JOIN pk ON pk.channel = j.channel AND pk.t >= start AND pk.t < stop AND abs(pk.v) >= 150 GROUP BY j.channel, start, stop"""
+
+
 def _smooth(name: str, bandwidth: float, normalize: str = "sum", unbiased: bool = False) -> str:
     ws = ", ".join(f"({lag}, {w!r}::DOUBLE)" for lag, w in G.weights(name, bandwidth, normalize))
     value = "sum(w * y.v) / sum(w)" if unbiased else "sum(w * y.v)"
@@ -81,15 +94,16 @@ ORACLE_SQL = {
     "sig_zero_cross": f"WITH {SIG}, h AS (SELECT channel, i, v - 50.0 AS v FROM sg), {CROSS.format('h')} SELECT channel, round(i + v / (v - w) * (j - i), 6) AS at, w > 0 AS rising FROM n WHERE w IS NOT NULL AND v * w < 0",
     "sig_mountains": f"WITH {SIG}, r AS (SELECT *, i - row_number() OVER (PARTITION BY channel ORDER BY i) AS g FROM sg WHERE v > 60), m AS (SELECT *, max(i) OVER (PARTITION BY channel, g) AS l FROM r), z AS (SELECT channel, min(t) AS start, max(t) AS stop, max(v) FILTER (WHERE i < l) AS peak FROM m GROUP BY channel, g) SELECT channel, round(start, 4) AS start, round(stop, 4) AS stop, round(peak, 4) AS peak FROM z WHERE peak > 120",
     "sig_thresholds": f"WITH {SIG}, q AS (SELECT channel, avg(v) AS m, stddev_pop(v) AS s, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.9) AS q9 FROM sg GROUP BY channel) SELECT channel, round(m + s, 6) AS zscore_0, round(m + 2.5 * s, 6) AS zscore_1, round(q2 + (q3 - q2), 6) AS median_0, round(q2 + 2.5 * (q3 - q2), 6) AS median_1, round(q2, 6) AS percentile_0, round(q9, 6) AS percentile_1 FROM q",
-    "sig_ripple": f"WITH {SIG}, r AS (SELECT *, i - row_number() OVER (PARTITION BY channel ORDER BY i) AS g FROM sg WHERE v > 60), f AS (SELECT channel, min(t) AS start, max(t) AS stop FROM r GROUP BY channel, g), m AS (SELECT *, max(stop) OVER (PARTITION BY channel ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 600.0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY start ROWS UNBOUNDED PRECEDING) AS k FROM m), j AS (SELECT channel, min(start) AS start, max(stop) AS stop FROM i GROUP BY channel, k HAVING max(stop) - min(start) >= 900.0) SELECT j.channel, round(start, 4) AS start, round(stop, 4) AS stop, round(max(v), 4) AS peak FROM j JOIN sg ON sg.channel = j.channel AND sg.t >= start AND sg.t <= stop WHERE v >= 150 GROUP BY j.channel, start, stop",
-    "sig_detection": f"WITH {SEGS}, o AS (SELECT t FROM ev WHERE train = 'view'), h AS (SELECT seg_id, t FROM a JOIN o ON t >= start AND t <= start + 900.0) SELECT round((SELECT count(DISTINCT seg_id) FROM h) / (SELECT count(*) FROM a), 6) AS true_positive, round(1 - (SELECT count(DISTINCT seg_id) FROM h) / (SELECT count(*) FROM a), 6) AS false_negative, round(1 - (SELECT count(DISTINCT t) FROM h) / (SELECT count(*) FROM o), 6) AS false_positive",
+    "sig_ripple": _ripples(f"WITH {SIG}"),
+    "sig_ripple_segments": _ripples(f"WITH {SEGS}, {merged('s', 'SELECT start, stop FROM a')}, {SIG[len(EV) + 2:]}", "SELECT channel, greatest(z.start, s.start) AS start, least(z.stop, s.stop) AS stop FROM z JOIN s ON z.start < s.stop AND s.start < z.stop WHERE peak > 150"),
+    "sig_detection": f"WITH {SEGS}, o AS (SELECT t FROM ev WHERE train = 'view'), l AS (SELECT start, max(stop - start) AS d FROM a GROUP BY start), r AS (SELECT count(*) FILTER (WHERE t - start < d) AS tp FROM o ASOF LEFT JOIN l ON o.t >= l.start), k AS (SELECT count(*) FILTER (WHERE start - t < 600.0) AS nl FROM a ASOF LEFT JOIN o ON a.start >= o.t), n AS (SELECT (SELECT count(*) FROM a) AS ns, (SELECT count(*) FROM o) AS no) SELECT round(100.0 * tp / ns, 6) AS true_positive, round(100.0 * (ns - tp) / ns, 6) AS false_negative, round(100.0 * (no - tp) / no, 6) AS false_positive, round(100.0 * nl / ns, 6) AS lock_out FROM r, k, n",
     "sig_smooth": _smooth("gaussian", 2.0),
     "sig_smooth_unbiased": _smooth("epanechnikov", 4.0, unbiased=True),
     "sig_smooth_triangular": _smooth("triangular", 5.0, "max"),
     "sig_rms": f"WITH {SIG} SELECT channel, i, round(sqrt(avg(v * v) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), 6) AS v FROM sg",
     "sig_integrate": f"WITH {SIG} SELECT channel, i, round(sum(v) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS v FROM sg",
     "sig_upsample": f"WITH {SIG} SELECT channel, i * 3 + k AS i, CASE WHEN k = 0 THEN v ELSE 0.0::DOUBLE END AS v FROM sg, range(3) r(k)",
-    "sig_windows": f"WITH {SIG}, n AS (SELECT channel, max(i) + 1 AS n FROM sg GROUP BY channel), w AS (SELECT channel, w AS \"window\", n FROM n, range(400) r(w) WHERE w * 32 + 64 <= n) SELECT w.channel, \"window\", count(v) AS n, round(avg(v), 4) AS mean FROM w JOIN sg ON sg.channel = w.channel AND i >= \"window\" * 32 AND i < \"window\" * 32 + 64 GROUP BY w.channel, \"window\"",
+    "sig_windows": f"WITH {SIG}, n AS (SELECT channel, max(i) + 1 AS n FROM sg GROUP BY channel), w AS (SELECT channel, unnest(range(greatest((n - 64) // 32 + 1, 0))) AS \"window\" FROM n) SELECT w.channel, \"window\", count(v) AS n, round(avg(v), 4) AS mean FROM w JOIN sg ON sg.channel = w.channel AND i >= \"window\" * 32 AND i < \"window\" * 32 + 64 GROUP BY w.channel, \"window\"",
     "sig_trigger_windows": f"WITH {SIG}, n AS (SELECT channel, max(i) AS n FROM sg GROUP BY channel), g AS (SELECT sg.channel, i AS at FROM sg JOIN n USING (channel) WHERE v > 250 AND i >= 3 AND i + 5 <= n) SELECT g.channel, k::INTEGER AS k, round(avg(v), 6) AS v, count(v) AS n FROM g, range(-3, 6) r(k) JOIN sg ON sg.channel = g.channel AND sg.i = g.at + k GROUP BY g.channel, k",
     "sig_artefacts_fill": BAD + " SELECT channel, i, round(CASE WHEN bad THEN 0.0 ELSE v END, 6) AS v FROM f",
     "sig_artefacts_line": BAD + ", g AS (SELECT * FROM f WHERE NOT bad), lo AS (SELECT f.*, g.t AS t0, g.v AS v0 FROM f ASOF LEFT JOIN g ON f.channel = g.channel AND f.i >= g.i), hi AS (SELECT lo.*, g.t AS t1, g.v AS v1 FROM lo ASOF LEFT JOIN g ON lo.channel = g.channel AND lo.i <= g.i) SELECT channel, i, round(CASE WHEN bad THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) ELSE v END, 6) AS v FROM hi",
