@@ -1,11 +1,7 @@
-"""Significance of decoded sequences: weighted distance correlation against shuffles, event gate and cumulative score, in batch."""
+"""Event gate, low-activity skips and cumulative score of bins, in batch; surrogates.py has the test."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,59 +9,6 @@ from pyspark.sql import functions as F
 TIME_REACH = 3
 
 
-def distance_correlations(p: np.ndarray, states: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """Correlation of time and position distances of consecutive bins p (bin, g), each taken as its two likeliest grid points, for each order of the bins.
-
-    Distances in time grow to the largest position distance over TIME_REACH bins. Both matrices are
-    double-centred; 0 where the covariance isn't positive. Centring and variance don't depend on the
-    order, so an order costs one product of matrices, all of them at once.
-    """
-    n, far = len(p), float(states.max())
-    top = np.argsort(-p, axis=1, kind="stable")[:, :2]
-    w = np.take_along_axis(p, top, axis=1)
-    total = w.sum(axis=1, keepdims=True)
-    w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-    place = np.einsum("ia,jb,iajb->ij", w, w, states[top[:, :, None, None], top[None, None, :, :]])
-    np.fill_diagonal(place, 0)
-    i = np.arange(n)
-    time = np.minimum(np.abs(i[:, None] - i), TIME_REACH) / TIME_REACH * far
-    a, b = (m - m.mean(axis=0) - m.mean(axis=1, keepdims=True) + m.mean() for m in (time, place))
-    cov = np.einsum("ij,kij->k", a, b[orders[:, :, None], orders[:, None, :]]) / (n * n)
-    scale = math.sqrt((a * a).mean() * (b * b).mean())
-    return np.round(np.sqrt(np.maximum(cov, 0) / scale), 12) if scale > 0 else np.zeros(len(orders))
-
-
-def distance_correlation(p: np.ndarray, states: np.ndarray) -> float:
-    """That of the bins as they stand."""
-    return float(distance_correlations(p, states, np.arange(len(p))[None])[0])
-
-
-def shuffled(n: int, shuffles: int, seed: list[int]) -> np.ndarray:
-    """Orders of n bins: first as they stand, then seeded permutations."""
-    orders = np.tile(np.arange(n), (shuffles, 1))
-    np.random.default_rng(seed).permuted(orders[1:], axis=1, out=orders[1:])
-    return orders
-
-
-def p_value(correlations: np.ndarray) -> float:
-    """Share of surrogates (all but the first) strictly above the truth, plus one over their number."""
-    n = len(correlations) - 1
-    return float((correlations[1:] > correlations[0]).sum() / n + 1 / n)
-
-
-def shuffle_test(posterior: DataFrame, keys: list[str], states: np.ndarray, shuffles: int = 1001, seed: int = 0) -> DataFrame:
-    """(keys, rwd, p) of each group's sequence (bin, g, p), tested against seeded permutations of its bins. A group is one candidate event, a few dozen bins; groups are independent."""
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="bin", columns="g", values="p", fill_value=0.0).reindex(columns=range(len(states)), fill_value=0.0).sort_index().to_numpy()
-        own = [seed, *(int.from_bytes(str(pdf[k].iloc[0]).encode(), "little") % (1 << 63) for k in keys)]
-        r = distance_correlations(wide, states, shuffled(len(wide), shuffles, own))
-        return pd.DataFrame({**{k: pdf[k].iloc[:1].to_list() for k in keys}, "rwd": [r[0]], "p": [p_value(r)]})
-
-    kinds = ", ".join(f"{k} {posterior.schema[k].dataType.simpleString()}" for k in keys)
-    return posterior.groupBy(*keys).applyInPandas(test, f"{kinds}, rwd double, p double")
-
-
 def event_gate(bins: DataFrame, threshold: float = 8.1, consecutive: int = 3) -> DataFrame:
     """bins (session, bin, mua) with start: true where so many consecutive bins first reach the threshold; once a run."""
     w = Window.partitionBy("session").orderBy("bin")

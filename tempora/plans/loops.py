@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import signals as G
 from ..operators import significance as P
 from ..operators import spectral as Q
+from ..operators import surrogates as R
 from ..sources import tables as T
 from ..streaming import online as O
-from .decoding import GRID, posterior
+from . import decoding as V
 from .events import rounded
 from .segments import EV
 
-STATES = np.abs(np.subtract.outer(GRID, GRID))
+STATES = np.abs(np.subtract.outer(V.GRID, V.GRID))
 
 
 def bins(spark: SparkSession, d: str) -> DataFrame:
@@ -30,18 +31,22 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def loop_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Posteriors in sessions of ten bins, with activity that rises in the middle of each."""
-    post = posterior(spark, d).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("g", "p"))).alias("_p"))
-    return post.select(F.floor(F.col("bin") / 10).cast("string").alias("session"), "bin", (4.0 + (F.col("bin") % 10) * 2).alias("mua"), F.col("_p.p").alias("p"))
+    """Likelihood rows in sessions of twenty bins, with activity that rises twice in each."""
+    v = V.vectors(spark, d)
+    rows = R.likelihood_rows(v, V.components(spark, d), v.select(F.col("x")[2].alias("x")), V.GRID, [0, 1], 2, 500.0, V.OPTIONS, 0.25, 0.8)
+    return rows.select(F.floor(F.col("bin") / 20).cast("string").alias("session"), "bin", (4.0 + (F.col("bin") % 10) * 2).alias("mua"), "pax", "own", "minus")
+
+
+#: A ring that a few bins fill, as a session of these tables has few.
+RULES = O.Rules(ring=500)
 
 
 def online(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(O.assess_batch(loop_bins(spark, d), STATES), "p", "score")
+    return rounded(O.assess_batch(loop_bins(spark, d), STATES, RULES), "p", "score")
 
 
 def shuffle(spark: SparkSession, d: str) -> DataFrame:
-    post = posterior(spark, d).withColumn("event", F.floor(F.col("bin") / 5))
-    return rounded(P.shuffle_test(post, ["event"], STATES), "rwd", "p")
+    return rounded(O.shuffle_test(loop_bins(spark, d), STATES, RULES), "rwd", "p")
 
 
 QUERIES = {

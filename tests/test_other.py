@@ -14,7 +14,6 @@ from tempora.operators import density as D
 from tempora.operators import events as E
 from tempora.operators import geometry as G
 from tempora.operators import signals as S
-from tempora.operators import significance as P
 from tempora.operators import spectral as Q
 from tempora.plans import circular as P_CIRCULAR
 from tempora.plans import decoding as V
@@ -24,32 +23,12 @@ from tempora.sources import tables as T
 from tempora.streaming import online as O
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    states = np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0)))
-    data = [(s, b, float(rng.integers(0, 14)), rng.dirichlet(np.ones(6)).tolist()) for s in "ab" for b in range(40)]
-    bins = spark.createDataFrame(data, "session string, bin long, mua double, p array<double>").coalesce(1)
-    rules = O.Rules(threshold=6.0, consecutive=2, shuffles=21)
-    want = sorted(map(tuple, O.assess_batch(bins, states, rules).collect()))
-    got = sorted(map(tuple, O.replay(bins, str(tmp_path), lambda s: O.assess_stream(s, states, rules)).collect()))
-    assert got == want and len(got) == 80
-
-
 def test_windowed_stream(spark, tmp_path):
     rows = spark.createDataFrame([(f"2024-01-01 0{h}:{m}0:00", "x", 1.0) for h in range(5) for m in range(6)], "ts string, train string, mark double").select(F.to_timestamp("ts").alias("ts"), "train", "mark").coalesce(1)
     got = O.replay(rows, str(tmp_path), O.windowed_rates).collect()
     assert got and all(r["n"] == 6 for r in got)
 
 
-def test_correlation_of_a_run_beats_shuffles():
-    states = np.abs(np.subtract.outer(np.arange(10.0), np.arange(10.0)))
-    run = np.eye(10)[[0, 0, 3, 6, 9, 9]] + 0.001
-    r = np.array([P.distance_correlation(run if k == 0 else run[np.random.default_rng(k).permutation(6)], states) for k in range(200)])
-    assert r[0] > np.median(r) and 0 < P.p_value(r) < 0.5
-    orders = P.shuffled(6, 50, [3])
-    assert np.allclose(P.distance_correlations(run, states, orders), [P.distance_correlation(run[o], states) for o in orders]) and (orders[0] == np.arange(6)).all()
-
-
 def test_spectra():
     t = Q.tapers(64)
     assert np.allclose(t @ t.T, np.eye(len(t)), atol=1e-9)
@@ -177,7 +156,7 @@ def test_blocks_are_counted_without_their_arrays(spark):
 
 
 def test_window_means_round_like_their_sql(spark, tmp_path):
-    """Ties of the fourth digit, and windows beyond the 400 that the SQL lists."""
+    """Ties of the fourth digit, and more than 400 windows."""
     cents = [(k, 307624 if k % 64 == 0 else 0) for k in range(13_000)]
     rows = [(k, 1, "view", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k), c / 100) for k, c in cents]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
@@ -185,5 +164,5 @@ def test_window_means_round_like_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = set(con.execute(P_SIGNALS.ORACLE_SQL["sig_windows"]).fetchall())
-    assert want == {r for r in got if r[1] < 400} and len(want) == 400
+    assert want == got and len(want) > 400
     assert {r[1] for r in got} == set(range((13_000 - 64) // 32 + 1))
