@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the folder that the cluster's checkpoints go to, or, on a local master that names none, in a temporary one."""
+    import tempfile
+    import uuid
+
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    top = held.get() if held.nonEmpty() else spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
+    return f"{top or tempfile.mkdtemp(prefix='tempora-')}/{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, user_id, train, t, mark): t in seconds of 2024."""
     e = table(spark, sf_dir, "events")
