@@ -56,3 +56,41 @@ def test_op2_follows_the_host(spark, tables):
     assert got.pop(99) == ("tease " * 50).strip() and got == want
     again = html_text.extract(spark.read.parquet(f"{d}/pages.parquet").withColumns({"text": F.lit(1), "n_chars": F.lit(2), "_host": F.lit(3)}))
     assert {r["page_id"]: (r["text"], r["n_chars"], r["_host"]) for r in again.collect() if r["page_id"] < 99} == {k: (t, 2, 3) for k, t in want.items()}
+
+
+def test_op2_takes_names_as_hints_only(spark, tables):
+    article = "<article class='post comments-open'><p>main text</p>{}</article>"
+    cases = [
+        ("", "main text"),
+        # names that mislead stay, in the middle and at the end
+        ("<p class='social-history'>b</p><p class='share-price'>c</p><div class='notice-of-motion'>d</div><div id='ad-history'>e</div>", "main text b c d e"),
+        ("<section class='discussion'><h2>Discussion</h2><p>of results</p></section><p>end</p>", "main text Discussion of results end"),
+        ("<section class='discussion'><h2>Discussion</h2><p>of results</p></section>", "main text Discussion of results"),
+        # readers' parts and adverts of other names go where they follow the text, or are links
+        ("<section class='kommentare'><p>rant</p></section>", "main text"),
+        ("<div class='user-feedback'>rant</div>", "main text"),
+        ("<div class='discussion'><p>I disagree</p></div>", "main text"),
+        ("<div class='outbrain'>Sponsored links</div><ol class='commentaires'><li>a</li></ol>", "main text"),
+        ("<div class='taboola'><a href=x>buy this</a></div><p>end</p>", "main text end"),
+        ("<div class='share-price'><a href=x>tell others</a></div><p>end</p>", "main text end"),
+        ("<div class='comment-body'>rant</div><p>end</p>", "main text end"),
+    ]
+    rows = [(k, f"http://n{k}.example/", article.format(h)) for k, (h, _) in enumerate(cases)]
+    rows.append((99, "http://n99.example/", "<div class='kommentare'><p>all there is</p></div>"))
+    d = tables("pages", rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.op2_html_extraction(spark, d).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(cases)} | {99: "all there is"}
+
+
+def test_op2_leaves_the_hosts_own_blocks_out(spark, tables):
+    foot = "<div><p>Privacy policy</p><p>Copyright 2020</p></div>"
+    page = lambda k: f"<body><div><p>story {k} of this site, told at some length</p><p>{'a passage that two pages share' if k < 2 else f'more {k}'}</p></div>{foot}"
+    rows = [(k, "http://site.example/x", page(k)) for k in range(6)]
+    rows += [(10 + k, "http://copies.example/y", f"<body><div><p>the same story on every page</p></div><div><p>{k}</p></div>") for k in range(6)]
+    rows += [(20 + k, "http://few.example/z", page(k)) for k in range(2)]
+    d = tables("pages", rows, "page_id long, url string, html string")
+    for bytes_ in (html_text.BROADCAST_BYTES, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.read.parquet(f"{d}/pages.parquet"), bytes_).collect()}
+        assert {k: got[k] for k in range(6)} == {k: f"story {k} of this site, told at some length " + ("a passage that two pages share" if k < 2 else f"more {k}") for k in range(6)}
+        assert {k: got[k] for k in range(10, 16)} == {10 + k: f"the same story on every page {k}" for k in range(6)}
+        assert all(got[20 + k].endswith("Privacy policy Copyright 2020") for k in range(2))
