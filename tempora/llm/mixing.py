@@ -118,8 +118,8 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict | None = N
     whole long (passes taken by all its documents), limit long (a document whose seeded hash of doc_id
     is at most this is taken once more; -1: none).
 
-    Rows of one doc_id are taken alike. Documents without tokens get the copies of their hash, too; they
-    change no sum. An empty table gives no rows. Columns named size, copies, pattern, pattern_size,
+    Rows of one doc_id are taken alike. Documents without tokens get the copies of their hash, too, at most
+    cap; they change no sum. An empty table gives no rows. Columns named size, copies, pattern, pattern_size,
     flow, whole or limit are replaced. Same seed, same result.
     """
     spark = docs.sparkSession
@@ -164,7 +164,9 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict | None = N
     )
     first = F.shiftleft(F.col("cell"), 63 - CUT_BITS) - 1
     limits = inside.groupBy("pattern", "cell", "rest").agg(F.min(F.struct("off", h)).alias("m")).select("pattern", F.when(F.col("m.off") < F.col("rest"), F.col(f"m.{h}")).otherwise(first).alias("limit"))
-    plan_df = cut(planned.join(limits, "pattern", "left").withColumn("limit", F.coalesce("limit", F.lit(-1))))
+    full = wanted.filter("rest = 0").select("pattern", F.lit(True).alias("full"))  # no document is taken once more, those without tokens included
+    limit = F.when(F.col("full"), F.lit(-1)).otherwise(F.coalesce("limit", F.lit(-1))).alias("limit")
+    plan_df = cut(planned.join(limits, "pattern", "left").join(full, "pattern", "left").select(*planned.columns, limit))
     taken = sized.join(F.broadcast(plan_df), "pattern")
     out = taken.withColumn("copies", (F.col("whole") + F.when(F.col(h) <= F.col("limit"), 1).otherwise(0)).cast("int"))
     quota = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in names], "source string, source_size long, target double")

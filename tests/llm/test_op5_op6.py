@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_small import brute_lines
 
 from tempora.llm import line_dedup, mixing
@@ -74,3 +75,15 @@ def test_op6_equals_a_plain_mix(spark, tables, seed):
         assert abs(taken.get(s, 0) - goal[s]) <= most[s] + 1
     assert sorted(map(str, mixing.op6_mixing(spark, d).collect())) == sorted(map(str, got))
     assert mixing.op6_mixing(spark, tables("documents", [], DOCS)).count() == 0
+
+
+def test_mixed_documents_keep_the_cap(spark):
+    """Where a source is taken as often as may be, documents without words aren't taken once more."""
+    rows = [(k, "w " * 50 if k % 40 == 0 else "", "a") for k in range(400)] + [(1000 + k, "v " * 400, "b") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _ in range(2):
+        times = {}
+        for x in mixing.mix_documents(docs).select("doc_id").collect():
+            times[x[0]] = times.get(x[0], 0) + 1
+        assert times and max(times.values()) == 2
+        docs = docs.withColumn("source", F.lit("a"))
