@@ -30,8 +30,10 @@ CELLS_PER_DOC, LEAST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 24
 BITS_PER_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 29
 #: Bits of the filter of rows that are counted, one of each text: so many a row, at least and at most. Beyond the most, copies are counted, too.
 ROW_BITS, LEAST_ROW_BITS, MOST_ROW_BITS = 16, 1 << 16, 1 << 28
-#: Ranges of hashes that are counted apart, at most, and the shingles that a task holds before it sends them.
-MOST_RANGES, HELD = 1 << 10, 1 << 22
+#: Bits of such a filter that tasks merge at a time.
+FILTER_CHUNK = 1 << 22
+#: Ranges of hashes that are counted apart, at most; shingles of a range that one task counts, at SHINGLES_PER_DOC, and those that a task holds before it sends them.
+MOST_RANGES, RANGE_SHINGLES, SHINGLES_PER_DOC, HELD = 1 << 16, 1 << 24, 512, 1 << 22
 #: Shingles of a cluster that one task verifies; larger clusters go in blocks of half as many.
 UNIT_SHINGLES = 256_000
 #: Components of a cluster's blocks, the largest ones, that meet by representatives, and these of each.
@@ -98,17 +100,40 @@ def counted_rows(texts: DataFrame, docs: int) -> np.ndarray:
     bits = size_of(ROW_BITS, docs, LEAST_ROW_BITS, MOST_ROW_BITS)
     one = texts.filter("text IS NOT NULL").groupBy("h", F.xxhash64(F.lit(1), "text").alias("g")).agg(F.min("doc_id").alias("doc_id"))
 
+    codec, chunk = pa.Codec("zstd", 1), min(bits, FILTER_CHUNK) >> 3
+    names = ["chunk", "x"]
+
+    def row(c: int, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([pa.Codec("zstd", 1).compress(x.tobytes(), asbytes=True)], pa.binary())], names=names)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             at = cell(batch.column(0).to_numpy().view(np.uint64), bits)
             np.bitwise_or.at(out, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd", 1).compress(out.tobytes(), asbytes=True)], pa.binary())], names=["x"])
+        for c in range(len(out) // chunk):
+            if out[c * chunk : (c + 1) * chunk].any():
+                yield row(c, out[c * chunk : (c + 1) * chunk])
 
-    total, codec = np.zeros(bits >> 3, np.uint8), pa.Codec("zstd", 1)
-    for r in one.select(key_of("doc_id", "h")).mapInArrow(thrifty(mark), "x binary").collect():
-        total |= np.frombuffer(codec.decompress(bytes(r["x"]), bits >> 3, asbytes=True), np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            for c, x in zip(*(k.to_pylist() for k in batch.columns), strict=True):
+                part = np.frombuffer(pa.Codec("zstd", 1).decompress(x, chunk, asbytes=True), np.uint8)
+                if c != now:
+                    if held is not None:
+                        yield row(now, held)
+                    now, held = c, part.copy()
+                else:
+                    held |= part
+        if held is not None:
+            yield row(now, held)
+
+    schema = "chunk int, x binary"
+    dealt = one.select(key_of("doc_id", "h")).mapInArrow(thrifty(mark), schema).repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk")
+    total = np.zeros(bits >> 3, np.uint8)
+    for r in dealt.mapInArrow(thrifty(merge), schema).toLocalIterator():  # MOST_ROW_BITS / 8 bytes at most, whatever the number of tasks
+        total[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(codec.decompress(bytes(r["x"]), chunk, asbytes=True), np.uint8)
     return total
 
 
@@ -133,12 +158,13 @@ def measure(texts: DataFrame) -> tuple[DataFrame, Order, np.ndarray]:
     One pass over the texts once the rows to count are known, of copies one. Each task sends its sets'
     shingles, cut to as many bits as tell nearly all apart, packed by range of hashes (some 2 bytes each);
     one task counts a range and keeps a filter and a sketch of those met twice or more. So these depend on
-    what is repeated, not on the input's size: MOST_BITS / 8 and MOST_CELLS bytes at most.
+    what is repeated, not on the input's size: MOST_BITS / 8 and MOST_CELLS bytes at most. The number of ranges
+    follows the number of documents, so that a task's range stays at some RANGE_SHINGLES.
     """
     docs, shuffled = texts.count(), partitions(texts.sparkSession)
     cells, bits = size_of(CELLS_PER_DOC, docs, LEAST_CELLS, MOST_CELLS), size_of(BITS_PER_DOC, docs, LEAST_BITS, MOST_BITS)
     wide = min(56, max(32, (docs << 15).bit_length()))  # 64 cells a shingle at 512 of them a document
-    ranges = min(MOST_RANGES, 1 << (shuffled - 1).bit_length())
+    ranges = min(MOST_RANGES, 1 << (max(shuffled, docs * SHINGLES_PER_DOC // RANGE_SHINGLES) - 1).bit_length())
     below = wide - (ranges.bit_length() - 1)  # bits of a hash within its range
     counted = counted_rows(texts, docs)
     known = texts.sparkSession.sparkContext.broadcast(counted)
@@ -280,11 +306,12 @@ def lengthen(df: np.ndarray, spare: int) -> int:
     return int(np.argmin(cost)) + 1
 
 
-def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
+def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: np.ndarray | None = None, pairs: list[tuple[int, int, int]] | None = None) -> tuple[np.ndarray, int, int]:
     """(root of each set, pairs verified, links found that joined two components), roots being indexes.
 
     side: where given, only pairs of different sides are compared. A pair whose sets are in one component
     already needs no verification; known: the first set of each one's component, if some are known.
+    pairs: where given, all candidates are verified and every link (set, set, shared shingles) is added.
     """
     m, size = len(sets), np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -335,7 +362,8 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: n
         if not len(cand):
             continue
         mine = find(d)
-        cand = np.array([c for c in cand.tolist() if find(c) != mine])
+        if pairs is None:
+            cand = np.array([c for c in cand.tolist() if find(c) != mine])
         if not len(cand):
             continue
         every = local[own]
@@ -346,7 +374,10 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: n
             mark[every] = True
             inter = np.array([np.count_nonzero(mark[local[start[c] : start[c + 1]]]) for c in cand.tolist()])
         verified += len(cand)
-        for c in cand[100 * inter >= percent * (size[cand] + size[d] - inter)].tolist():
+        linked = 100 * inter >= percent * (size[cand] + size[d] - inter)
+        if pairs is not None:
+            pairs += [(c, d, n) for c, n in zip(cand[linked].tolist(), inter[linked].tolist(), strict=True)]
+        for c in cand[linked].tolist():
             a, b = find(c), find(d)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -354,9 +385,11 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: n
     return np.array([find(x) for x in range(m)]), verified, joined
 
 
-def verify(members: DataFrame, percent: int, of_labels: bool = False) -> DataFrame:
+def verify(members: DataFrame, percent: int, of_labels: bool = False, every: bool = False) -> DataFrame:
     """(a, b) struct edges that join linked sets, each unit's to the root of its component; members (unit, side, la, lb, a, b, text): each unit's texts, which one task takes together.
 
+    every: instead all links, with the number of shared shingles, n.
+
     Sets of one side aren't compared if a unit has several; sets of one label (la, lb; null: none) are
     known to be in one component. A member may come with several texts; the one that its digest is of
     counts. of_labels: edges are of labels, not of sets.
@@ -380,8 +413,15 @@ def verify(members: DataFrame, percent: int, of_labels: bool = False) -> DataFra
         fine, sides, labels = zip(*found.values(), strict=True)
         first: dict[tuple, int] = {}
         known = np.array([k if x[0] is None else first.setdefault(x, k) for k, x in enumerate(labels)])
-        root, _, _ = link([sets[i] for i in fine], np.array(sides) if len(set(sides)) > 1 else None, percent, known)
+        pairs: list[tuple[int, int, int]] | None = [] if every else None
+        root, _, _ = link([sets[i] for i in fine], np.array(sides) if len(set(sides)) > 1 else None, percent, known, pairs)
         key = np.array(labels if of_labels else list(found), np.int64)
+        if every:
+            both = np.array(pairs, np.int64).reshape(-1, 3)
+            for lo in range(0, len(both), 1 << 16):
+                x, y, n = both[lo : lo + (1 << 16)].T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*key[x].T, *key[y].T, n)], names=["a", "b", "la", "lb", "n"])
+            return
         moved = np.flatnonzero(root != known)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*key[moved].T, *key[root[moved]].T)], names=["a", "b", "la", "lb"])
 
@@ -396,8 +436,8 @@ def verify(members: DataFrame, percent: int, of_labels: bool = False) -> DataFra
         yield from solve(held)
 
     dealt = members.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
-    pairs = dealt.select("unit", "side", "la", "lb", "a", "b", "text").mapInArrow(thrifty(units), "a long, b long, la long, lb long")
-    return pairs.select(F.struct("a", "b").alias("a"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("b"))
+    pairs = dealt.select("unit", "side", "la", "lb", "a", "b", "text").mapInArrow(thrifty(units), "a long, b long, la long, lb long" + ", n long" * every)
+    return pairs.select(F.struct("a", "b").alias("a"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("b"), *["n"][: int(every)])
 
 
 def hot_edges(hot: DataFrame, texts: DataFrame, first: DataFrame, percent: int, unit_shingles: int, few: bool) -> DataFrame:
@@ -441,16 +481,8 @@ def hot_edges(hot: DataFrame, texts: DataFrame, first: DataFrame, percent: int,
     return met.unionByName(linked(dealt, False))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int = UNIT_SHINGLES, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
-    """(doc_id, n_shingles long, component_id long) of each row of docs (doc_id, text).
-
-    Texts link when their sets of five-word shingles (A-Z lower-cased, ASCII white space between words;
-    a text of fewer words is one shingle) have a Jaccard index of percent / 100 or more; equal sets
-    always do. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have
-    no shingle and link with nothing: component_id is their own doc_id. Rows of one doc_id are texts of
-    their own. A null doc_id never names a component unless all of it are null. An empty table gives no
-    rows; columns but these two are not looked at.
-    """
+def clusters(docs: DataFrame, percent: int, unit_shingles: int, broadcast_members: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(rows (doc_id, h, n, a, b) of all documents; sets (a, b, doc_id, h, n), each by one of its rows; members of clusters, sets that may link, with the block of a large one's; the members with their texts; whether members may be broadcast)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     keyed = texts.withColumn("key", key_of("doc_id", "h"))
     rows, order, counted = measure(keyed)
@@ -462,9 +494,62 @@ def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int =
     nodes = near.select(F.col("node").alias("a"), "root").unionByName(near.select(F.col("root").alias("a"), "root").distinct())
     at = cut(nodes.join(sets, "a"))
     blocks = at.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.when(F.col("total") <= unit_shingles, 1).otherwise(F.ceil(F.col("total") * 2 / unit_shingles)).cast("int").alias("blocks"))
-    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), F.col("h").alias("of"), "a", "b", "n", F.xxhash64("root").alias("cluster"), F.when(F.col("blocks") > 1, F.pmod(F.col("b"), F.col("blocks"))).cast("int").alias("block")))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.col("b"), F.col("blocks"))).cast("int").alias("block")
+    members = cut(at.join(blocks, "root").select(F.col("doc_id").alias("id"), F.col("h").alias("of"), "a", "b", "n", F.xxhash64("root").alias("cluster"), block, "blocks"))
     few = members.count() <= broadcast_members
     texts_of = texts.filter("text IS NOT NULL").join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")))
+    return rows, sets, members, texts_of, few
+
+
+def jaccard_links(docs: DataFrame, percent: int = 80, unit_shingles: int = UNIT_SHINGLES, broadcast_members: int = BROADCAST_MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b, shared, total), membership (doc_id, set_id, n_shingles)) of docs (doc_id, text): every link between different sets, none skipped.
+
+    A link joins two sets, by set_id (a string), a < b, with the sizes of their intersection and union,
+    100 * shared >= percent * total. membership has a row for each row of docs; rows of one set_id have
+    equal sets, and link with one another and with all that their set links with. Rows without shingles
+    have a null set_id and link with nothing. Texts, nulls and repeated rows are as in jaccard_components.
+    A cluster too large for a unit is dealt out in pairs of blocks, each of which compares what shares
+    enough of its lengthened prefixes: the work grows with the pairs that there are, which are as many as
+    the square of a group of near copies that all differ.
+    """
+    rows, sets, _, texts_of, _ = clusters(docs, percent, unit_shingles, broadcast_members)
+    k, last = F.coalesce("block", F.lit(0)), F.col("blocks") - 1
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    dealt = texts_of.select("text", "a", "b", "cluster", k.alias("k"), other)
+    null = F.lit(None).cast("long")
+    # of two blocks each is a side; a block with itself is one
+    units = dealt.select("text", "a", "b", F.xxhash64("cluster", F.least("k", "other"), F.greatest("k", "other")).alias("unit"), F.when(F.col("k") > F.col("other"), 1).otherwise(0).alias("side"), null.alias("la"), null.alias("lb"))
+    found = verify(units, percent, every=True)
+    name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
+    size = sets.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("n").alias("size"))
+    for side in ("a", "b"):
+        found = found.join(size, (F.col(f"{side}.a") == F.col("sa")) & (F.col(f"{side}.b") == F.col("sb"))).drop("sa", "sb").withColumnRenamed("size", f"n_{side}")
+    x, y = name("a.a", "a.b"), name("b.a", "b.b")
+    links = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col("n").alias("shared"), (F.col("n_a") + F.col("n_b") - F.col("n")).alias("total"))
+    return cut(links), rows.select("doc_id", F.when(F.col("n") > 0, name("a", "b")).alias("set_id"), F.col("n").alias("n_shingles"))
+
+
+def link_counts(docs: DataFrame, percent: int = 80, **more: int) -> DataFrame:
+    """(doc_id, n_shingles, n_links long) of each row of docs: the other rows that it links with, those of an equal set included."""
+    links, membership = jaccard_links(docs, percent, **more)
+    size = cut(membership.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies")))
+    both = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+    near = both.join(size.select(F.col("set_id").alias("other"), "copies"), "other").groupBy("set_id").agg(F.sum("copies").alias("near"))
+    total = size.join(near, "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return membership.join(total, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, unit_shingles: int = UNIT_SHINGLES, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
+    """(doc_id, n_shingles long, component_id long) of each row of docs (doc_id, text).
+
+    Texts link when their sets of five-word shingles (A-Z lower-cased, ASCII white space between words;
+    a text of fewer words is one shingle) have a Jaccard index of percent / 100 or more; equal sets
+    always do. component_id is the smallest doc_id that links lead to. Null, empty and blank texts have
+    no shingle and link with nothing: component_id is their own doc_id. Rows of one doc_id are texts of
+    their own. A null doc_id never names a component unless all of it are null. An empty table gives no
+    rows; columns but these two are not looked at.
+    """
+    rows, sets, members, texts_of, few = clusters(docs, percent, unit_shingles, broadcast_members)
     # each cluster, and each block of a large one, is a unit
     alone = texts_of.select("text", "a", "b", F.when(F.col("block").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", "block")).alias("unit"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"))
     joined = cut(verify(alone, percent))

@@ -5,7 +5,8 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from test_small import brute_components
+from pyspark.sql import functions as F
+from test_small import brute_components, shingles
 
 from tempora.llm import jaccard_join
 from tempora.llm.shingles import shingle_sets
@@ -65,3 +66,43 @@ def test_own_shingles_are_known_as_such(spark, monkeypatch, copies):
     raw = np.frombuffer("".join(own).encode(), np.uint8)
     sets = shingle_sets(raw, np.cumsum([0, *(len(t.encode()) for t in own)]))
     assert sum(map(len, sets)) == 150 * 56 and found[0][1].repeated(np.concatenate(sets)).mean() < 0.05
+
+
+def plain_links(rows, percent=80):
+    """{(set, set): (shared, total)} of different sets, and the number of links of each row."""
+    sets = [shingles(t) for _, t in rows]
+    far = lambda x, y: 100 * len(x & y) < percent * len(x | y)
+    distinct = list({s for s in sets if s})
+    found = {frozenset((x, y)): (len(x & y), len(x | y)) for i, x in enumerate(distinct) for y in distinct[:i] if not far(x, y)}
+    counts = [sum(bool(x and y) and not far(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    return found, counts
+
+
+@pytest.mark.parametrize("more", [{}, {"unit_shingles": 300, "broadcast_members": 0}])
+def test_op1_gives_every_link(spark, more):
+    r = random.Random(8)
+    rows = [(None, None), (1, ""), (2, "a b c"), (3, "A b  c"), (4, "a b c d e f")]
+    for k in range(9):
+        base = [f"g{k}_{j}" for j in range(50)]
+        for _ in range(r.choice([1, 3, 12])):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                own[r.randrange(50)] = r.choice(["x", f"y{r.random()}"])
+            rows += [(r.choice([None, 7, 100 + len(rows)]), " ".join(own))] * r.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, counts = plain_links(rows)
+    links, membership = jaccard_join.jaccard_links(df, **more)
+    got = links.collect()
+    assert sorted((x["shared"], x["total"]) for x in got) == sorted(found.values()) and len({(x["a"], x["b"]) for x in got}) == len(got) and all(x["a"] < x["b"] for x in got)
+    assert len({x["set_id"] for x in membership.collect() if x["set_id"]}) == len({s for _, t in rows if (s := shingles(t))})
+    assert sorted((str(x["doc_id"]), x["n_links"]) for x in jaccard_join.link_counts(df, **more).collect()) == sorted((str(i), n) for (i, _), n in zip(rows, counts, strict=True))
+    assert jaccard_join.link_counts(df.limit(0)).count() == 0
+
+
+def test_op1_merges_its_filter_of_rows_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FILTER_CHUNK", 1 << 12)
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 1000).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("key", jaccard_join.key_of("doc_id", "h"))
+    bits = jaccard_join.counted_rows(texts.repartition(7), 3000)
+    first, rest = texts.filter("doc_id < 1000"), texts.filter("doc_id >= 1000")
+    held = lambda df: jaccard_join.among(bits, np.array([r["key"] for r in df.select("key").collect()]).view(np.uint64))
+    assert held(first).all() and held(rest).mean() < 0.2
