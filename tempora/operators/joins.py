@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 #: A level's buckets are so many times as wide as those of the level below.
 STEP = 16
-#: Parts that points meet very long segments in; each such segment is listed in all of them.
+#: Least number of parts that points meet very long segments in; each such segment is listed in all of them.
 SALTS = 32
-#: Stretches of time that a window without keys is cut into.
-STRETCHES = 256
+#: Least number of stretches of time that a window without keys is cut into, and those for each task.
+STRETCHES, STRETCHES_PER_TASK = 256, 4
+
+
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salts(df: DataFrame) -> int:
+    """Parts of the extra level: as many as there are tasks, SALTS at least."""
+    return max(SALTS, tasks(df))
 
 
 def _bucket(x: Column, width: float, level: Column) -> Column:
@@ -21,40 +30,43 @@ def by_bucket(segs: DataFrame, width: float, levels: int, start: str = "start",
     """segs with _level and _bucket: a segment is listed in the buckets that it touches on the level of its length.
 
     Lengths up to STEP * width * STEP ** level stay on a level, so a segment is in STEP + 1 buckets at
-    most; what is longer than the top level allows, infinite ends included, is in all of the SALTS parts of
-    the extra level `levels`, over which points are dealt by hash.
+    most; what is longer than the top level allows, infinite ends included, is in all parts of the extra
+    level `levels`, over which points are dealt by hash.
     """
     length = F.col(stop) - F.col(start)
     level = F.lit(levels)
     for k in range(levels - 1, -1, -1):
         level = F.when(length <= float(width) * STEP ** (k + 1), k).otherwise(level)
     lo, hi = _bucket(F.col(start), width, F.col("_level")), _bucket(F.col(stop), width, F.col("_level"))
-    listed = F.when(F.col("_level") < levels, F.sequence(lo, hi)).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    listed = F.when(F.col("_level") < levels, F.sequence(lo, hi)).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(salts(segs) - 1).cast("long")))
     return segs.withColumn("_level", level.cast("int")).withColumn("_bucket", F.explode(listed))
 
 
-def _salt(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(SALTS).cast("long"))
+def _salt(x: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(parts).cast("long"))
 
 
 def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str, ...] = (), x: str = "t", closed: bool = False, how: str = "inner", levels: int = 2) -> DataFrame:
     """Rows of points with each segment of equal keys that has start <= x < stop (closed: <= stop).
 
     width: about the usual length of a segment. how: inner, left, left_semi or left_anti. Each point is
-    listed once a level; a pair meets in one bucket only, so none comes twice. Null ends or x match
-    nothing.
+    listed once a level that has segments; a pair meets in one bucket only, so none comes twice. Null ends
+    or x match nothing.
     """
+    parts = salts(segs)
     s = by_bucket(segs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in segs.columns if c not in keys]), width, levels)
-    every = F.array(*[F.struct(F.lit(k).alias("l"), _bucket(F.col(x), width, F.lit(float(k))).alias("b")) for k in range(levels)], F.struct(F.lit(levels).alias("l"), _salt(F.col(x)).alias("b")))
+    every = F.array(*[F.struct(F.lit(k).alias("l"), _bucket(F.col(x), width, F.lit(float(k))).alias("b")) for k in range(levels)], F.struct(F.lit(levels).alias("l"), _salt(F.col(x), parts).alias("b")))
     inside = (F.col(x) >= F.col("start")) & ((F.col(x) <= F.col("stop")) if closed else (F.col(x) < F.col("stop")))
     on = (F.col("_p.l") == F.col("_level")) & (F.col("_p.b") == F.col("_bucket")) & inside
     for i, c in enumerate(keys):
         on = on & (F.col(c) == F.col(f"_k{i}"))
     if how == "inner":
-        return points.withColumn("_p", F.explode(every)).join(s, on).drop("_p", "_level", "_bucket", *[f"_k{i}" for i in range(len(keys))])
+        used = s.agg(F.collect_set("_level").alias("_used"))  # one row, of levels + 1 numbers at most
+        listed = points.crossJoin(F.broadcast(used)).withColumn("_p", F.explode(F.filter(every, lambda p: F.array_contains("_used", p["l"])))).drop("_used")
+        return listed.join(s, on).drop("_p", "_level", "_bucket", *[f"_k{i}" for i in range(len(keys))])
     # the others go level by level: what no level matches, and what one of them does
     def at(rows: DataFrame, k: int, kind: str) -> DataFrame:
-        bucket = _bucket(F.col(x), width, F.lit(float(k))) if k < levels else _salt(F.col(x))
+        bucket = _bucket(F.col(x), width, F.lit(float(k))) if k < levels else _salt(F.col(x), parts)
         cond = (bucket == F.col("_bucket")) & inside
         for i, c in enumerate(keys):
             cond = cond & (F.col(c) == F.col(f"_k{i}"))
@@ -91,9 +103,9 @@ def interval_join(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...
             own = F.when(hi - lo <= float(width) * STEP ** (k + 1), k).otherwise(own)
         parts = F.array(*[F.lit(k) for k in range(levels)])
         seen = F.flatten(F.transform(F.filter(parts, lambda k: k >= F.col(f"_n{s}")), lambda k: F.transform(F.sequence(_bucket(lo, width, k.cast("double")), _bucket(hi, width, k.cast("double"))), lambda b: F.struct(k.alias("l"), b.alias("b")))))
-        salt = F.pmod(F.xxhash64(lo, hi), F.lit(SALTS).cast("long"))
+        salt = F.pmod(F.xxhash64(lo, hi), F.lit(salts(a)).cast("long"))
         long_ = lambda at: F.struct(F.lit(levels).alias("l"), at.alias("b"))
-        every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")), long_)
+        every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(salts(a) - 1).cast("long")), long_)
         # on the extra level a's long segments lie in all parts, b's in their own; shorter ones of either side in their own
         top = F.when(F.col(f"_n{s}") < levels, F.array(long_(salt))).otherwise(every)
         out = df.filter(lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi)).withColumn(f"_n{s}", own)
@@ -115,8 +127,26 @@ def interval_join(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...
     return x.join(y, on).drop("_na", "_nb", "_ea", "_eb", "_sa", "_sb", *[f"_k{i}" for i in range(len(keys))])
 
 
-def stretches(df: DataFrame, t: str, name: str = "_c", parts: int = STRETCHES) -> DataFrame:
-    """df with the number of the stretch, of parts even ones, that t lies in; what isn't finite is in the first or last one."""
+def cuts(df: DataFrame, t: str, parts: int | None = None) -> list[float]:
+    """Times that cut df into parts (a few for each task, by default) of about as many rows: quantiles, as the driver's constants. For times that crowd; stretches takes them."""
+    n = parts or STRETCHES_PER_TASK * tasks(df)
+    x = df.filter(F.abs(F.col(t)) < float("inf")).agg(F.percentile_approx(t, [k / n for k in range(1, n)], 100 * n)).first()[0]
+    return sorted(set(x or []))
+
+
+def _place(t: Column, at: list[float], lo: int = 0) -> Column:
+    """How many of the sorted times at are at or before t, by halving."""
+    if not at:
+        return F.lit(lo)
+    mid = len(at) // 2
+    return F.when(t < at[mid], _place(t, at[:mid], lo)).otherwise(_place(t, at[mid + 1 :], lo + mid + 1))
+
+
+def stretches(df: DataFrame, t: str, name: str = "_c", parts: int | None = None, at: list[float] | None = None) -> DataFrame:
+    """df with the number of the stretch that t lies in: between the times at, or of parts even ones; what isn't finite is in the first or last one."""
+    if at is not None:
+        return df.withColumn(name, _place(F.col(t), sorted(at)).cast("int"))
+    parts = parts or max(STRETCHES, STRETCHES_PER_TASK * tasks(df))
     x = F.when(F.abs(F.col(t)) < float("inf"), F.col(t))
     ends = df.agg(F.min(x).alias("_t0"), F.max(x).alias("_t1"))  # one row
     at = F.floor((F.col(t) - F.col("_t0")) * parts / F.when(F.col("_t1") > F.col("_t0"), F.col("_t1") - F.col("_t0")))

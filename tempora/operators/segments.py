@@ -1,7 +1,8 @@
 """Algebra of segments (set_id, start, stop): every function takes and returns DataFrames; sets are kept apart by set_id.
 
-A set is one task's work in a window. With chunk it is first merged inside stretches of so much time, in
-parallel, so that only merged segments meet; what takes a width uses stretches of STRETCH widths.
+Sets are merged in stretches of time, in parallel: even ones, or of a length given as chunk, or between
+times given as cuts. A row a stretch meets those of its set in one task; what takes a width uses stretches
+of STRETCH widths.
 """
 
 from __future__ import annotations
@@ -27,26 +28,39 @@ def from_edges(edges: DataFrame, x: str = "x") -> DataFrame:
     return edges.select(KEY, F.col(x).alias("start"), F.lead(x).over(w).alias("stop")).filter("stop IS NOT NULL")
 
 
-def _islands(segs: DataFrame, apart: Column, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    m = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = segs.select(*keys, "start", "stop", m.alias("_m")).withColumn("_new", F.when(F.col("_m").isNull() | apart, 1).otherwise(0))
-    return marked.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
-
-
-def remove_overlap(segs: DataFrame, strict: bool = True, gap: float = 0.0, chunk: float | None = None) -> DataFrame:
-    """Merged segments. strict merges touching ones too, else they stay apart; gap also bridges that distance."""
-    edge = F.col("_m") + gap if gap else F.col("_m")
-    apart = (F.col("start") > edge) if strict or gap else (F.col("start") >= edge)
+def _stretched(segs: DataFrame, chunk: float | None, cuts: list[float] | None = None) -> DataFrame:
+    """segs with _c, the stretch that start lies in."""
     if chunk:
         bounded = F.greatest(F.least(F.col("start"), F.lit(1e15)), F.lit(-1e15))
-        segs = _islands(segs.withColumn("_c", F.floor(bounded / chunk)), apart, [KEY, "_c"])
-    return _islands(segs, apart, [KEY])
+        return segs.withColumn("_c", F.floor(bounded / chunk))
+    return stretches(segs, "start", at=cuts)
 
 
-def join_gap(segs: DataFrame, gap: float) -> DataFrame:
+def remove_overlap(segs: DataFrame, strict: bool = True, gap: float = 0.0, chunk: float | None = None, cuts: list[float] | None = None) -> DataFrame:
+    """Merged segments. strict merges touching ones too, else they stay apart; gap also bridges that distance.
+
+    Segments are merged inside stretches, into islands. A stretch then learns how far those before it
+    reach: its islands up to there belong to the last one that begins a merged segment before.
+    """
+    apart = lambda reach: (F.col("start") > (reach + gap if gap else reach)) if strict or gap else (F.col("start") >= reach)
+    rows = _stretched(segs.select(KEY, "start", "stop"), chunk, cuts)
+    w = Window.partitionBy(KEY, "_c").orderBy("start", "stop")
+    m = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = rows.withColumn("_m", m).withColumn("_new", F.when(F.col("_m").isNull() | apart(F.col("_m")), 1).otherwise(0))
+    local = new.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(KEY, "_c", "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    before = Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    each = local.groupBy(KEY, "_c").agg(F.max("stop").alias("_stop"), F.max("start").alias("start"), F.max("_i").alias("_i"))
+    each = each.withColumn("_reach", F.max("_stop").over(before))
+    begins = F.when(F.col("_reach").isNull() | apart(F.col("_reach")), F.struct("_c", "_i"))  # the stretch's last island, if any begins one
+    held = each.withColumn("_held", F.last(begins, ignorenulls=True).over(before)).select(F.col(KEY).alias("_k"), F.col("_c").alias("_d"), "_reach", "_held")
+    both = local.join(held, F.col(KEY).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_d")))
+    own = F.when(F.col("_reach").isNull() | apart(F.col("_reach")), F.struct("_c", "_i")).otherwise(F.col("_held"))
+    return both.groupBy(KEY, own.alias("_o")).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_o")
+
+
+def join_gap(segs: DataFrame, gap: float, chunk: float | None = None) -> DataFrame:
     """Merged segments, those at most gap apart too."""
-    return remove_overlap(remove_overlap(segs), gap=gap)
+    return remove_overlap(remove_overlap(segs, chunk=chunk), gap=gap, chunk=chunk)
 
 
 def union(*sets: DataFrame, name: str = "union", chunk: float | None = None) -> DataFrame:
@@ -63,12 +77,11 @@ def concatenate(*sets: DataFrame, name: str | None = None) -> DataFrame:
 
 def invert(segs: DataFrame, chunk: float | None = None) -> DataFrame:
     """The gaps of each set's merged segments on (-inf, inf); without width at infinity."""
-    w = Window.partitionBy(KEY).orderBy("start")  # over merged segments
-    m = remove_overlap(segs, chunk=chunk).select(KEY, "start", "stop", F.lag("stop").over(w).alias("_p"), F.lead("start").over(w).alias("_n"))
     inf = float("inf")
-    before = m.filter("_p IS NULL").select(KEY, F.lit(-inf).alias("start"), F.col("start").alias("stop"))
-    after = m.select(KEY, F.col("stop").alias("start"), F.coalesce("_n", F.lit(inf)).alias("stop"))
-    return before.unionByName(after).filter((F.col("stop") != -inf) & (F.col("start") != inf))
+    m = _stretched(remove_overlap(segs, chunk=chunk).select(KEY, "start", "stop"), chunk)
+    gaps = running(m, [KEY], "_c", ["start"], F.col("stop"), "max", "_p", before=True).select(KEY, F.coalesce("_p", F.lit(-inf)).alias("start"), F.col("start").alias("stop"))
+    after = segs.groupBy(KEY).agg(F.max("stop").alias("start"), F.lit(inf).alias("stop"))
+    return gaps.unionByName(after).filter((F.col("stop") != -inf) & (F.col("start") != inf))
 
 
 def _clip(segs: DataFrame, lo: float, hi: float) -> DataFrame:
@@ -143,8 +156,10 @@ def positions(points: DataFrame, x: str, chunk: float) -> DataFrame:
 
 
 def contains(points: DataFrame, segs: DataFrame, width: float, x: str = "t") -> DataFrame:
-    """points inside any segment [start, stop)."""
-    return range_join(points, segs.select("start", "stop"), width, x=x, how="left_semi")
+    """points inside any segment [start, stop): each meets one merged segment at most."""
+    whole = remove_overlap(segs.select(F.lit("all").alias(KEY), "start", "stop").filter("stop > start"), chunk=STRETCH * width).select("start", "stop")
+    held = points.select(F.struct("*").alias("_l"), F.col(x).alias("_x"))
+    return range_join(held, whole, width, x="_x").select("_l.*")
 
 
 def contains_counts(points: DataFrame, segs: DataFrame, width: float, x: str = "t") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import kernel
 from . import segments as S
 from .joins import asof, interval_join, range_join
+from .quantiles import quantiles
 
 KEY = "channel"
 #: Lines whose |sin theta| is at most this are vertical.
@@ -65,12 +66,14 @@ def mountains(signal: DataFrame, low: Column | float, high: float, segs: DataFra
 
 
 def thresholds(signal: DataFrame, multipliers: list[float] = (1.0,), percentiles: list[float] = (0.5, 0.9)) -> DataFrame:
-    """By channel: mean + m * standard deviation (population), median + m * (upper quartile - median), and percentiles."""
-    med, q = F.percentile("v", F.lit(0.5)), F.percentile("v", F.lit(0.75))
-    aggs = [(F.avg("v") + m * F.stddev_pop("v")).alias(f"zscore_{k}") for k, m in enumerate(multipliers)]
-    aggs += [(med + m * (q - med)).alias(f"median_{k}") for k, m in enumerate(multipliers)]
-    aggs += [F.percentile("v", F.lit(p)).alias(f"percentile_{k}") for k, p in enumerate(percentiles)]
-    return signal.groupBy(KEY).agg(*aggs)
+    """By channel: mean + m * standard deviation (population), median + m * (upper quartile - median), and percentiles. Quantiles are exact, by rounds of counts: no task holds a channel's values."""
+    moments = signal.groupBy(KEY).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    exact = quantiles(signal, KEY, "v", [0.5, 0.75, *percentiles]).withColumnRenamed(KEY, "_k")
+    med, q = F.col("q")[0], F.col("q")[1]
+    out = [(F.col("_m") + m * F.col("_s")).alias(f"zscore_{k}") for k, m in enumerate(multipliers)]
+    out += [(med + m * (q - med)).alias(f"median_{k}") for k, m in enumerate(multipliers)]
+    out += [F.col("q")[2 + k].alias(f"percentile_{k}") for k in range(len(percentiles))]
+    return moments.join(exact, F.col(KEY).eqNullSafe(F.col("_k")), "left").select(KEY, *out)
 
 
 def gradient_peaks(signal: DataFrame, least: float) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame
 
 from ..functions.scalar import next_pow2
 
+#: Samples of a channel that one task filters at a time; reach of the quarter turn in lengths of the filter.
+CHUNK, HILBERT = 1 << 18, 8
+
 
 def kaiser_filter(low: float | None, high: float | None, fs: float, attenuation: float = 60.0, transition: float = 0.25, stop: bool = False) -> np.ndarray:
     """Odd-length linear-phase taps: low pass (low None), high pass (high None), band pass or band stop between low and high."""
@@ -55,6 +60,7 @@ def envelope(x: np.ndarray, taps: np.ndarray, smoothing: np.ndarray | None = Non
     return e if smoothing is None else np.convolve(e, smoothing / smoothing.sum(), "same")
 
 
+@lru_cache(maxsize=64)
 def tapers(n: int, half_bandwidth: float = 3.0, count: int | None = None) -> np.ndarray:
     """Discrete prolate spheroidal sequences (count, n) of unit energy, by their tridiagonal matrix."""
     count = count or int(2 * half_bandwidth) - 1
@@ -229,22 +235,160 @@ def coherence(x: DataFrame, y: DataFrame, fs: float, half_bandwidth: float = 3.0
     return m.select("f", (F.hypot("re", "im") / F.sqrt(F.col("xx") * F.col("yy"))).alias("coherence"), F.atan2("im", "re").alias("phase"))
 
 
-def per_channel(signal: DataFrame, function) -> DataFrame:
-    """signal (channel, i, v) with v replaced by function(values in order); a channel is one task's work."""
+def hilbert_taps(reach: int) -> np.ndarray:
+    """Odd-length taps, reach on either side, that turn all frequencies but those near 0 and the highest by a quarter turn."""
+    k = np.arange(-reach, reach + 1)
+    ideal = np.divide(2.0, math.pi * k, out=np.zeros(len(k)), where=k % 2 != 0)
+    return ideal * np.kaiser(len(k), 6.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pdf.assign(v=function(pdf["v"].to_numpy(float)))
 
-    return signal.select("channel", "i", "v").groupBy("channel").applyInPandas(run, "channel string, i long, v double")
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The part of a convolution that all taps reach, by FFT."""
+    n = 1 << next_pow2(len(x) + len(taps) - 1)
+    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(taps, n), n)[len(taps) - 1 : len(x)]
+
+
+def turned(x: np.ndarray, first: int, lo: int, hi: int, n: int) -> np.ndarray:
+    """Samples lo to hi of a signal of n, of which x has those from first on; beyond its ends it is turned about the end samples."""
+    left, right = max(0, -lo), max(0, hi - n)
+    out = x[max(lo, 0) - first : min(hi, n) - first]
+    before = 2 * x[-first] - x[left - first : -first : -1] if left else x[:0]
+    end = n - 1 - first
+    after = 2 * x[end] - x[end - 1 : end - 1 - right : -1] if right and end - 1 - right >= 0 else 2 * x[end] - x[end - 1 :: -1] if right else x[:0]
+    return np.concatenate([before, out, after])
+
+
+def filtered_part(x: np.ndarray, first: int, lo: int, hi: int, n: int, both: np.ndarray) -> np.ndarray:
+    """filter_both of samples lo to hi; both: the taps' correlation with themselves, which is one filter for both ways."""
+    reach = len(both) // 2
+    return convolved(turned(x, first, lo - reach, hi + reach, n), both)
+
 
+def envelope_part(x: np.ndarray, first: int, lo: int, hi: int, n: int, both: np.ndarray, hilbert: np.ndarray, smoothing: np.ndarray) -> np.ndarray:
+    """The envelope of samples lo to hi: of the filtered signal and its quarter turn, which are 0 beyond the ends, smoothed."""
+    half, wide = len(smoothing) // 2, len(hilbert) // 2
+    a, b = lo - half, hi + half
+    within = lambda p, q: (max(p, 0), min(q, n))
+    p, q = within(a - wide, b + wide)
+    flat = np.zeros(b - a + 2 * wide)
+    flat[p - a + wide : q - a + wide] = filtered_part(x, first, p, q, n, both)
+    turn, own = convolved(flat, hilbert), flat[wide : len(flat) - wide]
+    e = np.hypot(own, turn)
+    p, q = within(a, b)
+    e[: p - a] = e[q - a :] = 0
+    return convolved(e, smoothing)
 
-def apply_filter(signal: DataFrame, taps: np.ndarray) -> DataFrame:
-    return per_channel(signal, lambda x: filter_both(x, taps))
 
+def by_chunks(signal: DataFrame, reach: int, whole, part, chunk: int | None = None) -> DataFrame:
+    """signal (channel, i, v) with v replaced chunk by chunk: part(x, first, lo, hi, n) of the samples x from first on, which reach so far beyond lo to hi.
+
+    i counts a channel's samples without gaps. A sample goes to its own chunk and those within reach; a
+    channel of one chunk only is whole(x).
+    """
+    from pyspark.sql import functions as F
+
+    size = max(chunk or CHUNK, 4 * reach + 4)
+    ends = signal.groupBy(F.col("channel").alias("_c")).agg(F.min("i").alias("_i0"), F.count(F.lit(1)).alias("_n"))
+    placed = signal.select("channel", "i", "v").join(ends, F.col("channel").eqNullSafe(F.col("_c"))).withColumn("_k", F.col("i") - F.col("_i0"))
+    last = F.floor((F.col("_n") - 1) / size)
+    at = F.sequence(F.greatest(F.floor((F.col("_k") - reach) / size), F.lit(0)), F.least(F.floor((F.col("_k") + reach) / size), last))
+    sent = placed.select("channel", "i", "v", "_k", "_n", F.explode(at).alias("_chunk"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        n, c, k = int(pdf["_n"].iloc[0]), int(pdf["_chunk"].iloc[0]), pdf["_k"].to_numpy()
+        lo, hi, first = c * size, min((c + 1) * size, n), max(c * size - reach, 0)
+        if len(k) != min(hi + reach, n) - first or (k != first + np.arange(len(k))).any():
+            raise ValueError("a channel's samples have gaps or repeats")
+        x = pdf["v"].to_numpy(float)
+        own = pdf[(k >= lo) & (k < hi)]
+        return own[["channel", "i"]].assign(v=whole(x) if n <= size else part(x, first, lo, hi, n))
+
+    return sent.groupBy("channel", "_chunk").applyInPandas(run, "channel string, i long, v double")
+
+
+def apply_filter(signal: DataFrame, taps: np.ndarray, chunk: int | None = None) -> DataFrame:
+    """signal (channel, i, v) filtered forwards and backwards, chunks of a channel apart, as filter_both does the whole."""
+    both = np.correlate(taps, taps, "full")
+    return by_chunks(signal, len(taps) - 1, lambda x: filter_both(x, taps), lambda x, first, lo, hi, n: filtered_part(x, first, lo, hi, n, both), chunk)
+
+
+def apply_envelope(signal: DataFrame, taps: np.ndarray, smoothing: np.ndarray | None = None, chunk: int | None = None, reach: int | None = None) -> DataFrame:
+    """signal (channel, i, v) with v the envelope of the filtered signal, smoothed if asked, chunks of a channel apart.
+
+    The quarter turn is by hilbert_taps that reach so far (HILBERT times the filter's length by default): what
+    lies farther off, as a transform of the whole channel would weigh it, is left out. smoothing has an odd
+    number of taps.
+    """
+    both = np.correlate(taps, taps, "full")
+    turn = hilbert_taps(reach or HILBERT * len(taps))
+    smooth = np.ones(1) if smoothing is None else smoothing / smoothing.sum()
+    if len(smooth) % 2 == 0:
+        raise ValueError("an odd number of smoothing taps")
+    part = lambda x, first, lo, hi, n: envelope_part(x, first, lo, hi, n, both, turn, smooth)
+    whole = lambda x: envelope(x, taps, smoothing) if len(x) <= 3 * len(taps) else part(x, 0, 0, len(x), len(x))
+    return by_chunks(signal, len(both) // 2 + len(turn) // 2 + len(smooth) // 2, whole, part, chunk)
+
+
+#: Statistics of weighted sums (w, w x, w x x, w y) that poisson_interval knows.
+STATISTICS = {
+    "mean": lambda w, x, xx, y: x / w,
+    "variance": lambda w, x, xx, y: xx / w - (x / w) ** 2,
+    "ratio": lambda w, x, xx, y: x / y,
+}
+
+
+def poisson_weights(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """(id, replicate) seeded draws of a Poisson distribution of mean 1, each by itself: how often a resample takes a row."""
+    mixed = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        a = mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % (1 << 63)))
+        b = mixed(replicates.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1))
+        h = mixed(mixed(a[:, None] ^ b[None, :]))
+        h = h ^ (h >> np.uint64(29))
+    u = (h >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.searchsorted(POISSON, u, side="right").astype(float)
+
+
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def poisson_interval(data: DataFrame, key: str, value: str, id: str, statistic: str = "mean", other: str | None = None, samples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(key, estimate, low, high): percentile interval of a statistic over seeded resamples, in which each row comes a Poisson number of times.
+
+    statistic: mean, variance (population) or ratio (of value's sum to other's). id: whole numbers that
+    tell rows apart. Weights are drawn by id and replicate, so that rows of a group lie in any number of
+    tasks, and the result doesn't depend on how; a row a group, task and replicate is shuffled. Rows with
+    a null among id and values are left out.
+    """
+    from pyspark.sql import functions as F
 
-def apply_envelope(signal: DataFrame, taps: np.ndarray, smoothing: np.ndarray | None = None) -> DataFrame:
-    return per_channel(signal, lambda x: envelope(x, taps, smoothing))
+    x, y = F.col(value).cast("double"), F.col(other).cast("double") if other else F.lit(1.0)
+    rows = data.select(F.col(key).alias("_k"), F.col(id).cast("long").alias("_id"), x.alias("_x"), y.alias("_y")).filter("_id IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    kind = rows.schema["_k"].dataType.simpleString()
+    replicates = np.arange(samples)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for f in frames:
+            for k, g in f.groupby("_k", dropna=False, sort=False):
+                k = None if pd.isna(k) else k
+                total = held.setdefault(k, np.zeros((4, samples + 1)))
+                for lo in range(0, len(g), 256):
+                    part = g.iloc[lo : lo + 256]
+                    v, u = part["_x"].to_numpy(), part["_y"].to_numpy()
+                    terms = np.stack([np.ones(len(v)), v, v * v, u])
+                    total[:, :samples] += terms @ poisson_weights(part["_id"].to_numpy(), replicates, seed)
+                    total[:, samples] += terms.sum(axis=1)  # the sample itself
+        for k, t in held.items():
+            yield pd.DataFrame({"_k": [k] * (samples + 1), "r": np.arange(samples + 1), "w": t[0], "x": t[1], "xx": t[2], "y": t[3]})
+
+    parts = rows.mapInPandas(sums, f"_k {kind}, r int, w double, x double, xx double, y double")
+    each = parts.groupBy("_k", "r").agg(*[F.sum(c).alias(c) for c in ("w", "x", "xx", "y")])
+    stat = each.select("_k", "r", F.when(F.col("w") > 0, STATISTICS[statistic](*[F.col(c) for c in ("w", "x", "xx", "y")])).alias("s"))
+    drawn = F.when(F.col("r") < samples, F.col("s"))
+    ends = [F.percentile(drawn, F.lit(q)).alias(n) for n, q in (("low", alpha / 2), ("high", 1 - alpha / 2))]  # of samples numbers
+    return stat.groupBy(F.col("_k").alias(key)).agg(F.max(F.when(F.col("r") == samples, F.col("s"))).alias("estimate"), *ends)
 
 
 def bootstrap_interval(data: DataFrame, key: str, value: str, statistic=np.mean, samples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
