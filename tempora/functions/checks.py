@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from .scalar import seeded, seeded_whole
 from pyspark.sql.types import NumericType, StructType
 
 
@@ -67,7 +69,7 @@ def has_rows(df: DataFrame) -> bool:
 def shuffle(df: DataFrame, keys: list[str], order: str, column: str, seed: int = 0) -> DataFrame:
     """df with column's values dealt anew among the rows of each key, by a seeded hash of key and order: the same on every run."""
     own = Window.partitionBy(*keys)
-    by = F.xxhash64(*keys, order, F.lit(seed))
+    by = seeded(seed, *keys, order)
     rows = df.withColumn("_p", F.row_number().over(own.orderBy(order)))
     values = df.select(*keys, F.col(column).alias("_v"), F.row_number().over(own.orderBy(by, order)).alias("_p"))
     return rows.join(values, [*keys, "_p"]).withColumn(column, F.col("_v")).drop("_v", "_p")
@@ -77,7 +79,7 @@ def roll(df: DataFrame, keys: list[str], order: str, column: str, seed: int = 0)
     """df with column's values moved on along each key's rows, around the end, by a seeded offset of the key."""
     own = Window.partitionBy(*keys)
     rows = df.withColumns({"_p": F.row_number().over(own.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(own)})
-    values = rows.select(*keys, F.col(column).alias("_v"), F.pmod(F.col("_p") + F.pmod(F.xxhash64(*keys, F.lit(seed)), F.col("_n")), F.col("_n")).alias("_p"))
+    values = rows.select(*keys, F.col(column).alias("_v"), F.pmod(F.col("_p") + F.pmod(seeded_whole(seed, *keys), F.col("_n")), F.col("_n")).alias("_p"))
     return rows.join(values, [*keys, "_p"]).withColumn(column, F.col("_v")).drop("_v", "_p", "_n")
 
 

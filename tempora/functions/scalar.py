@@ -55,8 +55,24 @@ def uniform_ppf(p: Column) -> Column:
 UNIFORM_ENTROPY = math.log(TWO_PI)
 
 
-def uniform_random(seed: int) -> Column:
-    return F.rand(seed) * TWO_PI
+def seeded(seed: int, *ids: Column | str) -> Column:
+    """A seeded text of 32 hexadecimal digits for each id, in no order that ids have: the same on every run, however rows are dealt."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids]))
+
+
+def seeded_whole(seed: int, *ids: Column | str) -> Column:
+    """A seeded whole number below 2 ** 52 for each id."""
+    return F.conv(F.substring(seeded(seed, *ids), 1, 13), 16, 10).cast("long")
+
+
+def uniform(seed: int, *ids: Column | str) -> Column:
+    """A seeded number from 0 to 1 (excluded) for each id."""
+    return seeded_whole(seed, *ids) / F.lit(float(1 << 52))
+
+
+def uniform_random(seed: int, *ids: Column | str) -> Column:
+    """Seeded angles, one for each id."""
+    return uniform(seed, *ids) * TWO_PI
 
 
 def to_polar(x: Column, y: Column) -> tuple[Column, Column]:
@@ -185,6 +201,11 @@ def vonmises_scale(kappas: list[float], cutoff: float = 0.0) -> float:
     return 1 / math.prod(TWO_PI * float(np.i0(k)) for k in kappas) / (1 - cutoff) ** len(kappas)
 
 
+def next_pow2_of(n: Column) -> Column:
+    """next_pow2 of a column of positive whole numbers."""
+    return F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+
+
 def next_pow2(n: int) -> int:
     """The smallest p with 2 ** p >= n."""
     return max(0, (n - 1).bit_length())

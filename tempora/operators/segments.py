@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform
 from .joins import interval_join, range_join, running, stretches
 
 KEY = "set_id"
@@ -254,11 +255,11 @@ def partition(segs: DataFrame, parts: int, method: str = "block", seed: int = 0)
 
 def uniform_random(segs: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n seeded draws, uniform over the segments laid end to end (overlaps removed)."""
-    m = remove_overlap(segs.withColumn(KEY, F.lit("all")))
+    m = remove_overlap(segs.select(F.lit("all").alias(KEY), "start", "stop"))
     w = Window.partitionBy(KEY).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     laid = m.withColumn("_hi", F.sum(F.col("stop") - F.col("start")).over(w)).withColumn("_lo", F.col("_hi") - F.col("stop") + F.col("start"))
     total = laid.agg(F.max("_hi").alias("_total"))
-    draws = segs.sparkSession.range(n).join(F.broadcast(total)).select("id", (F.rand(seed) * F.col("_total")).alias("u"))
+    draws = segs.sparkSession.range(n).join(F.broadcast(total)).select("id", (uniform(seed, "id") * F.col("_total")).alias("u"))
     mean = laid.agg((F.max("_hi") / F.count(F.lit(1))).alias("w")).first()["w"] or 1.0
     found = range_join(draws, laid.select(F.col("_lo"), F.col("start").alias("_s"), F.col("_lo").alias("start"), F.col("_hi").alias("stop")), mean, x="u")
     return found.select("id", (F.col("_s") + F.col("u") - F.col("_lo")).alias("t"))

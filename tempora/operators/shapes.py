@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform
 from . import geometry as G
 
 #: How far before its end a projection onto an edge of a graph stops, so that a place belongs to one edge.
@@ -176,11 +177,6 @@ def ellipse_tangent(rows: DataFrame, size: tuple[float, float], angle: float = 0
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", tangent double")
 
 
-def uniform(seed: int, *ids: Column | str) -> Column:
-    """A seeded number from 0 to 1 (excluded) for each id: the same on every run, however rows are dealt."""
-    return F.shiftrightunsigned(F.xxhash64(*ids, F.lit(seed)), 11) / float(1 << 53)
-
-
 def random_along(ids: DataFrame, length: float, seed: int = 0, id: str = "id") -> DataFrame:
     """ids with along, uniform on a path of that length."""
     return ids.withColumn("along", uniform(seed, id) * length)

@@ -21,7 +21,7 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inside(df: DataFrame, test) -> DataFrame:
-    """Rows and those inside; random points have no SQL but this count."""
+    """Rows and those inside."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(test).alias("n_inside"))
 
 
@@ -36,10 +36,10 @@ QUERIES = {
     "geo_eccentricity": lambda s, d: rounded(points(s, d).filter("x > 0 AND y > 0").select("l_orderkey", "l_linenumber", H.eccentricity(F.col("x"), F.col("y")).alias("e")), "e"),
     "geo_circle_tangent": lambda s, d: rounded(H.ellipse_tangent(along(s, d), (20.0, 20.0), 0.3).select("event_id", F.sin("tangent").alias("sin"), F.cos("tangent").alias("cos")), "sin", "cos"),
     "geo_ellipse_tangent": lambda s, d: rounded(H.ellipse_tangent(along(s, d), (20.0, 30.0), 0.3).select("event_id", "tangent"), "tangent"),
-    "geo_random_rectangle": lambda s, d: inside(H.random_in_rectangle(ids(s, d), (5.0, 1.0), 8.0, 2.0), F.col("x").between(1.0, 9.0) & F.col("y").between(0.0, 2.0)),
-    "geo_random_ellipse": lambda s, d: inside(H.random_in_ellipse(ids(s, d), (5.0, 1.0), (4.0, 2.0), 0.5), G.in_ellipse(F.col("x"), F.col("y"), (5.0, 1.0), (4.0000001, 2.0000001), 0.5)),
+    "geo_random_rectangle": lambda s, d: rounded(H.random_in_rectangle(ids(s, d), (5.0, 1.0), 8.0, 2.0), "x", "y"),
+    "geo_random_ellipse": lambda s, d: rounded(H.random_in_ellipse(ids(s, d), (5.0, 1.0), (4.0, 2.0), 0.5), "x", "y"),
     "geo_random_polygon": lambda s, d: inside(H.random_in_polygon(ids(s, d), POLY), G.in_polygon(POLY, F.col("x"), F.col("y"))),
-    "geo_random_on": lambda s, d: inside(G.to_polyline(H.random_on(ids(s, d), PATH).select("id", "point.x", "point.y"), PATH), F.col("path.ad") < 1e-9),
+    "geo_random_on": lambda s, d: rounded(H.random_on(ids(s, d), PATH).select("id", "point.x", "point.y"), "x", "y"),
 }
 
 L = [float(x) for x in MAZE.lengths]
@@ -61,7 +61,12 @@ def _signed(name: str, a: str, b: str) -> str:
     return f"{name} AS (SELECT event_id, d FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(d), 9), i) AS r FROM ({x})) WHERE r = 1)"
 
 
-COUNT = "SELECT count(*) AS n, count(*) AS n_inside FROM events"
+def _uniform(seed: int, of: str = "event_id") -> str:
+    return f"(('0x' || substr(md5('{seed}|' || {of}), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE)"
+
+
+#: Edges of the path: start, direction, length and the length before each.
+PE = "e(o, k, x0, y0, dx, dy, n, t) AS (VALUES " + ", ".join("(" + ", ".join([str(i), str(i), *(f"{float(v)!r}::DOUBLE" for v in e[1:7])]) + ")" for i, e in enumerate(G.edges(PATH))) + ")"
 ORACLE_SQL = {
     "geo_graph_project": f"WITH {PT}, {GE}, s AS (SELECT p.*, o, k, x0, y0, dx, dy, n, len, base, own, least(greatest(((x - x0) * dx + (y - y0) * dy) / n, 0), n) AS s FROM p, e), q AS (SELECT *, x0 + s * dx / n AS px, y0 + s * dy / n AS py, least(s + own, len - 1e-4) AS z FROM s), m AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) * CASE WHEN dx * (y - y0) - (x - x0) * dy < 0 THEN -1 ELSE 1 END AS d FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(abs(d), 12), k, d, px, py) AS r FROM m) SELECT l_orderkey, l_linenumber, k AS edge, round(d, 6) AS d, round(px, 6) AS px, round(py, 6) AS py, round(z, 6) AS s, round(z + base, 6) AS along FROM r WHERE r = 1",
     "geo_graph_point": f"WITH {V}, {GE}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY o) AS r FROM v JOIN e ON a >= t AND a - t <= n) SELECT event_id, k AS edge, round(x0 + (a - t) * dx / n, 6) AS x, round(y0 + (a - t) * dy / n, 6) AS y, round(atan2(dy, dx), 6) AS tangent FROM r WHERE r = 1",
@@ -72,7 +77,7 @@ ORACLE_SQL = {
     "geo_path_edges": f"WITH v AS (SELECT event_id, value AS x FROM events), {PARTS([e[5] for e in G.edges(PATH)])}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k) AS r FROM v JOIN q ON x >= a AND x <= b) SELECT event_id, k AS edge, round(x - a, 6) AS s, round(x, 6) AS back FROM r WHERE r = 1",
     "geo_eccentricity": f"WITH {PT} SELECT l_orderkey, l_linenumber, round(sqrt(1 - pow(least(x, y) / greatest(x, y), 2)), 6) AS e FROM p WHERE x > 0 AND y > 0",
     "geo_circle_tangent": f"WITH {V} SELECT event_id, round(cos(a / 20.0 + 0.3), 6) AS sin, round(-sin(a / 20.0 + 0.3), 6) AS cos FROM v",
-    "geo_random_rectangle": COUNT,
-    "geo_random_ellipse": COUNT,
-    "geo_random_on": COUNT,
+    "geo_random_rectangle": f"SELECT event_id AS id, round(5.0 + ({_uniform(0)} - 0.5) * 8.0, 6) AS x, round(1.0 + ({_uniform(1)} - 0.5) * 2.0, 6) AS y FROM events",
+    "geo_random_ellipse": f"WITH r AS (SELECT event_id AS id, sqrt({_uniform(0)}) AS r, 2 * pi() * {_uniform(1)} AS t FROM events) SELECT id, round(5.0 + 4.0 * r * cos(t) * cos(0.5) - 2.0 * r * sin(t) * sin(0.5), 6) AS x, round(1.0 + 4.0 * r * cos(t) * sin(0.5) + 2.0 * r * sin(t) * cos(0.5), 6) AS y FROM r",
+    "geo_random_on": f"WITH {PE}, r AS (SELECT event_id AS id, {_uniform(0)} * {float(G.length(PATH))!r} AS a FROM events), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM r JOIN e ON a >= t AND a - t <= n) SELECT id, round(x0 + (a - t) * dx / n, 6) AS x, round(y0 + (a - t) * dy / n, 6) AS y FROM w WHERE r = 1",
 }
