@@ -15,6 +15,7 @@ from ..streaming import online as O
 from . import decoding as V
 from .events import rounded
 from .segments import EV
+from .signals import SIG
 
 STATES = np.abs(np.subtract.outer(V.GRID, V.GRID))
 
@@ -59,6 +60,7 @@ QUERIES = {
     "spec_coherence": lambda s, d: rounded(Q.coherence(G.windows(T.signal(s, d), 128, 64).filter("channel = 'view'"), G.windows(T.signal(s, d), 128, 64).filter("channel = 'click'"), 1.0), "coherence", "phase"),
     "spec_filter": lambda s, d: rounded(Q.apply_filter(T.signal(s, d), Q.kaiser_filter(None, 0.1, 1.0)), "v"),
     "spec_envelope": lambda s, d: rounded(Q.apply_envelope(T.signal(s, d), Q.kaiser_filter(0.1, 0.2, 1.0)), "v"),
+    "boot_poisson": lambda s, d: rounded(Q.poisson_interval(T.events(s, d), "train", "mark", "event_id", samples=500), "estimate", "low", "high"),
     "boot_ci": lambda s, d: rounded(Q.bootstrap_interval(T.events(s, d), "train", "mark"), "low", "high"),
     "ev_explained_components": lambda s, d: s.createDataFrame([(Q.components_needed(T.table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 99.9),)], "n int"),
 }
@@ -66,7 +68,14 @@ QUERIES = {
 BINS = f"{EV}, bi AS (SELECT (user_id % 4)::VARCHAR AS session, floor(t / 3600.0)::BIGINT AS bin, count(*)::DOUBLE AS mua FROM ev GROUP BY 1, 2)"
 GATE = f"{BINS}, r AS (SELECT *, sum((mua < 4)::INTEGER) OVER (PARTITION BY session ORDER BY bin) AS r FROM bi), g AS (SELECT session, bin, mua, mua >= 4 AND sum((mua >= 4)::INTEGER) OVER (PARTITION BY session, r ORDER BY bin) = 2 AS start FROM r)"
 
+LOW_PASS = Q.kaiser_filter(None, 0.1, 1.0)
+BOTH = np.correlate(LOW_PASS, LOW_PASS, "full").tolist()
+REACH = len(LOW_PASS) - 1
+
 ORACLE_SQL = {
+    "spec_filter": f"""WITH {SIG}, n AS (SELECT channel, max(i) AS m, max(v) FILTER (WHERE i = 0) AS a FROM sg GROUP BY channel), b AS (SELECT n.*, v AS z FROM n JOIN sg ON sg.channel = n.channel AND i = m), w AS (SELECT unnest({BOTH!r}::DOUBLE[]) AS w, unnest(range(-{REACH}, {REACH + 1})) AS lag),
+e AS (SELECT channel, i, w, i + lag AS e, m, a, z FROM sg JOIN b USING (channel), w), k AS (SELECT *, CASE WHEN e < 0 THEN -e WHEN e > m THEN 2 * m - e ELSE e END AS k FROM e)
+SELECT k.channel, k.i, round(sum(w * CASE WHEN e < 0 THEN 2 * a - sg.v WHEN e > m THEN 2 * z - sg.v ELSE sg.v END), 6) AS v FROM k JOIN sg ON sg.channel = k.channel AND sg.i = k.k GROUP BY k.channel, k.i""",
     "sig_event_gate": f"WITH {GATE} SELECT * FROM g",
     "sig_low_activity": f"WITH {BINS}, r AS (SELECT *, sum((mua >= 4)::INTEGER) OVER (PARTITION BY session ORDER BY bin) AS r FROM bi) SELECT session, bin, mua, mua < 4 AS skipped, mua < 4 AND sum((mua < 4)::INTEGER) OVER (PARTITION BY session, r ORDER BY bin) >= 2 AS cleared FROM r",
     "sig_score": f"WITH {GATE}, p AS (SELECT *, (bin * 37 % 100 + 1) / 500.0::DOUBLE AS p FROM g), i AS (SELECT *, sum(start::INTEGER) OVER (PARTITION BY session ORDER BY bin) AS i FROM p) SELECT session, bin, round(sum(CASE WHEN p < 0.05 THEN -ln(p) ELSE 0 END) OVER (PARTITION BY session, i ORDER BY bin), 6) AS score FROM i",

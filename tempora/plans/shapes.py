@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import shapes as H
+from ..operators import splines as L_
 from ..sources import tables as T
 from .events import rounded
 from .geometry import PATH, POLY, PT, along, points
 
 MAZE = H.Graph([[(0.0, 0.0), (20.0, 40.0), (45.0, 40.0)], [(45.0, 40.0), (50.0, 90.0)], [(45.0, 40.0), (10.0, 80.0), (0.0, 0.0)]], [(0, 1), (1, 2), (1, 0)])
 SHAPES = [PATH, [(0.0, 90.0), (50.0, 0.0)], [(10.0, 10.0), (10.0, 60.0), (30.0, 60.0)]]
+#: A curve through the nodes of the path.
+CURVE = L_.spline(PATH)
 
 
 def ids(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +41,8 @@ QUERIES = {
     "geo_ellipse_tangent": lambda s, d: rounded(H.ellipse_tangent(along(s, d), (20.0, 30.0), 0.3).select("event_id", "tangent"), "tangent"),
     "geo_random_rectangle": lambda s, d: rounded(H.random_in_rectangle(ids(s, d), (5.0, 1.0), 8.0, 2.0), "x", "y"),
     "geo_random_ellipse": lambda s, d: rounded(H.random_in_ellipse(ids(s, d), (5.0, 1.0), (4.0, 2.0), 0.5), "x", "y"),
+    "geo_spline_project": lambda s, d: L_.to_spline(points(s, d), CURVE).select("l_orderkey", "l_linenumber", *[F.round(F.col("path." + c), 6).alias(c) for c in ("ad", "px", "py", "along")]),
+    "geo_spline_point": lambda s, d: L_.from_spline(along(s, d), CURVE).filter("point IS NOT NULL").select("event_id", F.col("point.edge").alias("edge"), *[F.round(F.col("point." + c), 6).alias(c) for c in ("x", "y", "tangent")]),
     "geo_random_polygon": lambda s, d: inside(H.random_in_polygon(ids(s, d), POLY), G.in_polygon(POLY, F.col("x"), F.col("y"))),
     "geo_random_on": lambda s, d: rounded(H.random_on(ids(s, d), PATH).select("id", "point.x", "point.y"), "x", "y"),
 }
@@ -65,6 +70,13 @@ def _uniform(seed: int, of: str = "event_id") -> str:
     return f"(('0x' || substr(md5('{seed}|' || {of}), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE)"
 
 
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"{v}" if isinstance(v, int) else f"{float(v)!r}::DOUBLE" for v in r) + ")" for r in rows)
+
+
+_STEP = np.diff(CURVE.samples, axis=0)
+#: Short edges of the curve, with its parameter at their starts, and its polynomials by the edge between nodes.
+FINE = "e(k, x0, y0, dx, dy, n, t, u0, du) AS (VALUES " + _rows((k, *CURVE.samples[k], *_STEP[k], np.hypot(*_STEP[k]), CURVE.along[k], CURVE.at[k], CURVE.at[k + 1] - CURVE.at[k]) for k in range(len(_STEP))) + "), kn(j, ku, bx, cx, gx, by_, cy, gy) AS (VALUES " + _rows((j, CURVE.u[j], *CURVE.x[j, 1:], *CURVE.y[j, 1:]) for j in range(len(CURVE.u) - 1)) + ")"
 #: Edges of the path: start, direction, length and the length before each.
 PE = "e(o, k, x0, y0, dx, dy, n, t) AS (VALUES " + ", ".join("(" + ", ".join([str(i), str(i), *(f"{float(v)!r}::DOUBLE" for v in e[1:7])]) + ")" for i, e in enumerate(G.edges(PATH))) + ")"
 ORACLE_SQL = {
@@ -77,6 +89,8 @@ ORACLE_SQL = {
     "geo_path_edges": f"WITH v AS (SELECT event_id, value AS x FROM events), {PARTS([e[5] for e in G.edges(PATH)])}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k) AS r FROM v JOIN q ON x >= a AND x <= b) SELECT event_id, k AS edge, round(x - a, 6) AS s, round(x, 6) AS back FROM r WHERE r = 1",
     "geo_eccentricity": f"WITH {PT} SELECT l_orderkey, l_linenumber, round(sqrt(1 - pow(least(x, y) / greatest(x, y), 2)), 6) AS e FROM p WHERE x > 0 AND y > 0",
     "geo_circle_tangent": f"WITH {V} SELECT event_id, round(cos(a / 20.0 + 0.3), 6) AS sin, round(-sin(a / 20.0 + 0.3), 6) AS cos FROM v",
+    "geo_spline_project": f"WITH {PT}, {FINE}, pr AS (SELECT row_number() OVER () AS row, * FROM p), s AS (SELECT pr.*, k, x0, y0, dx, dy, n, t, least(greatest(((x - x0) * dx + (y - y0) * dy) / n, 0), n) AS s FROM pr, e), q AS (SELECT row, l_orderkey, l_linenumber, k, x0 + s * dx / n AS px, y0 + s * dy / n AS py, t + s AS along, round(sqrt(pow(x - x0 - s * dx / n, 2) + pow(y - y0 - s * dy / n, 2)), 12) AS ad FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY ad, k) AS r FROM q) SELECT l_orderkey, l_linenumber, round(ad, 6) AS ad, round(px, 6) AS px, round(py, 6) AS py, round(along, 6) AS along FROM r WHERE r = 1",
+    "geo_spline_point": f"WITH {V}, {FINE}, g AS (SELECT * FROM v ASOF JOIN e ON a >= t WHERE a <= {CURVE.length!r}), w AS (SELECT event_id, k // {L_.FINE} AS edge, x0 + (a - t) * dx / n AS x, y0 + (a - t) * dy / n AS y, u0 + (a - t) / n * du AS u FROM g), z AS (SELECT w.*, u - ku AS s, bx, cx, gx, by_, cy, gy FROM w JOIN kn ON edge = j) SELECT event_id, edge::INTEGER AS edge, round(x, 6) AS x, round(y, 6) AS y, round(atan2(by_ + s * (2 * cy + 3 * s * gy), bx + s * (2 * cx + 3 * s * gx)), 6) AS tangent FROM z",
     "geo_random_rectangle": f"SELECT event_id AS id, round(5.0 + ({_uniform(0)} - 0.5) * 8.0, 6) AS x, round(1.0 + ({_uniform(1)} - 0.5) * 2.0, 6) AS y FROM events",
     "geo_random_ellipse": f"WITH r AS (SELECT event_id AS id, sqrt({_uniform(0)}) AS r, 2 * pi() * {_uniform(1)} AS t FROM events) SELECT id, round(5.0 + 4.0 * r * cos(t) * cos(0.5) - 2.0 * r * sin(t) * sin(0.5), 6) AS x, round(1.0 + 4.0 * r * cos(t) * sin(0.5) + 2.0 * r * sin(t) * cos(0.5), 6) AS y FROM r",
     "geo_random_on": f"WITH {PE}, r AS (SELECT event_id AS id, {_uniform(0)} * {float(G.length(PATH))!r} AS a FROM events), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM r JOIN e ON a >= t AND a - t <= n) SELECT id, round(x0 + (a - t) * dx / n, 6) AS x, round(y0 + (a - t) * dy / n, 6) AS y FROM w WHERE r = 1",
