@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -122,34 +123,81 @@ def mixed_density(points: DataFrame, data: DataFrame, kernels: list[tuple[str, f
     return got.join(total, "source").select("source", "id", (F.col("s") / F.col("_w")).alias("value"))
 
 
-def merge_source(x: np.ndarray, var: np.ndarray, threshold: float, method: str = "diagonal") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Cells:
+    """Which components a sample may join: a grid of cells over the first dimensions, as wide as a sample's own reach either way. A component is listed in each cell that its reach touches, and in more as it moves and widens; what would take too many is looked at for every sample."""
+
+    #: Dimensions of the grid, and cells of a component.
+    DIMS, MOST = 3, 64
+
+    def __init__(self, var: np.ndarray, threshold: float) -> None:
+        self.dims, self.threshold = min(self.DIMS, len(var)), threshold
+        self.size = 2 * threshold * np.sqrt(var[: self.dims])
+        self.cells: dict[tuple[int, ...], list[int]] = {}
+        self.listed: dict[int, tuple] = {}
+        self.wide: list[int] = []
+
+    def put(self, j: int, mean: np.ndarray, var: np.ndarray) -> None:
+        """Lists component j where samples may be nearer than the threshold: each dimension alone bounds the distance."""
+        reach = self.threshold * np.sqrt(var[: self.dims])
+        low, high = (np.floor((mean[: self.dims] + side * reach) / self.size).astype(np.int64) for side in (-1, 1))
+        before = self.listed.get(j)
+        if before == () or before and (before[0] <= low).all() and (before[1] >= high).all():
+            return
+        if before:
+            low, high = np.minimum(low, before[0]), np.maximum(high, before[1])
+        if np.prod(high - low + 1.0) > self.MOST:
+            self.listed[j] = ()
+            self.wide.append(j)
+            return
+        self.listed[j] = (low, high)
+        for cell in itertools.product(*(range(u, v + 1) for u, v in zip(low.tolist(), high.tolist(), strict=True))):
+            if not before or any(c < u or c > v for c, u, v in zip(cell, before[0], before[1], strict=True)):
+                self.cells.setdefault(cell, []).append(j)
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        """Components that x may join, in order."""
+        at = tuple(np.floor(x[: self.dims] / self.size).astype(np.int64).tolist())
+        return np.array(sorted({*self.cells.get(at, ()), *self.wide}), np.int64)
+
+
+def merge_source(x: np.ndarray, var: np.ndarray, threshold: float, method: str = "diagonal", ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | list[int]:
     """(members, means, variances) after each sample, in order, joined the component nearest by Mahalanobis distance if nearer than threshold, or else began one.
 
     method: what a component's covariance becomes. diagonal: variances match the moments; full: all
-    covariances do (variances are then matrices); constant: it stays that of a sample.
+    covariances do (variances are then matrices); constant: it stays that of a sample. A sample is compared
+    with the components about it only. ends: instead the number of components after so many samples each.
     """
     n, d = x.shape
     start = np.diag(var) if method == "full" else np.asarray(var, float)
+    if threshold <= 0:
+        return list(ends) if ends is not None else (np.ones(n), x.astype(float), np.broadcast_to(start, (n, *start.shape)).copy())
     count, mean, cov = np.zeros(n), np.zeros((n, d)), np.zeros((n, *start.shape))
-    k = 0
-    for row in x:
-        if k:
-            far = row - mean[:k]
-            q = np.einsum("ki,ki->k", far, np.linalg.solve(cov[:k], far[:, :, None])[:, :, 0]) if method == "full" else (far * far / cov[:k]).sum(axis=1)
-            j = int(np.argmin(q))
-            if q[j] < threshold * threshold:
-                m = count[j]
-                step = (row - mean[j]) / (m + 1)
-                if method != "constant":
-                    # the moments of the component and a sample about their common mean
-                    outer = np.outer(step, step) if method == "full" else step * step
-                    cov[j] = (m * (cov[j] + outer) + start + m * m * outer) / (m + 1)
-                mean[j] += step
-                count[j] = m + 1
-                continue
-        count[k], mean[k], cov[k] = 1, row, start
-        k += 1
-    return count[:k], mean[:k], cov[:k]
+    cells, grown, k = Cells(np.asarray(var, float), threshold), [], 0
+    own = lambda j: np.diag(cov[j]) if method == "full" else cov[j]
+    for i, row in enumerate(x):
+        near = cells.near(row)
+        if len(near):
+            far = row - mean[near]
+            q = np.einsum("ki,ki->k", far, np.linalg.solve(cov[near], far[:, :, None])[:, :, 0]) if method == "full" else (far * far / cov[near]).sum(axis=1)
+            best = int(np.argmin(q))
+            j = int(near[best])
+        if len(near) and q[best] < threshold * threshold:
+            m = count[j]
+            step = (row - mean[j]) / (m + 1)
+            if method != "constant":
+                # the moments of the component and a sample about their common mean
+                outer = np.outer(step, step) if method == "full" else step * step
+                cov[j] = (m * (cov[j] + outer) + start + m * m * outer) / (m + 1)
+            mean[j] += step
+            count[j] = m + 1
+        else:
+            j = k
+            count[j], mean[j], cov[j] = 1, row, start
+            k += 1
+        cells.put(j, mean[j], own(j))
+        if ends is not None and len(grown) < len(ends) and i + 1 == ends[len(grown)]:
+            grown.append(k)
+    return grown if ends is not None else (count[:k], mean[:k], cov[:k])
 
 
 def merge_samples(samples: DataFrame, var: list[float], dims: list[int], threshold: float, method: str = "diagonal") -> DataFrame:
@@ -167,12 +215,12 @@ def merge_samples(samples: DataFrame, var: list[float], dims: list[int], thresho
 
 
 def merge_curve(samples: DataFrame, var: list[float], dims: list[int], threshold: float, batch: int = 25, method: str = "diagonal") -> DataFrame:
-    """(source, n_samples, n_components) after each batch of a source's samples in order of id."""
+    """(source, n_samples, n_components) after each batch of a source's samples in order of id, in one pass over them."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(float)[:, dims]
         ends = [*range(batch, len(x), batch), len(x)]
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "n_samples": ends, "n_components": [len(merge_source(x[:n], np.array(var, float), threshold, method)[0]) for n in ends]})
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "n_samples": ends, "n_components": merge_source(x, np.array(var, float), threshold, method, ends)})
 
     kind = samples.schema["source"].dataType.simpleString()
     return samples.groupBy("source").applyInPandas(grow, f"source {kind}, n_samples long, n_components long")

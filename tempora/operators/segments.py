@@ -61,7 +61,7 @@ def remove_overlap(segs: DataFrame, strict: bool = True, gap: float = 0.0, chunk
 
 def join_gap(segs: DataFrame, gap: float, chunk: float | None = None) -> DataFrame:
     """Merged segments, those at most gap apart too."""
-    return remove_overlap(remove_overlap(segs, chunk=chunk), gap=gap, chunk=chunk)
+    return remove_overlap(segs, gap=gap, chunk=chunk)
 
 
 def union(*sets: DataFrame, name: str = "union", chunk: float | None = None) -> DataFrame:
