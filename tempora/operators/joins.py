@@ -61,8 +61,8 @@ def range_join(points: DataFrame, segs: DataFrame, width: float, keys: tuple[str
     for i, c in enumerate(keys):
         on = on & (F.col(c) == F.col(f"_k{i}"))
     if how == "inner":
-        used = s.agg(F.collect_set("_level").alias("_used"))  # one row, of levels + 1 numbers at most
-        listed = points.crossJoin(F.broadcast(used)).withColumn("_p", F.explode(F.filter(every, lambda p: F.array_contains("_used", p["l"])))).drop("_used")
+        used = s.select(F.col("_level").alias("_used")).distinct()  # levels + 1 rows at most
+        listed = points.withColumn("_p", F.explode(every)).join(F.broadcast(used), F.col("_p.l") == F.col("_used"), "left_semi")
         return listed.join(s, on).drop("_p", "_level", "_bucket", *[f"_k{i}" for i in range(len(keys))])
     # the others go level by level: what no level matches, and what one of them does
     def at(rows: DataFrame, k: int, kind: str) -> DataFrame:
