@@ -168,11 +168,18 @@ def trigger_windows(signal: DataFrame, triggers: DataFrame, before: int, after:
     return want.join(signal.select(KEY, "i", "v"), [KEY, "i"]).select(KEY, "trigger", "k", "v")
 
 
-def remove_artefacts(signal: DataFrame, artefacts: DataFrame, before: float, after: float, width: float, fill: float | None = None) -> DataFrame:
-    """signal with v replaced near artefact times (t): by fill, or by the line between the good samples on either side."""
+def remove_artefacts(signal: DataFrame, artefacts: DataFrame, before: float, after: float, width: float, fill: float | None = None, reflect: bool = False) -> DataFrame:
+    """signal with v replaced from before to after (excluded) artefact times (t): by fill, by the line between the good samples on either side, or by reflection.
+
+    reflect: samples a to b, one after another bad, become the weighted mean of the samples before, turned
+    about that at a, and of those after, turned about that at b; weights go from one side to the other.
+    Where the signal has fewer samples than that on a side they become fill, or not-a-number.
+    """
     bad = artefacts.select((F.col("t") - before).alias("start"), (F.col("t") + after).alias("stop"))
-    flagged = range_join(signal, bad, width, closed=True, how="left_semi").withColumn("_bad", F.lit(True)).unionByName(range_join(signal, bad, width, closed=True, how="left_anti").withColumn("_bad", F.lit(False)))
+    flagged = range_join(signal, bad, width, how="left_semi").withColumn("_bad", F.lit(True)).unionByName(range_join(signal, bad, width, how="left_anti").withColumn("_bad", F.lit(False)))
     is_bad = F.col("_bad")
+    if reflect:
+        return _reflected(flagged, math.nan if fill is None else fill)
     if fill is not None:
         return flagged.withColumn("v", F.when(is_bad, F.lit(fill)).otherwise(F.col("v"))).drop("_bad")
     good = F.when(~is_bad, F.struct("t", "v"))
@@ -183,6 +190,26 @@ def remove_artefacts(signal: DataFrame, artefacts: DataFrame, before: float, aft
     return x.withColumn("v", F.when(is_bad, line).otherwise(F.col("v"))).drop("_bad", "_lo", "_hi")
 
 
+def _reflected(flagged: DataFrame, fill: float) -> DataFrame:
+    """signal with _bad, whose runs of bad samples are filled by reflection; each bad sample looks four others up by their number."""
+    n = flagged.groupBy(F.col(KEY).alias("_kn")).agg(F.count(F.lit(1)).alias("_n"), F.min("i").alias("_i0"))
+    run = F.col("i") - F.row_number().over(by_time())
+    bad = flagged.filter("_bad").withColumn("_run", run)
+    own = Window.partitionBy(KEY, "_run")
+    placed = bad.select(KEY, "i", F.min("i").over(own).alias("_a"), F.max("i").over(own).alias("_b")).join(n, F.col(KEY).eqNullSafe(F.col("_kn")))
+    size = F.col("_b") - F.col("_a") + 1
+    fits = (F.col("_a") - F.col("_i0") >= size) & (F.col("_b") - F.col("_i0") < F.col("_n") - size)
+    asked = {"xa": F.col("_a"), "xb": F.col("_b"), "pre": 2 * F.col("_a") - 1 - F.col("i"), "post": 2 * F.col("_b") + 1 - F.col("i")}
+    each = placed.filter(fits).select(KEY, "i", "_a", "_b", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), x.alias("at")) for k, x in asked.items()])).alias("_q"))
+    there = flagged.select(F.col(KEY).alias("_ks"), F.col("i").alias("_is"), F.col("v").alias("_vs"))
+    found = each.join(there, F.col(KEY).eqNullSafe(F.col("_ks")) & (F.col("_q.at") == F.col("_is")))
+    wide = found.groupBy(KEY, "i", "_a", "_b").agg(*[F.max(F.when(F.col("_q.of") == k, F.col("_vs"))).alias(f"_{k}") for k in asked])
+    w = (F.col("i") - F.col("_a") + 1) / (F.col("_b") - F.col("_a") + 2)
+    filled = wide.select(F.col(KEY).alias("_kf"), F.col("i").alias("_if"), ((2 * F.col("_xa") - F.col("_pre")) * (1 - w) + (2 * F.col("_xb") - F.col("_post")) * w).alias("_f"), F.lit(True).alias("_hit"))
+    out = flagged.join(filled, F.col(KEY).eqNullSafe(F.col("_kf")) & (F.col("i") == F.col("_if")), "left")
+    return out.withColumn("v", F.when(F.col("_hit"), F.col("_f")).when(F.col("_bad"), F.lit(fill)).otherwise(F.col("v"))).drop("_bad", "_kf", "_if", "_f", "_hit")
+
+
 def cross_correlation(x: DataFrame, y: DataFrame, lags: int, scale: str = "none") -> DataFrame:
     """(channel, lag, value): sum of x[i + lag] * y[i] up to lags either way; scale none, biased, unbiased or coeff. An equi-join on shifted samples."""
     shifted = y.select(KEY, F.col("v").alias("w"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), "i").withColumn("i", F.col("i") + F.col("lag"))

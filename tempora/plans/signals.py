@@ -53,6 +53,7 @@ QUERIES = {
     "sig_windows": lambda s, d: G.windows(T.signal(s, d), 64, 32).groupBy("channel", "window").agg(F.count("v").alias("n"), half_up(F.avg("v"), 4).alias("mean")),
     "sig_trigger_windows": lambda s, d: rounded(G.trigger_windows(T.signal(s, d), T.signal(s, d).filter("v > 250").select("channel", F.col("i").alias("trigger"), F.col("i").alias("at")), 3, 5).groupBy("channel", "k").agg(F.avg("v").alias("v"), F.count("v").alias("n")), "v"),
     "sig_artefacts_fill": lambda s, d: rounded(G.remove_artefacts(T.signal(s, d), T.train(s, d, "error"), 60.0, 120.0, 180.0, 0.0), "v").select("channel", "i", "v"),
+    "sig_artefacts_reflect": lambda s, d: rounded(G.remove_artefacts(T.signal(s, d), T.train(s, d, "error"), 60.0, 120.0, 180.0, -1.0, True), "v").select("channel", "i", "v"),
     "sig_artefacts_line": lambda s, d: rounded(G.remove_artefacts(T.signal(s, d), T.train(s, d, "error"), 60.0, 120.0, 180.0), "v").select("channel", "i", "v"),
     "sig_xcorr": lambda s, d: rounded(G.cross_correlation(centred(s, d), centred(s, d), 5), "value", places=4),
     "sig_xcorr_coeff": lambda s, d: rounded(G.cross_correlation(centred(s, d), centred(s, d), 5, "coeff"), "value"),
@@ -63,7 +64,7 @@ QUERIES = {
 SIG = f"{EV}, sg AS (SELECT train AS channel, row_number() OVER (PARTITION BY train ORDER BY t, event_id) - 1 AS i, t, mark AS v FROM ev)"
 EXT = f"WITH {SIG}, d AS (SELECT *, v - lag(v) OVER (PARTITION BY channel ORDER BY i) AS d FROM sg), z AS (SELECT * FROM d WHERE d <> 0), n AS (SELECT *, lead(d) OVER (PARTITION BY channel ORDER BY i) AS n, lead(i) OVER (PARTITION BY channel ORDER BY i) AS ni FROM z), x AS (SELECT channel, (i + ni - 1) / 2 AS at, round(v, 6) AS v, d > 0 AS peak FROM n WHERE n IS NOT NULL AND d * n < 0)"
 CROSS = "n AS (SELECT channel, i, v, lead(v) OVER (PARTITION BY channel ORDER BY i) AS w, lead(i) OVER (PARTITION BY channel ORDER BY i) AS j FROM {0} WHERE v <> 0)"
-BAD = f"WITH {SIG}, e AS (SELECT t - 60.0 AS a, t + 120.0 AS b FROM ev WHERE train = 'error'), f AS (SELECT *, EXISTS (SELECT 1 FROM e WHERE sg.t >= a AND sg.t <= b) AS bad FROM sg)"
+BAD = f"WITH {SIG}, e AS (SELECT t - 60.0 AS a, t + 120.0 AS b FROM ev WHERE train = 'error'), f AS (SELECT *, EXISTS (SELECT 1 FROM e WHERE sg.t >= a AND sg.t < b) AS bad FROM sg)"
 IMG = f"{EV}, im AS (SELECT floor((t - floor(t / 86400.0) * 86400.0) / 3600.0) AS x, least(floor(mark / 10.0), 23) AS y, count(*)::DOUBLE AS v FROM ev GROUP BY 1, 2)"
 RADON = f"WITH {IMG}, l AS (SELECT k AS theta, cos(pi() * (k + 0.5) / 12) AS c, sin(pi() * (k + 0.5) / 12) AS s, r AS rho FROM range(12) a(k), range(33) b(r)), h AS (SELECT theta, rho, x, floor(11.5 + (rho - 16.0 - (x - 11.5) * c) / s + 0.5) AS y FROM l, range(24) z(x)), q AS (SELECT theta::INTEGER AS theta, rho::INTEGER AS rho, sum(v) AS value FROM h JOIN im USING (x, y) GROUP BY theta, rho)"
 
@@ -106,6 +107,9 @@ ORACLE_SQL = {
     "sig_windows": f"WITH {SIG}, n AS (SELECT channel, max(i) + 1 AS n FROM sg GROUP BY channel), w AS (SELECT channel, unnest(range(greatest((n - 64) // 32 + 1, 0))) AS \"window\" FROM n) SELECT w.channel, \"window\", count(v) AS n, round(avg(v), 4) AS mean FROM w JOIN sg ON sg.channel = w.channel AND i >= \"window\" * 32 AND i < \"window\" * 32 + 64 GROUP BY w.channel, \"window\"",
     "sig_trigger_windows": f"WITH {SIG}, n AS (SELECT channel, max(i) AS n FROM sg GROUP BY channel), g AS (SELECT sg.channel, i AS at FROM sg JOIN n USING (channel) WHERE v > 250 AND i >= 3 AND i + 5 <= n) SELECT g.channel, k::INTEGER AS k, round(avg(v), 6) AS v, count(v) AS n FROM g, range(-3, 6) r(k) JOIN sg ON sg.channel = g.channel AND sg.i = g.at + k GROUP BY g.channel, k",
     "sig_artefacts_fill": BAD + " SELECT channel, i, round(CASE WHEN bad THEN 0.0 ELSE v END, 6) AS v FROM f",
+    "sig_artefacts_reflect": BAD + """, r AS (SELECT *, i - row_number() OVER (PARTITION BY channel ORDER BY i) AS r FROM f WHERE bad), ab AS (SELECT channel, i, v, min(i) OVER w AS a, max(i) OVER w AS b FROM r WINDOW w AS (PARTITION BY channel, r)), n AS (SELECT channel, count(*) AS n FROM f GROUP BY channel), q AS (SELECT ab.*, b - a + 1 AS k, n FROM ab JOIN n USING (channel)),
+z AS (SELECT q.channel, q.i, (2 * xa.v - pre.v) * (1 - (q.i - a + 1) / (k + 1)) + (2 * xb.v - post.v) * (q.i - a + 1) / (k + 1) AS v FROM q JOIN sg xa ON xa.channel = q.channel AND xa.i = a JOIN sg xb ON xb.channel = q.channel AND xb.i = b JOIN sg pre ON pre.channel = q.channel AND pre.i = 2 * a - 1 - q.i JOIN sg post ON post.channel = q.channel AND post.i = 2 * b + 1 - q.i WHERE a >= k AND b < n - k)
+SELECT f.channel, f.i, round(CASE WHEN z.v IS NOT NULL THEN z.v WHEN bad THEN -1 ELSE f.v END, 6) AS v FROM f LEFT JOIN z ON z.channel = f.channel AND z.i = f.i""",
     "sig_artefacts_line": BAD + ", g AS (SELECT * FROM f WHERE NOT bad), lo AS (SELECT f.*, g.t AS t0, g.v AS v0 FROM f ASOF LEFT JOIN g ON f.channel = g.channel AND f.i >= g.i), hi AS (SELECT lo.*, g.t AS t1, g.v AS v1 FROM lo ASOF LEFT JOIN g ON lo.channel = g.channel AND lo.i <= g.i) SELECT channel, i, round(CASE WHEN bad THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) ELSE v END, 6) AS v FROM hi",
     "sig_xcorr": f"WITH {SIG} SELECT x.channel, l::INTEGER AS lag, round(sum((x.v - 50.0) * (y.v - 50.0)), 4) AS value FROM sg x, range(-5, 6) r(l) JOIN sg y ON y.channel = x.channel AND y.i = x.i - l GROUP BY x.channel, l",
     "sig_xcorr_coeff": f"WITH {SIG}, n AS (SELECT channel, sum((v - 50.0) * (v - 50.0)) AS n FROM sg GROUP BY channel) SELECT x.channel, l::INTEGER AS lag, round(sum((x.v - 50.0) * (y.v - 50.0)) / any_value(n), 6) AS value FROM sg x JOIN n USING (channel), range(-5, 6) r(l) JOIN sg y ON y.channel = x.channel AND y.i = x.i - l GROUP BY x.channel, l",
