@@ -6,6 +6,8 @@ import numpy as np
 
 from tempora.operators import decoding as C
 from tempora.operators import density as D
+from tempora.operators import joins
+from tempora.operators import spectral as Q
 
 
 def test_kernel_sums_by_tiles(monkeypatch):
@@ -41,3 +43,43 @@ def test_spike_grid_has_no_row_a_pair(spark, monkeypatch):
             q = ((own[:, :2] - x[:2]) ** 2 / 0.01).sum(axis=1) + (at - own[:, 2]) ** 2 / 72.25
             want = np.exp(-q[q <= 16] / 2).sum() / len(own) / math.sqrt((2 * math.pi) ** 3 * 0.0001 * 72.25)
             assert math.isclose(got[i][g], want, rel_tol=1e-9)
+
+
+def test_resamples_are_held_few_at_a_time(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 300), ("b", 7)) for v in r.normal(size=n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wide = {x["k"]: (x["low"], x["high"]) for x in Q.bootstrap_interval(df, "k", "v", samples=200).collect()}
+    assert sorted(wide) == ["a", "b"]
+    for k, got in wide.items():  # drawn 64 at a time, as ever
+        x, rng = np.sort([v for s, v in rows if s == k and v is not None]), np.random.default_rng(0)
+        means = np.concatenate([x[rng.integers(0, len(x), (min(64, 200 - i), len(x)))].mean(axis=1) for i in range(0, 200, 64)])
+        assert got == tuple(np.quantile(means, [0.025, 0.975]))
+    most = []
+
+    def mean(x, axis):
+        most.append(x.size)
+        return x.mean(axis=axis)
+
+    monkeypatch.setattr(Q, "DRAWN", 1000)
+    run = Q.resampled(np.arange(300.0), mean, 200, 0)
+    monkeypatch.setattr(Q, "DRAWN", 1 << 23)
+    assert max(most) <= 1000 and np.array_equal(run, Q.resampled(np.arange(300.0), mean, 200, 0))
+
+
+def test_quantiles_of_intervals_are_worked_out_once(monkeypatch):
+    Q.student_quantile.cache_clear()
+    calls = []
+    monkeypatch.setattr(Q, "student_cdf", lambda t, n, own=Q.student_cdf: calls.append(t) or own(t, n))
+    s = np.random.default_rng(5).normal(size=(5, 9)) + 1j
+    first = Q.spectrum_interval((np.abs(s) ** 2).mean(axis=0), s, kind="jackknife")
+    once = len(calls)
+    again = Q.spectrum_interval((np.abs(s) ** 2).mean(axis=0), s, kind="jackknife")
+    assert once == len(calls) > 0 and np.array_equal(first, again)
+
+
+def test_short_segments_meet_on_their_own_level_only(spark):
+    a = spark.createDataFrame([(k, float(k % 97), float(k % 97) + 1.5) for k in range(300)], "seg_id long, start double, stop double")
+    df = joins.interval_join(a, a, 2.0)
+    rows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in x]
+    assert len(rows) == 2 and df.count() == sum(x % 97 < y % 97 + 1.5 and y % 97 < x % 97 + 1.5 for x in range(300) for y in range(300))
