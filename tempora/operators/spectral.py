@@ -8,12 +8,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import next_pow2
 
 #: Samples of a channel that one task filters at a time; reach of the quarter turn in lengths of the filter.
 CHUNK, HILBERT = 1 << 18, 8
+#: Numbers of resamples that are held at a time.
+DRAWN = 1 << 23
 
 
 def kaiser_filter(low: float | None, high: float | None, fs: float, attenuation: float = 60.0, transition: float = 0.25, stop: bool = False) -> np.ndarray:
@@ -391,17 +396,34 @@ def poisson_interval(data: DataFrame, key: str, value: str, id: str, statistic:
     return stat.groupBy(F.col("_k").alias(key)).agg(F.max(F.when(F.col("r") == samples, F.col("s"))).alias("estimate"), *ends)
 
 
+def resampled(x: np.ndarray, statistic, samples: int, seed: int) -> np.ndarray:
+    """The statistic of so many seeded resamples of x."""
+    rng, step = np.random.default_rng(seed), min(64, max(1, DRAWN // max(1, len(x))))
+    return np.concatenate([statistic(x[rng.integers(0, len(x), (min(step, samples - k), len(x)))], axis=1) for k in range(0, samples, step)])
+
+
 def bootstrap_interval(data: DataFrame, key: str, value: str, statistic=np.mean, samples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(key, low, high): percentile interval of a statistic over seeded resamples of each group; any callable of a (samples, n) array and axis."""
+    """(key, low, high): percentile interval of a statistic over seeded resamples of each group; any callable of a (samples, n) array and axis.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy(float))
-        rng = np.random.default_rng(seed)
-        stats = np.concatenate([statistic(x[rng.integers(0, len(x), (min(64, samples - k), len(x)))], axis=1) for k in range(0, samples, 64)])
-        low, high = np.quantile(stats, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({key: pdf[key].iloc[:1].to_list(), "low": [low], "high": [high]})
+    A group's numbers, 8 bytes each, are one task's; resamples are drawn DRAWN numbers at a time, or one resample
+    of more, from the same run of random numbers whatever their size.
+    """
+
+    from pyspark.sql import functions as F
+
+    kind = to_arrow_type(data.schema[key].dataType)
+
+    def run(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(float) for b in batches]
+        x = np.concatenate(parts) if parts else np.zeros(0)
+        del parts
+        x = x[~np.isnan(x)]
+        x.sort()
+        low, high = np.quantile(resampled(x, statistic, samples, seed), [alpha / 2, 1 - alpha / 2])
+        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], kind), pa.array([low]), pa.array([high])], names=[key, "low", "high"])
 
-    return data.select(key, value).groupBy(key).applyInPandas(run, f"{key} {data.schema[key].dataType.simpleString()}, low double, high double")
+    rows = data.select(F.col(value).cast("double").alias("_x"), F.col(key).alias("_k"))
+    return rows.groupBy("_k").applyInArrow(run, StructType([StructField(key, data.schema[key].dataType), StructField("low", DoubleType()), StructField("high", DoubleType())]))
 
 
 def components_needed(signals: DataFrame, columns: list[str], percent: float = 99.9) -> int:
