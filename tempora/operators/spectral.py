@@ -126,10 +126,12 @@ def quantile(cdf, p: float, low: float, high: float) -> float:
     return high
 
 
+@lru_cache(maxsize=256)
 def chi2_quantile(p: float, n: float) -> float:
     return quantile(lambda x: gamma_cdf(n / 2, x / 2), p, 0.0, 40 * n + 200)
 
 
+@lru_cache(maxsize=256)
 def student_quantile(p: float, n: float) -> float:
     return quantile(lambda t: student_cdf(t, n), p, -1e4, 1e4)
 
