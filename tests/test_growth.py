@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pytest
 
+from tempora.operators import circular
 from tempora.operators import decoding as C
 from tempora.operators import density as D
 from tempora.operators import joins
@@ -83,3 +85,34 @@ def test_short_segments_meet_on_their_own_level_only(spark):
     df = joins.interval_join(a, a, 2.0)
     rows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in x]
     assert len(rows) == 2 and df.count() == sum(x % 97 < y % 97 + 1.5 and y % 97 < x % 97 + 1.5 for x in range(300) for y in range(300))
+
+
+@pytest.mark.parametrize("backward", [True, False])
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_with_keys_is_cut_into_stretches(spark, backward, strict):
+    r = np.random.default_rng(6)
+    inf = math.inf
+    left = [(i, "abc"[i % 3] if i % 10 else None, float(t)) for i, t in enumerate(r.integers(0, 400, 150))] + [(200, "a", inf), (201, "b", -inf), (202, "d", 5.0), (203, "a", None)]
+    right = [("ab"[k % 2] if k % 9 else None, float(t), k) for k, t in enumerate(r.choice(np.arange(90, 380), 60, replace=False))] + [("a", -inf, 900), ("b", inf, 901)]
+    got = joins.asof(spark.createDataFrame(left, "id long, k string, t double"), spark.createDataFrame(right, "k string, t double, v long"), ["v"], ("k",), backward=backward, strict=strict)
+    fits = {(True, True): lambda x, t: x < t, (True, False): lambda x, t: x <= t, (False, True): lambda x, t: x > t, (False, False): lambda x, t: x >= t}[backward, strict]
+    rows = got.collect()
+    assert sorted(x["id"] for x in rows) == sorted(x[0] for x in left)
+    for x in rows:
+        near = [(t, v) for k, t, v in right if k == x["k"] and x["t"] is not None and fits(t, x["t"])]
+        assert (tuple(x["_asof"]) if x["_asof"] else None) == (max if backward else min)(near, default=None)
+    own = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "_t#" in x.split("windowspecdefinition", 1)[1]]
+    assert own and all("_c#" in x.split("windowspecdefinition", 1)[1] for x in own)
+
+
+def test_uniformized_ranks_come_by_stretches(spark):
+    r = np.random.default_rng(7)
+    people = [("x", float(v)) for v in r.choice(np.round(r.uniform(0, 6.28, 60), 3), 200)] + [("y", 1.0)]
+    df = spark.createDataFrame(people, "k string, theta double")
+    got = circular.uniformize(df, df.distinct(), "k")
+    mine = [v for k, v in people if k == "x"]
+    for x in got.collect():
+        of = mine if x["k"] == "x" else [1.0]
+        want = (sum(v < x["theta"] for v in of) + 1 + (sum(v == x["theta"] for v in of) - 1) / 2) * 2 * math.pi / len(of)
+        assert math.isclose(x["uniform"], want, rel_tol=1e-12)
+    assert "rank(" not in got._jdf.queryExecution().optimizedPlan().toString()
