@@ -86,10 +86,17 @@ def density(df: DataFrame, keys: list[str], points: int = 24, kappa: float = 10.
 
 
 def uniformize(population: DataFrame, sample: DataFrame, key: str, theta: str = "theta") -> DataFrame:
-    """sample with uniform: its angles through the population's rank distribution, linear between ranks."""
-    from .joins import interpolate
+    """sample with uniform: its angles through the population's rank distribution, linear between ranks.
 
-    ranked = rank(population, [key], theta).select(key, F.col(theta).alias("t"), F.col("rank").alias("uniform")).distinct()
+    Ranks are counts of what is smaller, summed in stretches of the angles' range.
+    """
+    from .joins import interpolate, running, stretches
+
+    each = population.groupBy(key, theta).agg(F.count(F.lit(1)).alias("_m"), F.count(theta).alias("_v"))
+    n = each.groupBy(F.col(key).alias("_z")).agg(F.sum("_v").alias("_n"))
+    before = running(stretches(each, theta), [key], "_c", [theta], F.col("_m"), "sum", "_before", before=True).join(n, F.col(key).eqNullSafe(F.col("_z")))
+    average = F.col("_before") + 1 + (F.col("_m") - 1) / 2
+    ranked = before.select(key, F.col(theta).alias("t"), (average * TWO_PI / F.col("_n")).alias("uniform"))
     return interpolate(sample.withColumn("t", F.col(theta)), ranked, "uniform", (key,)).drop("t")
 
 
