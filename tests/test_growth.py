@@ -8,7 +8,7 @@ import pytest
 from tempora.operators import circular
 from tempora.operators import decoding as C
 from tempora.operators import density as D
-from tempora.operators import joins
+from tempora.operators import joins, segments
 from tempora.operators import spectral as Q
 
 
@@ -116,3 +116,27 @@ def test_uniformized_ranks_come_by_stretches(spark):
         want = (sum(v < x["theta"] for v in of) + 1 + (sum(v == x["theta"] for v in of) - 1) / 2) * 2 * math.pi / len(of)
         assert math.isclose(x["uniform"], want, rel_tol=1e-12)
     assert "rank(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_of_segments_without_their_pairs(spark):
+    r = np.random.default_rng(8)
+    points = [(float(t), None if t % 13 == 0 else float(v)) for t, v in zip(r.integers(0, 4000, 700), r.integers(0, 40, 700), strict=True)]
+    segs = [(k, float(a), float(a + n)) for k, (a, n) in enumerate(zip(r.integers(-50, 4000, 200), r.choice([0, 1, 7, 60, 900, 3000, 20000], 200), strict=True))] + [(999, -math.inf, math.inf), (1000, 9e6, 9e6 + 5)]
+    df = segments.apply_quantile(spark.createDataFrame(points, "t double, v double"), spark.createDataFrame(segs, "seg_id long, start double, stop double"), 5.0, "v", 0.75)
+    rows = df.collect()
+    assert len(rows) == len(segs)
+    for x in rows:
+        own = [v for t, v in points if v is not None and x["start"] <= t < x["stop"]]
+        assert x["q"] is None if not own else math.isclose(x["q"], np.quantile(own, 0.75), rel_tol=1e-12)
+    sent = segments.apply_quantile(spark.createDataFrame(points, "t double, v double"), spark.range(50).selectExpr("id AS seg_id", "0.5D AS start", "5.5D AS stop"), 5.0, "v", 0.75)
+    assert "CoGroup" in sent._jdf.queryExecution().optimizedPlan().toString() and sent.count() == 50
+
+
+def test_order_in_ranges():
+    r = np.random.default_rng(9)
+    v = r.integers(0, 9, 50).astype(float)
+    first = r.integers(0, 49, 300)
+    last = first + 1 + (r.random(300) * (50 - first)).astype(int).clip(0, 49 - first)
+    k = (r.random(300) * (last - first)).astype(int)
+    assert segments.order_in_ranges(v, first, last, k).tolist() == [np.sort(v[a:b])[i] for a, b, i in zip(first, last, k, strict=True)]
+    assert segments.order_in_ranges(np.array([3.0]), np.array([0]), np.array([1]), np.array([0])).tolist() == [3.0]
