@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .joins import interpolate, stretches
 
-#: Values in a block; a pair of blocks is one FFT of twice the size.
-BLOCK = 4096
+#: Values in a block, stretches of a series, and values in a stretch at most; a pair of stretches is one FFT of twice the size.
+BLOCK, STRETCHES, LONGEST = 4096, 8, 1 << 21
 
 
 def numbered(times: DataFrame) -> DataFrame:
@@ -34,39 +32,49 @@ def blocks(values: DataFrame, block: int) -> DataFrame:
 def correlate(x: DataFrame, y: DataFrame, block: int = BLOCK, lags: tuple[int, int] | None = None) -> DataFrame:
     """(lag, c): the sum over i of x at i + lag times y at i, of two series (i from 0, v), for lags (least, most) or all.
 
-    Series are cut into blocks; a pair of blocks is correlated by FFT and adds to the lags that it reaches.
-    Each task sums what it has of a stretch of lags, and the stretches of all tasks are summed by key. The
-    pairs of blocks are those that the lags need; for all lags that is the square of the number of blocks.
+    Series are cut into blocks, and these lie in stretches of so many blocks that a series has about STRETCHES, up to
+    LONGEST values each. A pair of stretches is correlated by FFT in one group and adds to the lags that it reaches,
+    a row a block of lags; such rows are summed by block. A block is sent once for each stretch of the other series
+    that the lags need, so that a series up to STRETCHES * LONGEST values is sent about STRETCHES times; for all lags of
+    a longer one that is its length over LONGEST.
     """
     n = max(int(df.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]) + 1 for df in (x, y))
     low, high = lags or (-n + 1, n - 1)
-    # lags of a pair of blocks at distance d = bx - by lie from (d - 1) * block + 1 to (d + 1) * block - 1
-    first, last = -(-(low + 1) // block) - 1, (high - 1) // block + 1
-    bx = blocks(x, block).select("b", F.col("v").alias("vx"))
-    far = F.sequence(F.greatest(F.col("b") - last, F.lit(0)), F.greatest(F.col("b") - first, F.lit(-1)))
-    wanted = bx.filter(F.col("b") >= first).select("b", "vx", F.explode(far).alias("by"))
-    pairs = wanted.join(blocks(y, block).select(F.col("b").alias("by"), F.col("v").alias("vy")), "by").select((F.col("b") - F.col("by")).alias("d"), "vx", "vy")
-
-    def dense(cells: pa.Array, row: int) -> np.ndarray:
-        out, s = np.zeros(block), cells[row].values
-        v = s.field("v").fill_null(0).to_numpy(zero_copy_only=False)
-        out[s.field("k").to_numpy()] = np.where(np.isnan(v), 0, v)
+    many = max(1, min(-(-n // (block * STRETCHES)), LONGEST // block))  # blocks of a stretch
+    size, count = many * block, max(1, -(-n // (many * block)))
+    # lags of a pair of stretches at distance d lie from (d - 1) * size + 1 to (d + 1) * size - 1
+    first, last = -(-(low + 1) // size) - 1, (high - 1) // size + 1
+    s = F.floor(F.col("b") / many)
+    both = lambda lo, hi: F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")), lambda o: (o >= s + lo) & (o <= s + hi)))
+    bx = blocks(x, block).select(s.alias("sx"), both(-last, -first).alias("sy"), (F.col("b") % many).alias("b"), "v")
+    by = blocks(y, block).select(both(first, last).alias("tx"), s.alias("ty"), (F.col("b") % many).alias("b"), "v")
+
+    def dense(t: pa.Table) -> np.ndarray:
+        out = np.zeros(size)
+        for chunk in t.select(["b", "v"]).to_batches():
+            cells, at = chunk.column(1), np.repeat(chunk.column(0).to_numpy(), np.diff(chunk.column(1).offsets.to_numpy())).astype(np.int64)
+            flat = cells.flatten()
+            v = flat.field("v").fill_null(0).to_numpy(zero_copy_only=False)
+            out[at * block + flat.field("k").to_numpy()] = np.where(np.isnan(v), 0, v)
         return out
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for row, d in enumerate(b.column(0).to_pylist()):
-                c = np.fft.irfft(np.fft.rfft(dense(b.column(1), row), 2 * block) * np.conj(np.fft.rfft(dense(b.column(2), row), 2 * block)), 2 * block)
-                for q, part in ((d, c[:block]), (d - 1, np.append(0.0, c[block + 1 :]))):
-                    held[q] = held[q] + part if q in held else part
-        for q, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([v], pa.list_(pa.float64()))], names=["q", "v"])
-
-    # a task's sums are a row a stretch of lags; their elements are summed again over tasks
-    parts = pairs.mapInArrow(multiply, "q long, v array<double>").select("q", F.posexplode("v").alias("r", "v"))
-    out = parts.groupBy((F.col("q") * block + F.col("r")).alias("lag")).agg(F.sum("v").alias("c"))
-    return out.filter(F.col("lag").between(low, high))
+    def multiply(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+        c = np.fft.irfft(np.fft.rfft(dense(a), 2 * size) * np.conj(np.fft.rfft(dense(b), 2 * size)), 2 * size)
+        c[size] = 0.0
+        d = (key[0].as_py() - key[1].as_py()) * many
+        q = np.concatenate([np.arange(d, d + many), np.arange(d - many, d)])
+        return pa.table({"q": pa.array(q, pa.int64()), "v": pa.ListArray.from_arrays(pa.array(np.arange(2 * many + 1, dtype=np.int32) * block), pa.array(c))})
+
+    def total(t: pa.Table) -> pa.Table:
+        return pa.table({"q": t["q"][:1], "v": pa.array([np.sum([v.values.to_numpy() for v in t["v"]], axis=0)], pa.list_(pa.float64()))})
+
+    kind = "q long, v array<double>"
+    parts = bx.groupBy("sx", "sy").cogroup(by.groupBy("tx", "ty")).applyInArrow(multiply, kind)
+    sums = parts.groupBy("q").applyInArrow(total, kind)  # a row a pair of stretches at one distance
+    out = sums.select("q", F.posexplode("v").alias("r", "c")).select((F.col("q") * block + F.col("r")).alias("lag"), "c")
+    return out.filter(F.col("lag").between(max(low, -n + 1), min(high, n - 1)))
 
 
 def intervals_of(numbers: DataFrame) -> DataFrame:

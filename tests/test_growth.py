@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tempora.operators import circular
+from tempora.operators import alignment, circular
 from tempora.operators import decoding as C
 from tempora.operators import density as D
 from tempora.operators import joins, segments
@@ -140,3 +140,17 @@ def test_order_in_ranges():
     k = (r.random(300) * (last - first)).astype(int)
     assert segments.order_in_ranges(v, first, last, k).tolist() == [np.sort(v[a:b])[i] for a, b, i in zip(first, last, k, strict=True)]
     assert segments.order_in_ranges(np.array([3.0]), np.array([0]), np.array([1]), np.array([0])).tolist() == [3.0]
+
+
+def test_correlation_sends_blocks_to_few_stretches(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    x, y = r.normal(size=230), r.normal(size=200)
+    df = lambda v: spark.createDataFrame([(i, float(z)) for i, z in enumerate(v)], "i long, v double")
+    want = {k: float(sum(x[i + k] * y[i] for i in range(200) if 0 <= i + k < 230)) for k in range(-199, 230)}
+    for most, few in ((1 << 21, 3), (16, 8)):
+        monkeypatch.setattr(alignment, "LONGEST", most)
+        monkeypatch.setattr(alignment, "STRETCHES", few)
+        got = {c["lag"]: c["c"] for c in alignment.correlate(df(x), df(y), 4).collect()}
+        assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items()) and all(abs(c) < 1e-9 for k, c in got.items() if k not in want)
+        some = {c["lag"]: c["c"] for c in alignment.correlate(df(x), df(y), 4, (-30, 21)).collect()}
+        assert sorted(some) == list(range(-30, 22)) and all(math.isclose(some[k], want[k], abs_tol=1e-9) for k in some)
