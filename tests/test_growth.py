@@ -154,3 +154,17 @@ def test_correlation_sends_blocks_to_few_stretches(spark, monkeypatch):
         assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items()) and all(abs(c) < 1e-9 for k, c in got.items() if k not in want)
         some = {c["lag"]: c["c"] for c in alignment.correlate(df(x), df(y), 4, (-30, 21)).collect()}
         assert sorted(some) == list(range(-30, 22)) and all(math.isclose(some[k], want[k], abs_tol=1e-9) for k in some)
+
+
+def test_unmerged_samples_need_no_group(spark):
+    r = np.random.default_rng(11)
+    rows = [("ab"[k % 2], int(k), r.normal(size=3).tolist()) for k in r.permutation(60)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(s, i if kind == "long" else f"{i:03}", x) for s, i, x in rows], f"source string, id {kind}, x array<double>")
+        got = D.merge_samples(df, [1.0, 2.0], [0, 2], 0.0, "full")
+        assert "MapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+        for s in "ab":
+            own = sorted((i, x) for k, i, x in rows if k == s)
+            mine = sorted((x for x in got.collect() if x["source"] == s), key=lambda x: x["comp_id"])
+            assert [x["comp_id"] for x in mine] == list(range(30)) and [x["mean"] for x in mine] == [[x[0], x[2]] for _, x in own]
+            assert all(x["weight"] == 1 / 30 and x["var"] == [1.0, 2.0] and x["cov"] == [[1.0, 0.0], [0.0, 2.0]] for x in mine)
