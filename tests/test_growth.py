@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.operators import alignment, circular
 from tempora.operators import decoding as C
@@ -47,6 +48,38 @@ def test_spike_grid_has_no_row_a_pair(spark, monkeypatch):
             assert math.isclose(got[i][g], want, rel_tol=1e-9)
 
 
+def test_equal_spikes_and_components_are_worked_out_once(spark):
+    r = np.random.default_rng(11)
+    rows = [("ab"[k % 2], k // 7, k, [*r.normal(0, 0.1, 2).tolist(), float(r.normal(0, 12))]) for k in range(40)]
+    once = spark.createDataFrame([*rows, ("a", 90, 900, [math.nan, 0.0, 0.0]), ("b", 90, 901, [None, 0.0, 0.0])], "source string, bin long, id long, x array<double>")
+    comps = D.samples_to_components(spark.createDataFrame(rows, once.schema), [0.01, 0.01, 72.25], [0, 1, 2])
+    copies = lambda df, c: df.crossJoin(spark.range(6).withColumnRenamed("id", "_c")).withColumn(c, F.col(c) + 1000 * F.col("_c")).drop("_c")
+    grid = lambda a, b: C.spike_grid(a, b, [-5.0, 5.0], [0, 1], 2)
+    df = grid(copies(once, "id"), copies(comps, "comp_id").withColumn("weight", F.col("weight") / 6))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "CoGroup" in line)
+    depth = plan[at].find("FlatMapCoGroups")
+    below = [line for line in plan[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > depth]
+    assert any("Aggregate [source#" in line and "x0#" in line for line in below) and any("Aggregate [_s#" in line and "m0#" in line for line in below)
+    want = {x["id"]: x["pax"] for x in grid(once, comps).collect()}
+    got = {x["id"]: x["pax"] for x in df.collect()}
+    assert len(got) == 6 * len(want) == 252 and want[900] == want[901] == [0.0, 0.0] and max(want[0]) > 0
+    assert all(np.allclose(v, want[i % 1000], rtol=1e-12, atol=0) for i, v in got.items())
+
+
+def test_kernel_masks_only_what_a_tile_reaches_in_part(monkeypatch):
+    r = np.random.default_rng(12)
+    x, mean, centre = r.normal(0, 0.1, (900, 2)), r.normal(0, 0.1, (3000, 2)), r.normal(0, 12, 3000)
+    grid, masked, own = np.arange(-50.0, 51, 5), [], np.less_equal
+    monkeypatch.setattr(C, "TILE", (16, 32))
+    monkeypatch.setattr(C.np, "less_equal", lambda q, left, out: masked.append(q.size) or own(q, left, out=out))
+    got = C.kernel_sums(x, mean, np.full((3000, 2), 0.01), np.ones(3000), centre, np.full(3000, 72.25), grid)
+    monkeypatch.undo()
+    q = ((x[:50, None] - mean) ** 2 / 0.01).sum(axis=2)[:, None] + ((grid[:, None] - centre) ** 2 / 72.25)
+    assert np.allclose(got[:50], np.where(q <= 16, np.exp(-q / 2), 0).sum(axis=2) / math.sqrt((2 * math.pi) ** 3 * 0.0001 * 72.25), rtol=1e-12)
+    assert 0 < sum(masked) < 0.6 * len(x) * (((grid[:, None] - centre) ** 2 / 72.25) <= 16).sum()  # a mask for each grid point within reach before
+
+
 def test_resamples_are_held_few_at_a_time(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(k, float(v)) for k, n in (("a", 300), ("b", 7)) for v in r.normal(size=n)] + [("a", None)]
