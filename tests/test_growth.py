@@ -113,6 +113,27 @@ def test_quantiles_of_intervals_are_worked_out_once(monkeypatch):
     assert once == len(calls) > 0 and np.array_equal(first, again)
 
 
+def test_pairs_of_equal_segments_are_listed_last(spark, monkeypatch):
+    monkeypatch.setattr(segments, "ALIKE", 4)  # several rows of equal segments
+    inf = math.inf
+    a = [(k, float(k % 7), float(k % 7) + 1.5) for k in range(80)] + [(None, 2.0, 3.5), (90, -inf, inf), (91, None, 4.0), (92, 3.0, math.nan), (93, 0.0, 0.0), (94, -0.0, 0.0)]
+    b = [(k, float(k % 5), float(k % 5) + 0.7) for k in range(60)] + [(7, 0.0, 0.7), (90, 1.0, inf), (91, -1.0, 900.0)]
+    of = lambda rows: spark.createDataFrame(rows, "seg_id long, start double, stop double")
+    df = segments.overlap_pairs(of(a), of(b), 2.0, 5)
+    key = lambda x: str(tuple(x))
+    want = []
+    for i, s, t in a:
+        for j, u, v in b:
+            if s is not None and not math.isnan(t) and s < v and u < t:
+                o = min(t, v) - max(s, u)
+                share = lambda n: None if n == 0 else math.nan if o == n == inf else o / n
+                want.append((i, j, *(None if x is None else x if math.isnan(x) else round(x, 5) for x in (o, share(t - s), share(v - u)))))
+    assert sorted(map(key, df.collect())) == sorted(map(key, want))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(plan) if "Join Inner" in line and "_ea" in line)
+    assert sum("Generate explode(ids_" in line for line in plan[:joined]) == 2
+
+
 def test_short_segments_meet_on_their_own_level_only(spark):
     a = spark.createDataFrame([(k, float(k % 97), float(k % 97) + 1.5) for k in range(300)], "seg_id long, start double, stop double")
     df = joins.interval_join(a, a, 2.0)
